@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import bpe, simhash, tokenfile
+from spindrift.llm import bpe, langid, pii, simhash, tokenfile
 from spindrift.llm.common import table
 
 
@@ -17,6 +17,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
 
@@ -31,10 +35,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=2)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_bilstm_crf": op2_pii_bilstm_crf,
     "op3_token_files": op3_token_files,
     "op4_bpe_transducer": op4_bpe_transducer,
     "op8_simhash": op8_simhash,
+    "op9_language": op9_language,
 }
 
 ORACLES: dict[str, str] = {}
