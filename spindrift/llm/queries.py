@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, langid, pii, simhash, tokenfile
+from spindrift.llm import bpe, decontam, langid, linededup, pii, simhash, tokenfile
 from spindrift.llm.common import table
 
 
@@ -17,6 +18,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -39,12 +44,40 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_lines=3)
+    return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_pii_bilstm_crf": op2_pii_bilstm_crf,
     "op3_token_files": op3_token_files,
     "op4_bpe_transducer": op4_bpe_transducer,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": """
+        WITH line AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+        filled AS (SELECT doc_id, i, trim(t) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM line WHERE trim(t) <> ''),
+        run AS (
+            SELECT doc_id, p, t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS r, CAST(doc_id AS HUGEINT) * 1000000000 + p AS place
+            FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+        once AS (SELECT r, min(place) AS place FROM run WHERE r IS NOT NULL GROUP BY r),
+        later AS (
+            SELECT run.doc_id, run.p FROM run JOIN once USING (r)
+            WHERE once.place // 1000000000 < run.doc_id OR once.place + 3 <= run.place),
+        gone AS (SELECT DISTINCT f.doc_id, f.i FROM later JOIN filled f ON f.doc_id = later.doc_id AND f.p BETWEEN later.p AND later.p + 2),
+        kept AS (
+            SELECT l.doc_id, count(*) FILTER (trim(l.t) <> '') AS n_lines, count(g.i) AS n_removed,
+                   string_agg(l.t, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text
+            FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+        SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               CAST(length(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END) AS BIGINT) AS n_kept_chars,
+               sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END) AS kept_sha256
+        FROM documents d LEFT JOIN kept USING (doc_id)""",
+}
