@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, decontam, langid, linededup, pii, simhash, tokenfile, wrapper
+from spindrift.llm import bpe, decontam, langid, linededup, pii, simhash, tokenfile, vectors, wrapper
 from spindrift.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_cosine_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.links(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_bilstm_crf": op2_pii_bilstm_crf,
     "op3_token_files": op3_token_files,
     "op4_bpe_transducer": op4_bpe_transducer,
+    "op5_cosine_tiles": op5_cosine_tiles,
     "op7_wrapper": op7_wrapper,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
