@@ -41,7 +41,7 @@ class _State:
 class Transducer:
     """Encodes the bytes of one piece by ``ranks``; ``limit`` bounds its states."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 180_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.sizes = {v: len(k) for k, v in ranks.items()}
@@ -246,7 +246,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.split = splitter(pattern)
-        self.memo = PieceMemo(lambda pieces: [self.machine.encode(p.encode("utf-8")) for p in pieces])
+        self.memo = PieceMemo(one=lambda piece: self.machine.encode(piece.encode("utf-8")), limit=700_000)
         self.bytes_of = self.machine.bytes_of
 
     def encode(self, text: str) -> np.ndarray:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
-import numpy as np
 import regex
 
 # Latin letters, and the characters for which the plain pattern below splits as the published one does.
@@ -31,23 +31,29 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 class PieceMemo(dict):
     """piece -> its ids as little-endian unsigned 32-bit bytes; starts anew when it has ``limit`` pieces.
 
-    ``encode`` takes a list of pieces and returns their id lists.
+    ``one`` encodes a piece, or ``many`` a list of them.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 300_000, longest: int = 64):
+    def __init__(self, one: Callable[[str], list[int]] | None = None, many: Callable[[list[str]], list[list[int]]] | None = None, limit: int = 300_000, longest: int = 64):
         super().__init__()
-        self.encode, self.limit, self.longest = encode, limit, longest
+        self.one, self.many, self.limit, self.longest = one, many, limit, longest
 
-    def ids(self, pieces: list[str]) -> bytes:
-        """The ids of all ``pieces``, joined. One call's own distinct pieces are held at a time."""
-        if new := [p for p in set(pieces) if p not in self]:
-            if len(self) + len(new) > self.limit:
+    def _keep(self, piece: str, ids: list[int]) -> bytes:
+        out = array("I", ids).tobytes()
+        if len(piece) <= self.longest:
+            if len(self) >= self.limit:
                 self.clear()
-                new = list(set(pieces))
-            for p, found in zip(new, self.encode(new), strict=True):
-                self[p] = np.array(found, "<u4").tobytes()
-        out = b"".join(map(self.__getitem__, pieces))
-        for p in new:
-            if len(p) > self.longest:
-                del self[p]
+            self[piece] = out
         return out
+
+    def __missing__(self, piece: str) -> bytes:
+        return self._keep(piece, self.one(piece))
+
+    def ids(self, pieces: list[str]) -> bytes:
+        """The ids of all ``pieces``, joined."""
+        if self.one:
+            return b"".join(map(self.__getitem__, pieces))
+        if new := [p for p in set(pieces) if p not in self]:
+            fresh = {p: self._keep(p, x) for p, x in zip(new, self.many(new), strict=True)}
+            return b"".join([fresh.get(p) or self.get(p) or self._keep(p, self.many([p])[0]) for p in pieces])
+        return b"".join(map(self.__getitem__, pieces))

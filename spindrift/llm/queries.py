@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, decontam, langid, linededup, pii, simhash, tokenfile, vectors, wrapper
+from spindrift.llm import bpe, decontam, langid, linededup, pii, simhash, suffixes, tokenfile, vectors, wrapper
 from spindrift.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op5_cosine_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.links(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op7_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_bpe_transducer": op4_bpe_transducer,
     "op5_cosine_tiles": op5_cosine_tiles,
+    "op6_suffix_array": op6_suffix_array,
     "op7_wrapper": op7_wrapper,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,

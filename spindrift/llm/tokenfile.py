@@ -130,7 +130,7 @@ def encoder(tokenizer_file: str) -> Callable[[Iterable[str]], Iterator[np.ndarra
         tok = Tokenizer.from_file(tokenizer_file)
         tok.encode_special_tokens = True
         whole = lambda texts: [x.ids for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
-        memo = PieceMemo(whole)
+        memo = PieceMemo(many=whole)
 
         def encode(texts: Iterable[str]) -> Iterator[np.ndarray]:
             for t in texts:
