@@ -170,6 +170,27 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text is in a language of ``model`` with at least ``min_score``.
+
+    A model that knows no language keeps every row with a letter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            if shared.value.languages:
+                names, scores = shared.value.score(texts)
+                good = [n != "und" and s >= min_score for n, s in zip(names, scores.tolist(), strict=True)]
+            else:
+                good = [any(map(str.isalpha, t or "")) for t in texts]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no model is fitted on: crc32 of the id as text, 2 modulo 4."""
     return F.crc32(doc_id.cast("string")) % 4 == 2
