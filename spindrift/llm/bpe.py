@@ -246,7 +246,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.split = splitter(pattern)
-        self.memo = PieceMemo(one=lambda piece: self.machine.encode(piece.encode("utf-8")), limit=700_000)
+        self.memo = PieceMemo(one=lambda piece: self.machine.encode(piece.encode("utf-8")))
         self.bytes_of = self.machine.bytes_of
 
     def encode(self, text: str) -> np.ndarray:

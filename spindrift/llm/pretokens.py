@@ -34,7 +34,7 @@ class PieceMemo(dict):
     ``one`` encodes a piece, or ``many`` a list of them.
     """
 
-    def __init__(self, one: Callable[[str], list[int]] | None = None, many: Callable[[list[str]], list[list[int]]] | None = None, limit: int = 300_000, longest: int = 64):
+    def __init__(self, one: Callable[[str], list[int]] | None = None, many: Callable[[list[str]], list[list[int]]] | None = None, limit: int = 700_000, longest: int = 64):
         super().__init__()
         self.one, self.many, self.limit, self.longest = one, many, limit, longest
 
@@ -53,7 +53,7 @@ class PieceMemo(dict):
         """The ids of all ``pieces``, joined."""
         if self.one:
             return b"".join(map(self.__getitem__, pieces))
-        if new := [p for p in set(pieces) if p not in self]:
+        if new := list(set(pieces).difference(self)):
             fresh = {p: self._keep(p, x) for p, x in zip(new, self.many(new), strict=True)}
             return b"".join([fresh.get(p) or self.get(p) or self._keep(p, self.many([p])[0]) for p in pieces])
         return b"".join(map(self.__getitem__, pieces))
