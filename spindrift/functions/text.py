@@ -60,12 +60,12 @@ STOP_WORDS = tuple(
 
 def normalize(c: Column) -> Column:
     """Lower case, trimmed, white space as one space; null stays null."""
-    return F.regexp_replace(F.trim(F.lower(c)), r"\s+", " ")
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
 def clean(c: Column) -> Column:
     """``normalize`` with repeated ! ? . squeezed to the last one; null becomes the empty text."""
-    return F.coalesce(F.regexp_replace(normalize(F.regexp_replace(c, r"\s+", " ")), r"([!?.]){2,}", "$1"), F.lit(""))
+    return F.coalesce(F.regexp_replace(normalize(c), r"([!?.]){2,}", "$1"), F.lit(""))
 
 
 def expand_abbreviations(c: Column) -> Column:

@@ -12,7 +12,7 @@ from spindrift.sources import reports, requests
 _EN = "lang = 'en'"
 
 
-@query("SELECT doc_id, md5(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')) AS h FROM documents")
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h FROM documents")
 def text_normalize(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("h"))
 
