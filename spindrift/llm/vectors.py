@@ -8,7 +8,7 @@ below the threshold are done with, and only rows and columns with a pair left
 go on to the next dimensions. What is left at the end is decided in double
 precision on the vectors as they came.
 
-Tiles are cells of the first two axes, cut to ``tile`` vectors by a hash. Cells farther apart
+Tiles are cells of the first two axes, cut to ``tile`` vectors (2048 to 16384) by a hash. Cells farther apart
 than two vectors of the threshold can be are never compared. A tile pair is a task's row; its
 result is a link count per vector and links that span what it found, so nothing
 grows with the square of a group of copies.
@@ -118,7 +118,7 @@ class _Forest:
         return p[x]
 
 
-def links(vectors: DataFrame, threshold: float = 0.95, tile: int = 2048, cell: float = 0.1) -> DataFrame:
+def links(vectors: DataFrame, threshold: float = 0.95, tile: int | None = None, cell: float = 0.1) -> DataFrame:
     """Components of the rows of ``vectors`` (``vec_id, embedding``) linked by cosine >= ``threshold``.
 
     Returns ``vec_id, n_links, component_id, kept``. Vectors that are null, empty, zero or hold null
@@ -159,14 +159,15 @@ def links(vectors: DataFrame, threshold: float = 0.95, tile: int = 2048, cell: f
 
     rows = kept_table(distinct.mapInArrow(placed, "rep long, n long, c0 long, c1 long, u binary"), "placed")
     # At most (2 / cell)^2 cells, whatever the number of rows; sparse ones share a tile with their neighbours along the second axis.
+    # What is sent grows as rows^2 / tile, so tiles grow with the table, up to what a task can hold.
     counts = sorted((r["c0"], r["c1"], r["n"]) for r in rows.groupBy("c0", "c1").agg(F.count("*").alias("n")).collect())
+    tile = tile or min(16384, max(2048, sum(n for *_, n in counts) // 64))
     groups: list[list] = []  # c0, first c1, last c1, vectors
     for c0, c1, n in counts:
         if groups and groups[-1][0] == c0 and groups[-1][3] + n <= tile:
             groups[-1][2:] = [c1, groups[-1][3] + n]
         else:
             groups.append([c0, c1, c1, n])
-    tiles = [(g, -(-groups[g][3] // tile)) for g in range(len(groups))]
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     gap = lambda lo, hi, lo2, hi2: max(0, max(lo, lo2) - min(hi, hi2) - 1) * cell
     partner: dict[int, list[int]] = {}
@@ -178,18 +179,19 @@ def links(vectors: DataFrame, threshold: float = 0.95, tile: int = 2048, cell: f
             if math.hypot(gap(x[0], x[0], y[0], y[0]), gap(x[1], x[2], y[1], y[2])) <= reach:
                 partner.setdefault(g, []).append(h)
     spark = vectors.sparkSession
-    numbered, first = [], []
-    for g, parts in tiles:
-        first.append(len(numbered))
-        numbered += [(g, k) for k in range(parts)]
-    cells = spark.createDataFrame([(c0, c1, g, -(-groups[g][3] // tile), first[g]) for g, (c0, _, _, _) in enumerate(groups) for c1 in _cells(counts, groups[g])], "c0 long, c1 long, g long, parts long, first long")
-    pair_rows = [(a, b) for g, hs in partner.items() for h in hs for a in range(first[g], first[g] + tiles[g][1]) for b in range(max(a, first[h]), first[h] + tiles[h][1])]
-    pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pair_rows)], "pair long, a long, b long")
+    parts, first, at = [-(-g[3] // tile) for g in groups], [], 0
+    for n in parts:
+        first.append(at)
+        at += n
+    cells = spark.createDataFrame([(x[0], c1, parts[g], first[g]) for g, x in enumerate(groups) for c1 in _cells(counts, x)], "c0 long, c1 long, parts long, first long")
+    # Pairs of groups are bounded by the cells; their tiles are paired on the executors.
+    near = spark.createDataFrame([(first[g], parts[g], first[h], parts[h]) for g, hs in partner.items() for h in hs], "f long, m long, g long, n long")
+    pairs = near.select(F.explode(F.sequence("f", F.expr("f + m - 1"))).alias("a"), "g", "n").select("a", F.explode(F.sequence("g", F.expr("g + n - 1"))).alias("b")).where("a <= b")
     in_tile = rows.join(F.broadcast(cells), ["c0", "c1"]).select("rep", "n", "u", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("tile"))
     packed = in_tile.groupBy("tile").applyInArrow(_packed, "tile long, reps binary, ns binary, us binary")
     packed = kept_table(packed, "tiles")
     left, right = packed.select(*[F.col(c).alias(f"a_{c}") for c in packed.columns]), packed.select(*[F.col(c).alias(f"b_{c}") for c in packed.columns])
-    work = pairs.join(left, F.col("a") == F.col("a_tile")).join(right, F.col("b") == F.col("b_tile")).select("pair", "a", "b", "a_reps", "a_ns", "a_us", "b_reps", "b_ns", "b_us")
+    work = pairs.join(left, F.col("a") == F.col("a_tile")).join(right, F.col("b") == F.col("b_tile")).select("a", "b", "a_reps", "a_ns", "a_us", "b_reps", "b_ns", "b_us")
     shared = spark.sparkContext.broadcast(turn)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, tile: int = 2048, cell: f
                 out = own + [(every[i], every[j], 0) for i, j in found]
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["a", "b", "n"])
 
-    found = kept_table(work.repartition("pair").mapInArrow(compare, "a long, b long, n long"), "links")
+    found = kept_table(work.repartition("a", "b").mapInArrow(compare, "a long, b long, n long"), "links")
     counted = found.where("a = b").groupBy("a").agg(F.sum("n").alias("more")).withColumnsRenamed({"a": "rep"})
     named = components(found.where("a <> b").select("a", "b"), "vectors-cc").withColumnsRenamed({"node": "rep", "component": "root"})
     # The copies of a vector are found again by the vector itself; only vectors with a link or a copy go on.
