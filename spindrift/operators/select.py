@@ -27,14 +27,19 @@ def row_ids(df: DataFrame, key: str, out: str = "row_id") -> DataFrame:
 
 
 def stratified(df: DataFrame, label: str, key: str, share: float) -> DataFrame:
-    """``df`` with ``split``: of each label, the ceil(share x n) rows of least md5 of the key are ``train``.
+    """``df`` with ``split``: of each label, the ceil(share x n) rows of least md5 of the key are ``train``, the others ``test``.
 
-    Exact and independent of partitions. Labels are few, so ranks come from counts: the cut is
-    the exact percentile of the hash within the label, found by a window only over candidates.
+    Exact, and the same for any partitioning. A label may hold most rows, so ranks are not taken over it:
+    rows are ranked within the 4096 beginnings of their hash, and what comes before a beginning is counted.
+    Labels are few (4096 short rows each are broadcast); rows without a label form one of their own.
     """
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), F.col(key))
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("split", F.when(F.row_number().over(w) <= F.ceil(F.lit(share) * n), "train").otherwise("test"))
+    hashed = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = hashed.groupBy(label, "_b").agg(F.count("*").alias("_c"))
+    within = Window.partitionBy(label)
+    before = counts.select(F.col(label).alias("_l"), F.col("_b").alias("_lb"), (F.sum("_c").over(within.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(within).alias("_n"))
+    joined = hashed.join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_lb")))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
+    return joined.withColumn("split", F.when(rank <= F.ceil(F.lit(share) * F.col("_n")), "train").otherwise("test")).select(*df.columns, "split")
 
 
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -66,11 +66,10 @@ def group_size_multi(spark, sf):
 
 @query("""SELECT CAST(label AS BIGINT) AS label, count(*) AS n, array_to_string(list_sort(list(vec_id))[1:3], ',') AS first3, round(avg(vec_id), 2) AS mean_id, round(stddev_samp(vec_id), 2) AS std_id FROM embeddings GROUP BY label""")
 def group_profile(spark, sf):
-    first = F.expr("array_join(transform(slice(array_sort(collect_set(case when rn <= 3 then vec_id end)), 1, 3), x -> cast(x as string)), ',')")
-    from pyspark.sql import Window
-
-    x = load(spark, sf, "embeddings").select("vec_id", "label").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    return x.groupBy(big("label").alias("label")).agg(F.count("*").alias("n"), first.alias("first3"), F.round(F.avg("vec_id"), 2).alias("mean_id"), F.round(F.stddev_samp("vec_id"), 2).alias("std_id"))
+    x = load(spark, sf, "embeddings").select("vec_id", big("label").alias("label"))
+    first = select.top_n(x, "label", [F.col("vec_id")], 3).groupBy("label").agg(F.array_join(F.array_sort(F.collect_list("vec_id")).cast("array<string>"), ",").alias("first3"))
+    stats = x.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("vec_id"), 2).alias("mean_id"), F.round(F.stddev_samp("vec_id"), 2).alias("std_id"))
+    return stats.join(first, "label").select("label", "n", "first3", "mean_id", "std_id")
 
 
 @query("SELECT count(DISTINCT text) AS n_texts, count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_langs FROM documents")
