@@ -81,7 +81,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
+def _words(table: str, key: str) -> str:
+    return f"SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}"
+
+
 ORACLES: dict[str, str] = {
+    # Every alignment of every document and item, by all equal words.
+    "op1_decontaminate": f"""
+        WITH d AS ({_words('documents', 'doc_id')}), b AS (SELECT min(item_id) AS item_id, w FROM ({_words('benchmark', 'item_id')}) GROUP BY w HAVING len(w) >= 9),
+        dw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM d),
+        bw AS (SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM b),
+        same AS (SELECT doc_id, item_id, n, dw.p - bw.p AS shift, bw.p AS k FROM dw JOIN bw USING (w)),
+        near AS (SELECT doc_id, item_id, shift FROM same GROUP BY ALL HAVING count(*) >= 8),
+        run AS (
+            SELECT doc_id, item_id, least(n, 13) AS length, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n_same
+            FROM same JOIN near USING (doc_id, item_id, shift)),
+        found AS (SELECT doc_id, item_id, max(n_same) AS n_same FROM run WHERE n_same >= length - floor(2 * length / 13) GROUP BY ALL),
+        by_doc AS (SELECT doc_id, count(*) AS n_items, max(n_same) AS n_same FROM found GROUP BY doc_id)
+        SELECT documents.doc_id, by_doc.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(n_same, 0) AS n_same
+        FROM documents LEFT JOIN by_doc USING (doc_id)""",
     "op10_line_dedup": """
         WITH line AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
