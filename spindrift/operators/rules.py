@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import hits
@@ -15,7 +15,14 @@ FALLBACK_CRITICAL = ("chest pain", "shortness of breath", "unconscious", "cardia
 FALLBACK_SEVERE = ("fever", "vomiting", "diarrhea", "headache", "abdominal pain", "dizziness", "weakness", "nausea")
 PERIOD_FACTORS = (1.2, 1.0, 1.1, 1.3)
 # What the levels mean.
-LEVELS = ((1, "Resuscitation"), (2, "Emergent"), (3, "Urgent"), (4, "Less Urgent"), (5, "Non-Urgent"))
+LEVELS = (
+    (1, "Critical", "Requires immediate resuscitation"),
+    (2, "Emergent", "Requires urgent treatment within 10 minutes"),
+    (3, "Urgent", "Requires treatment within 30 minutes"),
+    (4, "Less Urgent", "Can wait 1-2 hours for treatment"),
+    (5, "Non-urgent", "Can wait several hours or be referred"),
+)
+PERIOD_NOTES = ("Limited staffing, patient may delay care", "Normal staffing levels", "Peak hours, higher volume", "Higher acuity, weekend effects")
 
 
 def _within(c: Column, ranges: tuple) -> Column:
@@ -68,8 +75,17 @@ def period_factor(period: Column) -> Column:
     return F.coalesce(*[F.when(period == i, F.lit(f)) for i, f in enumerate(PERIOD_FACTORS)], F.lit(1.0))
 
 
+def period_note(period: Column) -> Column:
+    return F.coalesce(*[F.when(period == i, F.lit(n)) for i, n in enumerate(PERIOD_NOTES)], F.lit("Time period not specified"))
+
+
 def level_name(level: Column) -> Column:
-    return F.coalesce(*[F.when(level == i, F.lit(n)) for i, n in LEVELS])
+    return F.coalesce(*[F.when(level == i, F.lit(n)) for i, n, _ in LEVELS])
+
+
+def level_table(spark: SparkSession) -> DataFrame:
+    """``level, name, description``, to be joined by broadcast."""
+    return spark.createDataFrame(LEVELS, "level int, name string, description string")
 
 
 def fallback(complaint: Column, hr: Column, sbp: Column, temperature: Column, o2sat: Column, pain: Column, age: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import dates, parse, text
-from spindrift.operators import evaluate, rules
+from spindrift.operators import evaluate, rules, severity
 from spindrift.plans.catalogue import big, load, query, visits
 from spindrift.sources import reports, requests
 
@@ -246,3 +246,43 @@ def eval_per_class(spark, sf):
 round(sum(precision * support) / sum(support), 6) AS weighted_precision, round(sum(recall * support) / sum(support), 6) AS weighted_recall, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM f""")
 def eval_macro_weighted(spark, sf):
     return evaluate.averages(evaluate.per_class(_predicted(spark, sf), [1, 2, 3, 4, 5]))
+
+
+# ---------------------------------------------------------------- severity rules and fallback groups
+_SEVERITY = "CASE " + " ".join(f"WHEN {_any(words)} THEN {k}" for k, _, words, _ in severity.SEVERITY) + " ELSE 3 END"
+
+
+@query(f"WITH {{V}} SELECT stay_id, CAST({_SEVERITY} AS BIGINT) AS severity FROM visits")
+def severity_keywords(spark, sf):
+    return visits(spark, sf).select("stay_id", big(severity.severity_by_keywords(F.col("chiefcomplaint"))).alias("severity"))
+
+
+@query("""WITH g AS (SELECT vec_id, label, CASE WHEN label IN (2, 16) THEN 1 WHEN label = 5 THEN 2 WHEN label = 6 THEN 3 WHEN label = 11 THEN 4 WHEN label IN (7, 8) THEN 5 WHEN label = 0 THEN 6 ELSE 7 END AS group_id FROM embeddings)
+SELECT CAST(group_id AS BIGINT) AS group_id, count(*) AS n, count(DISTINCT label) AS n_clusters FROM g GROUP BY 1""")
+def fallback_groups(spark, sf):
+    g = load(spark, sf, "embeddings").withColumn("g", severity.fallback_group(F.col("label")))
+    return g.groupBy(big("g.group_id").alias("group_id")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("n_clusters"))
+
+
+@query("""WITH {V}, c AS (SELECT CAST(acuity AS BIGINT) AS cluster, chiefcomplaint AS text, count(*) AS frequency FROM visits WHERE chiefcomplaint IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY frequency DESC, text) AS rn FROM c),
+g AS (SELECT *, CASE WHEN cluster = 2 THEN 1 WHEN cluster = 5 THEN 2 ELSE 7 END AS group_id, row_number() OVER (PARTITION BY CASE WHEN cluster = 2 THEN 1 WHEN cluster = 5 THEN 2 ELSE 7 END ORDER BY cluster, rn) AS o FROM k WHERE rn <= 3)
+SELECT CAST(group_id AS BIGINT) AS group_id, string_agg(text, '|' ORDER BY o) AS symptoms FROM g WHERE o <= 8 GROUP BY 1""")
+def group_symptoms(spark, sf):
+    texts = visits(spark, sf).where("chiefcomplaint is not null").groupBy(big("acuity").alias("cluster"), F.col("chiefcomplaint").alias("text")).agg(F.count("*").alias("frequency"))
+    return severity.typical_symptoms(texts).select(big("group_id").alias("group_id"), F.array_join("typical_symptoms", "|").alias("symptoms"))
+
+
+@query("WITH {V} SELECT count(*) AS n, abs(count(*) - 246943) <= 5000 AS valid FROM visits")
+def training_rows_check(spark, sf):
+    return severity.expected_rows(visits(spark, sf))
+
+
+@query("SELECT event_id, CASE CAST(floor(hour(ts) / 6) AS INT) WHEN 0 THEN 'Limited staffing, patient may delay care' WHEN 1 THEN 'Normal staffing levels' WHEN 2 THEN 'Peak hours, higher volume' ELSE 'Higher acuity, weekend effects' END AS note FROM events")
+def period_notes(spark, sf):
+    return load(spark, sf, "events").select("event_id", rules.period_note(dates.period(F.col("ts"))).alias("note"))
+
+
+@query("WITH {V}, n(level, name) AS (VALUES (1, 'Critical'), (2, 'Emergent'), (3, 'Urgent'), (4, 'Less Urgent'), (5, 'Non-urgent')) SELECT n.name, count(*) AS n FROM visits JOIN n ON acuity = n.level GROUP BY 1")
+def level_names(spark, sf):
+    x = visits(spark, sf).join(F.broadcast(rules.level_table(spark)), F.col("acuity") == F.col("level"))
+    return x.groupBy("name").agg(F.count("*").alias("n"))
