@@ -174,3 +174,36 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_visit_table(spark):
+    from spindrift.operators.assemble import visit_table
+
+    triage = spark.createDataFrame([(1, 10, "98.6", "80", "97", "120", "80", "3", 2, " Chest  Pain "), (1, 10, "98.6", "80", "97", "120", "80", "3", 2, " Chest  Pain "), (2, 20, "999", "80", "97", "120", "80", "x", 3, "cough"), (3, 30, "98", "80", "97", "120", "80", None, 3, "n/a")], "subject_id long, stay_id long, temperature string, heartrate string, o2sat string, sbp string, dbp string, pain string, acuity int, chiefcomplaint string")
+    stays = spark.createDataFrame([(10, 1, "2180-05-06 19:17:00", "x", "WALK IN", "HOME"), (20, 2, "oops", "x", None, None), (30, 3, "2180-05-06 01:00:00", "x", "Helicopter", None)], "stay_id long, subject_id long, intime string, outtime string, arrival_transport string, disposition string")
+    patients = spark.createDataFrame([(1, 50, 2178, "f"), (3, 20, 2180, "M")], "subject_id long, anchor_age int, anchor_year int, gender string")
+    got = visit_table(triage, stays, patients).collect()
+    assert [(r["subject_id"], r["age_at_visit"], r["gender"], r["chiefcomplaint_clean"], r["arrival_transport"], r["time_period"], r["pain"]) for r in got] == [(1, 52.0, "F", "chest pain", "walk-in", 3, 3.0)]
+
+
+def test_answers_and_judged(spark):
+    import json
+
+    from spindrift.operators.assemble import answers, judged
+
+    good = {"chief_complaint": "Chest pain", "age": 60, "gender": "M", "heart_rate": 80, "sbp": 120, "dbp": 80, "temperature": 98.6, "o2sat": 98}
+    got = {r["id"]: json.loads(r["response"]) for r in answers(spark.createDataFrame([(1, json.dumps(good)), (2, "{}")], "id int, body string")).collect()}
+    assert (got[1]["level"], got[1]["confidence"]) == (1, 0.85)
+    assert "missing: age" in got[2]["reasons"]
+    cases = spark.createDataFrame([(1, [1.0, 0.0], "a case", 2), (2, [0.0, 1.0], "another", 4)], "id long, unit array<double>, description string, acuity int")
+    queries = spark.createDataFrame([(7, [0.9, 0.1], "a query", 2), (8, [0.0, 1.0], "fails", 3)], "query_id long, unit array<double>, description string, acuity int")
+
+    def client(p):
+        if "fails" in p:
+            raise TimeoutError
+        assert p.startswith("a case\nESI 2")
+        return "TRIAGE LEVEL: 2"
+
+    predictions, report = judged(cases, queries, client, k=1)
+    assert sorted((r["query_id"], r["level"], r["status"]) for r in predictions.collect()) == [(7, 2, "ok"), (8, None, "TimeoutError")]
+    assert {r["level"]: r["f1"] for r in report.collect()}[2] == 1.0
