@@ -77,6 +77,15 @@ def kept_table(df: DataFrame, tag: str) -> DataFrame:
     return written(df, tag)[0]
 
 
+def bucketed_table(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder with a bucket per shuffle partition, so that joins and groups by ``key`` don't send it again."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", scratch_path(spark, tag)).saveAsTable(name)
+    return spark.table(name)
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -12,7 +12,10 @@ it is enough to sort the suffixes at anchors and to compare around them.
 3. The suffixes that are left go, each with the bytes around its anchor and once for each chunk,
    to range partitions by leading bytes, again with sampled splitters. Each partition sorts its suffixes by
    multikey quicksort, joins equal runs, and finds for each window around an anchor whether an earlier
-   document holds it. Splitters cut between leading blocks, so equal runs never cross a boundary.
+   document holds it. Splitters cut between leading bytes, so equal runs never cross a boundary.
+   Leading bytes so frequent that several splitters fall on them would fill one partition; the windows around
+   their anchors are sent alone, once for each chunk, to partitions by their hash: a passage in
+   a third of all documents then costs a row per chunk, and what differs around it spreads.
 4. The answers go back to the chunks, which cut their documents.
 
 Hashes only propose: windows are compared byte by byte with the one that they are said to equal.
@@ -21,6 +24,7 @@ Hashes only propose: windows are compared byte by byte with the one that they ar
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import kept_table
+from spindrift.llm.common import bucketed_table, kept_table
 
 BLOCK = 20
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -182,6 +186,16 @@ def earlier_windows(c: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def earlier_equal(c: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For each window 1 if an earlier document has it, else 0."""
+    order, run = multikey_order(c)
+    heads = np.nonzero(np.concatenate(([True], run[1:] != run[:-1])))[0]
+    first = np.repeat(np.minimum.reduceat(docs[order], heads), np.diff(np.append(heads, len(order))))
+    out = np.empty(len(c), np.uint32)
+    out[order] = first < docs[order]
+    return out
+
+
 def _slabs(same: np.ndarray, rows: np.ndarray, most: int = 40_000) -> Iterator[np.ndarray]:
     """``rows`` in pieces of about ``most`` that end between blocks."""
     at = 0
@@ -233,16 +247,19 @@ class _Chunk:
         return self.ids[np.searchsorted(self.ends, p, side="right")]
 
 
-def _array(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+def _array(values: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(values).tobytes())
 
 
 def _values(packed: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
 
-def _splitters(chunks: DataFrame, buckets: int, take, length: int) -> np.ndarray:
-    """buckets - 1 splitters from a hashed sample of chunks; ``take`` gives a chunk's leading tokens. The sample only balances partitions."""
+def _splitters(chunks: DataFrame, buckets: int, take, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most buckets - 1 splitters from a hashed sample of chunks, and the tokens on which several fell.
+
+    ``take`` gives a chunk's leading tokens. The sample only balances partitions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,8 +274,37 @@ def _splitters(chunks: DataFrame, buckets: int, take, length: int) -> np.ndarray
     some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 24 / max(n, 1))))
     keys = np.sort(np.array([r["k"] for r in some.mapInArrow(run, "k long").collect()], np.int64).view(np.uint64))
     if not len(keys):
-        return (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
-    return np.unique(keys[np.linspace(0, len(keys) - 1, buckets + 1).astype(int)[1:-1]])
+        return (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64), np.empty(0, np.uint64)
+    found, times = np.unique(keys[np.linspace(0, len(keys) - 1, buckets + 1).astype(int)[1:-1]], return_counts=True)
+    return found, found[times > 1]
+
+
+def _windows_alone(c: _Chunk, p: np.ndarray, length: int, buckets: int) -> list[tuple]:
+    """Rows to send for the windows around the anchors ``p``: each distinct window once, to a partition beyond ``buckets`` by its hash."""
+    if not len(p):
+        return []
+    left = length - BLOCK
+    doc = np.searchsorted(c.ends, p, side="right")
+    lo, hi = np.concatenate(([0], c.ends[:-1]))[doc], c.ends[doc]
+    at = p[:, None] + np.arange(-left, 1)
+    at = np.unique(at[(at >= lo[:, None]) & (at + length <= hi[:, None])])
+    h, d = block_hashes(c.x, length)[at], c.doc_of(at)
+    order = np.lexsort((d, h))
+    at, h, d = at[order], h[order], d[order]
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    head = np.nonzero(new)[0][np.cumsum(new) - 1]
+    same = np.ones(len(at), bool)
+    for a in range(0, len(at), 65536):  # a window that only has the hash of another isn't taken for it
+        x, y = at[a : a + 65536, None] + np.arange(length), at[head[a : a + 65536], None] + np.arange(length)
+        same[a : a + 65536] = (c.x[x] == c.x[y]).all(axis=1)
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    out = []
+    for k in np.unique(bucket).tolist():
+        mine = np.nonzero((bucket == k) & same)[0]
+        heads, number = np.unique(head[mine], return_inverse=True)
+        windows = c.x[at[heads][:, None] + np.arange(length)]
+        out.append((buckets + k, _array(windows, 3), _array(d[heads]), _array(at[mine].astype(np.uint32)), _array(number.astype(np.uint32)), _array(d[mine] > d[heads][number])))
+    return out
 
 
 def _leading(c: np.ndarray) -> np.ndarray:
@@ -276,10 +322,11 @@ def repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 6 << 20, bucke
     """
     spark = docs.sparkSession
     left = length - BLOCK
-    chunks = kept_table(_chunks(docs, chunk_bytes), "chunks")
+    chunks = bucketed_table(_chunks(docs, chunk_bytes), "chunk", "chunks")  # joined with twice, and never sent
     total = chunks.select(F.expr("sum(octet_length(packed)) * 4").alias("n")).first()["n"] or 0
     buckets = int(max(24, total // bucket_bytes))
-    hashed = spark.sparkContext.broadcast(_splitters(chunks, buckets, lambda c, p, h: h, length))
+    width = min(8, max(4, math.ceil((math.log2(max(total, 1) / 16 + 1) + 14) / 8)))  # bytes of a token that tell most apart; equal ones only cost a comparison
+    hashed = spark.sparkContext.broadcast(_splitters(chunks, buckets, lambda c, p, h: h, length)[0])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,11 +341,16 @@ def repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 6 << 20, bucke
                 h = h[heads]
                 at = np.searchsorted(hashed.value, h, side="right")
                 cuts = np.searchsorted(at, np.arange(len(hashed.value) + 2))
-                rows = [(k, r["chunk"], h[i:j].tobytes(), np.packbits(several[i:j]).tobytes()) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+                top = np.ascontiguousarray(h.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+                rows = [(k, r["chunk"], top[i:j].tobytes(), np.packbits(several[i:j]).tobytes()) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary()), pa.array([x[3] for x in rows], pa.binary())], ["bucket", "chunk", "keys", "several"])
 
     def answer(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in t["keys"].to_pylist()]
+        keys = []
+        for k in t["keys"].to_pylist():
+            wide = np.zeros((len(k) // width, 8), np.uint8)
+            wide[:, :width] = np.frombuffer(k, np.uint8).reshape(-1, width)
+            keys.append(wide.view(">u8").ravel().astype(np.uint64))
         several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)).astype(bool) for s, k in zip(t["several"].to_pylist(), keys, strict=True)]
         every, flag = np.concatenate(keys), np.concatenate(several)
         order = np.argsort(every, kind="stable")
@@ -331,9 +383,14 @@ def repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 6 << 20, bucke
                     shared[i:j] = np.unpackbits(np.frombuffer(x["shared"], np.uint8), count=j - i)
                 p = p[shared[inverse]]
                 around, d = contexts(c.x, c.ends, p, length), c.doc_of(p)
-                lead = np.searchsorted(split.value, _leading(around[:, left:]), side="right")
-                rows = []
-                for k in np.unique(lead).tolist():
+                split_at, frequent = split.value
+                first_bytes = _leading(around[:, left:])
+                lead = np.searchsorted(split_at, first_bytes, side="right")
+                often = np.isin(first_bytes, frequent)
+                rows = _windows_alone(c, p[often], length, buckets)
+                rows = [(k, r["chunk"], *rest) for k, *rest in rows]
+                lead[often] = -1
+                for k in np.unique(lead[lead >= 0]).tolist():
                     mine = np.nonzero(lead == k)[0]
                     v = around[mine]
                     order, run = multikey_order(v)
@@ -341,20 +398,21 @@ def repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 6 << 20, bucke
                     first = np.minimum.reduceat(d[mine][order], heads)
                     number = np.empty(len(mine), np.uint32)
                     number[order] = np.cumsum(np.concatenate(([True], run[1:] != run[:-1]))) - 1
-                    rows.append((k, r["chunk"], _array(v[order[heads]]), _array(first), _array(p[mine].astype(np.uint32)), _array(number), _array(d[mine] > first[number])))
+                    rows.append((k, r["chunk"], _array(v[order[heads]], 3), _array(first), _array(p[mine].astype(np.uint32)), _array(number), _array(d[mine] > first[number])))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int64()), *(pa.array([x[q] for x in rows], pa.binary()) for q in range(2, 7))], ["bucket", "chunk", "around", "docs", "places", "number", "later"])
 
     sent = kept_table(chunks.join(by_chunk, "chunk", "left").select("chunk", "ids", "sizes", "packed", "told").mapInArrow(send, "bucket int, chunk long, around binary, docs binary, places binary, number binary, later binary"), "suffixes")
 
     def sort(t: pa.Table) -> pa.Table:
         docs_of = [_values(x, np.int64) for x in t["docs"].to_pylist()]
-        c = np.concatenate([_values(x, np.uint8).reshape(len(d), left + length) for x, d in zip(t["around"].to_pylist(), docs_of, strict=True)])
-        bits = earlier_windows(c, np.concatenate(docs_of), length)
+        alone = t["bucket"][0].as_py() >= buckets
+        c = np.concatenate([_values(x, np.uint8).reshape(len(d), length if alone else left + length) for x, d in zip(t["around"].to_pylist(), docs_of, strict=True)])
+        bits = (earlier_equal if alone else earlier_windows)(c, np.concatenate(docs_of), length)
         cuts = np.cumsum([0, *map(len, docs_of)])
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "bits": pa.array([_array(bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
     sorted_ = sent.select("bucket", "chunk", "around", "docs").groupBy("bucket").applyInArrow(sort, "chunk long, bucket int, bits binary")
-    back = sorted_.join(sent.select("bucket", "chunk", "places", "number", "later"), ["bucket", "chunk"]).groupBy("chunk").agg(F.collect_list(F.struct("bits", "places", "number", "later")).alias("back"))
+    back = sorted_.join(sent.select("bucket", "chunk", "places", "number", "later"), ["bucket", "chunk"]).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "places", "number", "later")).alias("back"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -365,6 +423,11 @@ def repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 6 << 20, bucke
                 for x in r["back"] or []:
                     bits, later = _values(x["bits"], np.uint32)[_values(x["number"], np.uint32)], _values(x["later"], bool)
                     p = _values(x["places"], np.uint32).astype(np.int64)
+                    if x["bucket"] >= buckets:
+                        at = p[bits.astype(bool) | later]
+                        edge[at] += 1
+                        edge[at + length] -= 1
+                        continue
                     doc = np.searchsorted(c.ends, p, side="right")
                     for j in range(left + 1):
                         at = p - left + j

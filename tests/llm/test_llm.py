@@ -342,6 +342,18 @@ def test_suffix_array(docs, texts, nothing):
     assert suffixes.repeats(nothing).count() == 0
 
 
+def test_frequent_passage(spark):
+    r = random.Random(12)
+    passage = prose(r, 20)
+    texts = [prose(r, 8, [f"w{i}" for i in range(300)]) + " " + passage + prose(r, 8, [f"v{i}" for i in range(300)]) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    c = suffixes._Chunk(np.arange(120).tobytes(), np.array([len(t) for t in texts]).tobytes(), __import__("zstandard").ZstdCompressor().compress("".join(texts).encode()))
+    p, _ = suffixes.anchors(c.x, c.ends, 50)
+    assert len(suffixes._windows_alone(c, p, 50, 4)) == 4
+    got = {x[0]: tuple(x)[1:] for x in suffixes.repeats(df, chunk_bytes=4000).collect()}
+    assert got == plain_repeats(texts)
+
+
 def test_multikey_order():
     r = np.random.default_rng(3)
     c = r.integers(0, 3, (500, 20)).astype(np.uint8)
