@@ -14,9 +14,15 @@ _ODD = re.compile(f"[^\\t\\n\\r\\x20-\\x7e¡-©«-±´¶-¸»¿×÷{_LETTER}]")
 _PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ \\t\\n\\r0-9{_LETTER}]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
 
 
+_PLAIN_BYTES = bytes(i for i in range(256) if not _ODD.search(chr(i)))
+
+
 def is_plain(text: str) -> bool:
     """Whether every character is one that ``split_plain`` is exact for."""
-    return not _ODD.search(text)
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN_BYTES)
+    except UnicodeEncodeError:
+        return not _ODD.search(text)
 
 
 split_plain = _PLAIN.findall
@@ -25,7 +31,7 @@ split_plain = _PLAIN.findall
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """Pieces of a text under ``pattern``; plain Latin text takes a faster, equal way."""
     full = regex.compile(pattern)
-    return lambda text: split_plain(text) if not _ODD.search(text) else full.findall(text)
+    return lambda text: split_plain(text) if is_plain(text) else full.findall(text)
 
 
 class PieceMemo(dict):
@@ -50,10 +56,18 @@ class PieceMemo(dict):
         return self._keep(piece, self.one(piece))
 
     def ids(self, pieces: list[str]) -> bytes:
-        """The ids of all ``pieces``, joined."""
+        """The ids of all ``pieces``, joined. With ``many``, a call's own distinct pieces are held at a time, whatever the limit."""
         if self.one:
             return b"".join(map(self.__getitem__, pieces))
-        if new := list(set(pieces).difference(self)):
-            fresh = {p: self._keep(p, x) for p, x in zip(new, self.many(new), strict=True)}
-            return b"".join([fresh.get(p) or self.get(p) or self._keep(p, self.many([p])[0]) for p in pieces])
-        return b"".join(map(self.__getitem__, pieces))
+        new = [p for p in set(pieces) if p not in self]
+        if not new:
+            return b"".join(map(self.__getitem__, pieces))
+        if len(self) + len(new) > self.limit:
+            self.clear()
+            new = list(set(pieces))
+        self.update(zip(new, (array("I", x).tobytes() for x in self.many(new)), strict=True))
+        out = b"".join(map(self.__getitem__, pieces))
+        for p in new:
+            if len(p) > self.longest:
+                del self[p]
+        return out
