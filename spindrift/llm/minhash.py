@@ -1,0 +1,117 @@
+"""Near duplicates by the Jaccard similarity of word shingles: min-hash bands propose pairs, whole shingle sets decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spindrift.llm.common import components, kept_table
+
+SEED = 42
+#: A pair of similarity 0.8 shares none of 40 bands of 6 min-hashes with a probability of 5e-6.
+BANDS, ROWS = 40, 6
+#: All pairs of a band's bucket are compared up to this many texts; in larger ones first all with LEADERS, then what these leave apart.
+PAIRWISE, LEADERS = 48, 8
+_AT_ONCE = 4096
+_draw = np.random.default_rng(SEED)
+_XOR = _draw.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64)[:, None]
+_TIMES = (_draw.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) | np.uint64(1))[:, None]
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct hashes of the word shingles of ``text``; words as in ``simhash``, a text of fewer than ``width`` is one shingle."""
+    words = (text or "").encode("utf-8").lower().split()
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n, digest = len(words) - width + 1, xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A hash for each band of min-hashes of a set of shingles."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), _AT_ONCE):
+        least = np.minimum(least, ((found[None, at : at + _AT_ONCE] ^ _XOR) * _TIMES).min(axis=1))
+    raw = least.astype("<u8").tobytes()
+    return np.array([xxhash.xxh64_intdigest(raw[8 * ROWS * i : 8 * ROWS * (i + 1)], i) for i in range(BANDS)], np.uint64)
+
+
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, k1, k2`` (the set of shingles in 128 bits) and ``bands`` of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, width) for t in b.column(1).to_pylist()]
+            keys = np.array([[xxhash.xxh64_intdigest(s.tobytes(), i) for i in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            flat = np.concatenate([bands(s) for s in sets] or [np.empty(0, np.uint64)]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "k1", "k2", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """``node, s``: the set of shingles of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "s"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, s array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct ``a, b`` whose sets have a Jaccard similarity of ``least`` or more."""
+    sizes = sets.select("node", F.size("s").alias("n"))
+    few = pairs.distinct().join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+    both = few.join(sets.withColumnsRenamed({"node": "a", "s": "s_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "s_b"}), "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.where(common >= least * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` (the smallest doc_id reachable by links) of each row of ``docs`` (``doc_id, text``).
+
+    Texts whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more are linked; null and empty
+    texts have one set. Texts of equal sets are reduced to one first. A pair is compared if it shares a band, by its whole
+    sets. In a bucket of over PAIRWISE texts, all are compared with LEADERS of them, and then each pair that
+    those links leave in different components: the components are the same as from all pairs of the bucket. Rows
+    of one doc_id should be one row.
+    """
+    made = kept_table(_sketches(docs, width), "minhash")
+    reps = made.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("node"), F.col("r.bands").alias("bands"))
+    keyed = reps.select("node", F.explode("bands").alias("bucket"))
+    counts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = kept_table(keyed.join(counts, "bucket"), "minhash-shared")
+    sets = kept_table(_sets(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), width), "minhash-sets")
+
+    small, large = shared.where(F.col("n") <= PAIRWISE).select("bucket", "node"), shared.where(F.col("n") > PAIRWISE).select("bucket", "node")
+    pairs = small.alias("x").join(small.alias("y"), F.expr("x.bucket = y.bucket and x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    leaders = _leaders(large)
+    stars = large.join(leaders, "bucket").where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
+    links = kept_table(_similar(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(stars), sets, least), "minhash-links")
+    found = components(links, "minhash-cc")
+    if large.limit(1).count():
+        apart = large.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+        several = apart.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+        apart = kept_table(apart.join(several, "bucket", "left_semi"), "minhash-apart")
+        rest = apart.alias("x").join(apart.alias("y"), F.expr("x.bucket = y.bucket and x.c <> y.c and x.node > y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        more = kept_table(_similar(rest, sets, least), "minhash-more")
+        if more.limit(1).count():
+            found = components(links.unionByName(more), "minhash-cc")
+    roots = reps.select("k1", "k2", "node").join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
+    return made.select("doc_id", "k1", "k2").join(roots, ["k1", "k2"]).select("doc_id", "component_id")
+
+
+def _leaders(large: DataFrame) -> DataFrame:
+    """``bucket, leader``: LEADERS nodes of each bucket, the least under as many hashes."""
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node")).alias(f"l{i}") for i in range(LEADERS)]
+    return large.groupBy("bucket").agg(*least).select("bucket", F.explode(F.array_distinct(F.array(*[F.col(f"l{i}.node") for i in range(LEADERS)]))).alias("leader"))

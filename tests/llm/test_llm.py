@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, common, decontam, langid, linededup, pii, pretokens, simhash, suffixes, tokenfile, vectors, wrapper
+from spindrift.llm import bpe, common, decontam, langid, linededup, minhash, pii, pretokens, simhash, suffixes, tokenfile, vectors, wrapper
 
 tokenizers = pytest.importorskip("public_tokenizers")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -390,6 +390,45 @@ def test_template_text_is_found_by_alignment(spark):
     assert [wrapper.main_text(p, tree) for p in pages] == [f"Story {i} is new" for i in range(8)]
 
 
+# ---------------------------------------------------------------- near copies of the pipeline
+def plain_shingles(t, n=5):
+    w = t.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def edited(r, t, n):
+    w = t.split()
+    for i in r.sample(range(len(w)), n):
+        w[i] = f"new{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_copies(spark):
+    common.ship(spark)
+    r = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [prose(r, 200, vocabulary) for _ in range(30)]
+    texts = [*base, base[0].upper(), None, "", "one two", "One  two"]
+    for k, b in enumerate(base):
+        texts += [edited(r, b, 1 + k % 7) for _ in range(3)]
+    texts += [edited(r, base[3], 4) for _ in range(90)]  # a bucket of more than PAIRWISE, around the limit
+    sets = [plain_shingles(t or "") for t in texts]
+    want = classes(len(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, node long, bucket long").repartition(3)
+    assert {x["doc_id"]: x["component_id"] for x in minhash.near_copies(df).collect()} == dict(enumerate(want))
+    assert minhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(15)
+    first, other = prose(r, 300, [f"w{i}" for i in range(300)]), prose(r, 300, [f"v{i}" for i in range(300)])
+    texts = [first, edited(r, first, 5), other, edited(r, other, 40)]
+    df = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {0, 2, 3}
+
+
 # ---------------------------------------------------------------- 9
 def test_language(spark, nothing):
     common.ship(spark)
