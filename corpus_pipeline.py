@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of three or more lines; every document stays, with n_chars counted anew."""
-    done = linededup.dedup_lines(docs, min_lines=3)
+    """Deletes later repeated runs of three or more lines, or of 50 or more words; every document stays, with n_chars counted anew."""
+    done = linededup.dedup_lines(docs, min_lines=3, min_words=50)
     return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else done[c] for c in docs.columns])
 
 

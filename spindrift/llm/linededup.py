@@ -6,7 +6,8 @@ that two equal runs of that length select the same one. Windows whose fingerprin
 found at one place only can't be repeated and go at once. Around the others, the
 windows are compared whole; each is linked to its first place, in order of doc_id and line.
 The union of a document's linked windows is its repeated runs, extended both ways as far
-as the lines agree, and these are deleted.
+as the lines agree, and these are deleted. Shorter runs count too where they hold
+``min_words`` words: windows of one line, two and so on up to ``min_lines`` - 1 are compared likewise.
 """
 
 from __future__ import annotations
@@ -15,18 +16,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _lines(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, t``: the lines that aren't blank of documents with ``n`` of them at least."""
+    return docs.select("doc_id", F.expr("filter(transform(split(text, '\n'), x -> trim(x)), x -> x <> '')").alias("t")).where(F.size("t") >= n)
+
+
 def _windows(docs: DataFrame, n: int) -> DataFrame:
     """``doc_id, start, at, mark, k1, k2`` of each window of ``n`` lines: its first line, its fingerprint's line and hash, and its own hash of 128 bits."""
-    lines = docs.select("doc_id", F.expr("filter(transform(split(text, '\n'), x -> trim(x)), x -> x <> '')").alias("t")).where(F.size("t") >= n)
+    lines = _lines(docs, n)
     hashed = lines.select("doc_id", F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr("transform(t, x -> xxhash64(x, 7))").alias("g"))
     made = f"""inline(transform(sequence(0, size(h) - {n}), s -> struct(s as start, slice(h, s + 1, {n}) as w, xxhash64(slice(h, s + 1, {n})) as k1, xxhash64(slice(g, s + 1, {n})) as k2)))"""
     return hashed.select("doc_id", F.expr(made)).select("doc_id", "start", F.array_min("w").alias("mark"), (F.col("start") + F.array_position("w", F.array_min("w")).cast("int") - 1).alias("at"), "k1", "k2")
 
 
-def repeated(docs: DataFrame, min_lines: int = 3) -> DataFrame:
-    """``doc_id, starts``: the first lines (among those not blank, from 0) of windows that an earlier place holds too.
+def _wordy(docs: DataFrame, below: int, min_words: int) -> DataFrame:
+    """``doc_id, start, n, k1, k2`` of each window of ``n`` < ``below`` lines that holds ``min_words`` words or more."""
+    words = F.expr("transform(t, x -> size(split(x, '[ \\\\t\\\\r]+')))")
+    counted = _lines(docs, 1).select("doc_id", "t", words.alias("c"))
+    longest = f"array_max(transform(sequence(0, size(c) - 1), s -> aggregate(slice(c, s + 1, {below - 1}), 0, (a, x) -> a + x)))"
+    hashed = counted.where(F.expr(longest) >= min_words).select("doc_id", "c", F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr("transform(t, x -> xxhash64(x, 7))").alias("g"))
+    parts = []
+    for n in range(1, below):
+        starts = f"filter(transform(h, (x, s) -> s), s -> s + {n} <= size(h) and aggregate(slice(c, s + 1, {n}), 0, (a, x) -> a + x) >= {min_words})"
+        parts.append(f"transform({starts}, s -> struct(s as start, {n} as n, xxhash64(slice(h, s + 1, {n})) as k1, xxhash64(slice(g, s + 1, {n})) as k2))")
+    return hashed.select("doc_id", F.expr(f"inline(concat({', '.join(parts)}))"))
+
+
+def repeated(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
+    """``doc_id, runs``: first line (among those not blank, from 0) and lines of windows that an earlier place holds too.
 
-    Within a document an earlier place counts only if the two windows don't
+    The windows are those of ``min_lines`` lines and, with ``min_words``, those of fewer lines that hold so many words. Within a document an earlier place counts only if the two windows don't
     overlap. All reductions are minima and maxima with map-side combining; the joins
     have one row per key on one side, so a fingerprint in a third of the documents is
     a skewed join that AQE splits.
@@ -35,13 +54,16 @@ def repeated(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     place = F.struct("doc_id", "at")
     marks = windows.groupBy("mark").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("mark")
     near = windows.join(marks, "mark", "left_semi")
-    firsts = near.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last").select("k1", "k2", "first")
-    later = near.join(firsts, ["k1", "k2"]).where(f"first.doc_id < doc_id or (first.doc_id = doc_id and first.start + {min_lines} <= start)")
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    windows = near.select("doc_id", "start", F.lit(min_lines).alias("n"), "k1", "k2")
+    if min_words is not None and min_lines > 1:
+        windows = windows.unionByName(_wordy(docs, min_lines, min_words))
+    firsts = windows.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last").select("n", "k1", "k2", "first")
+    later = windows.join(firsts, ["n", "k1", "k2"]).where("first.doc_id < doc_id or (first.doc_id = doc_id and first.start + n <= start)")
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
-    """``docs`` with later repeated runs of ``min_lines`` or more lines deleted from ``text``.
+def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
+    """``docs`` with later repeated runs of ``min_lines`` or more lines, or of ``min_words`` or more words, deleted from ``text``.
 
     All columns stay, in order, and ``n_lines`` (not blank) and ``n_removed`` follow, longs.
     Lines are compared without spaces at their ends; blank lines are passed over in
@@ -49,11 +71,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     so text is never lost everywhere. Null texts stay null, and empty ones empty, with 0 lines;
     rows of one doc_id count as one document. An empty table stays empty.
     """
-    found = repeated(docs.select("doc_id", "text"), min_lines).withColumnsRenamed({"doc_id": "_dd_id", "starts": "_dd_starts"})
+    found = repeated(docs.select("doc_id", "text"), min_lines, min_words).withColumnsRenamed({"doc_id": "_dd_id", "runs": "_dd_runs"})
     joined = docs.join(found, docs["doc_id"] == F.col("_dd_id"), "left")
     lines = "split(text, '\n')"
     filled = f"filter(transform({lines}, (x, i) -> if(trim(x) <> '', i, -1)), i -> i >= 0)"
-    staged = joined.withColumn("_dd_filled", F.expr(f"if(text is null, cast(array() as array<int>), {filled})")).withColumn("_dd_gone", F.expr(f"array_distinct(flatten(transform(coalesce(_dd_starts, array()), s -> slice(_dd_filled, s + 1, {min_lines}))))"))
+    staged = joined.withColumn("_dd_filled", F.expr(f"if(text is null, cast(array() as array<int>), {filled})")).withColumn("_dd_gone", F.expr("if(_dd_runs is null, cast(array() as array<int>), array_distinct(flatten(transform(_dd_runs, r -> slice(_dd_filled, r.start + 1, r.n)))))"))
     text = F.expr(f"if(size(_dd_gone) = 0, text, array_join(transform(array_except(sequence(0, size({lines}) - 1), _dd_gone), i -> element_at({lines}, i + 1)), '\n'))")
     out = staged.withColumn("_dd_text", text)
     return out.select(*[(F.col("_dd_text").alias("text") if c == "text" else docs[c]) for c in docs.columns], F.size("_dd_filled").cast("long").alias("n_lines"), F.size("_dd_gone").cast("long").alias("n_removed"))

@@ -56,11 +56,21 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_lines=3)
+def _line_dedup(spark: SparkSession, sf_dir: str, min_words: int | None) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_lines=3, min_words=min_words)
     return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL: runs of three or more lines, whatever their words."""
+    return _line_dedup(spark, sf_dir, None)
+
+
+def op10_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also runs of one or two lines that hold 50 words or more."""
+    return _line_dedup(spark, sf_dir, 50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_line_dedup": op10_line_dedup,
+    "op10_line_dedup_words": op10_line_dedup_words,
     "pipeline": pipeline,
 }
 

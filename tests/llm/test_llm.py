@@ -139,6 +139,25 @@ def test_line_dedup_within_a_document(spark):
     assert got == {1: ("a\nb\nc\n\nd", 3), 2: ("x\nx\nx", 3), 3: ("", 3)}
 
 
+def test_line_dedup_counts_words(spark):
+    r = random.Random(16)
+    wide, half, rest = prose(r, 50), prose(r, 30), prose(r, 20)
+    near = prose(r, 49)
+    texts = [wide, f"{half}\n{rest}\n{near}", f"x\n{wide}\n\ny", wide + " ", f"{half}\n{rest}", near, f"{wide}\n{wide}", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in linededup.dedup_lines(df, min_words=50).collect()}
+    assert got == {0: (wide, 0), 1: (texts[1], 0), 2: ("x\n\ny", 1), 3: ("", 1), 4: ("", 2), 5: (near, 0), 6: ("", 2), 7: (None, 0)}
+    assert {x["doc_id"]: x["text"] for x in linededup.dedup_lines(df).collect()} == dict(enumerate(plain_lines(texts)))
+
+
+def test_pipeline_drops_long_repeated_lines(spark):
+    import corpus_pipeline
+
+    wide = prose(random.Random(17), 60)
+    df = spark.createDataFrame([(0, wide, 9), (1, f"a\n{wide}", 9)], "doc_id long, text string, n_chars long")
+    assert {x["doc_id"]: (x["text"], x["n_chars"]) for x in corpus_pipeline.lines(spark, df, "").collect()} == {0: (wide, len(wide)), 1: ("a", 1)}
+
+
 # ---------------------------------------------------------------- 1
 def test_decontamination_catches_replaced_words(spark):
     r = random.Random(9)
