@@ -1,22 +1,20 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
-
-A text is its words (letters and digits, lower case). A seed is the hash of 6 of
-9 consecutive words, those that a fixed mask doesn't ignore. The seeds of every
-position of the benchmark are joined with those of every third position of the
-documents: a passage of 15 words that a document holds whole contains two such
-positions at least, and with one word replaced anywhere, one of both masks still
-meets it. Hits give the alignment (document, item, shift); all words of both
-are then compared along it, and an overlap of 13 words with at most 2 others counts.
+"""Benchmark decontamination by hashed runs of words, in DataFrame operations only.
+
+A text is its words (letters and digits, lower case). A seed is the hash of a few consecutive words.
+The seeds of every position of the benchmark are joined with those of every position of the
+documents. An overlap of 13 words with at most 2 others holds a run of 4 equal words, wherever the others
+are: 11 words lie in 3 runs at most. So does one of 8 to 12 words with one other; one of 7 holds a run of 3,
+and shorter items are met whole (``seed_width``). Hits give the alignment (document, item, shift); all words of both
+are then compared along it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: For each mask, the runs (first word, words) that it doesn't ignore.
-MASKS = (((0, 6),), ((0, 3), (6, 3)))
-SPAN, STRIDE = 9, 3
 #: Benchmarks of up to so many seeds (16 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
 
@@ -26,30 +24,43 @@ def words(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def _seeds(hashed: DataFrame, key: str, stride: int) -> DataFrame:
-    """``key, pos, seed`` for each mask and each ``stride``-th position of the array ``w``."""
+def seed_width(n: int, run: int = 13, replaced: int = 2) -> int:
+    """The least that the longest run of equal words can be in an overlap with an item of ``n`` words, 4 at most."""
+    length = min(n, run)
+    others = replaced * length // run
+    return min(4, -(-(length - others) // (others + 1)))
+
+
+def _seeds(hashed: DataFrame, key: str, widths: list[int]) -> DataFrame:
+    """``key, pos, seed`` for each of ``widths`` and each position of the array ``w``."""
     parts = []
-    for i, runs in enumerate(MASKS):
-        pieces = ", ".join(f"slice(w, s + {a + 1}, {n})" for a, n in runs)
-        parts.append(f"transform(sequence(0, size(w) - {SPAN}, {stride}), s -> struct(s as pos, xxhash64({pieces}, {i}) as seed))")
-    return hashed.where(F.size("w") >= SPAN).select(key, F.expr(f"inline(concat({', '.join(parts)}))"))
+    for n in widths:
+        pieces = ", ".join(f"get(w, s + {i})" for i in range(n))
+        parts.append(f"transform(if(size(w) >= {n}, sequence(0, size(w) - {n}), cast(array() as array<int>)), s -> struct(s as pos, xxhash64({pieces}, {n}) as seed))")
+    return hashed.select(key, F.expr(f"inline(concat({', '.join(parts)}))"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, run: int = 13, replaced: int = 2) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, run: int = 13, replaced: int = 2, least_words: int = 1) -> DataFrame:
     """``doc_id, item_id, n_same`` for each document and benchmark item that overlap.
 
     An overlap is ``run`` consecutive words of the item (or all, if it has fewer) of which
     the document holds all but ``replaced`` (in proportion for fewer) at the same shift;
     ``n_same`` is the most equal words in such a run. Items of equal words are compared once,
-    under their least item_id. Items and documents of fewer than 9 words have no seeds and no overlap.
+    under their least item_id. Items of fewer than ``least_words`` words are left out.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).groupBy("w").agg(F.min("item_id").alias("item_id")).where(F.size("w") >= SPAN)
-    seeds = _seeds(items, "item_id", 1).select("seed", "item_id", F.col("pos").alias("item_pos")).distinct()
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).groupBy("w").agg(F.min("item_id").alias("item_id")).where(F.size("w") >= max(1, least_words))
+    lengths = [r["n"] for r in items.select(F.least(F.size("w"), F.lit(run)).alias("n")).distinct().collect()]  # run of them at most
+    by_width: dict[int, list[int]] = {}
+    for n in lengths:
+        by_width.setdefault(seed_width(n, run, replaced), []).append(n)
+    widths = sorted(by_width) or [4]
+    own = [_seeds(items.where(F.least(F.size("w"), F.lit(run)).isin(by_width.get(x, []))), "item_id", [x]) for x in widths]
+    seeds = reduce(DataFrame.unionByName, own).select("seed", "item_id", F.col("pos").alias("item_pos")).distinct()
     n_seeds = seeds.count()
     if n_seeds <= BROADCAST_SEEDS:
         seeds, items = F.broadcast(seeds), F.broadcast(items)
-    own = docs.select("doc_id", words(F.col("text")).alias("w"))
-    hits = _seeds(own, "doc_id", STRIDE).join(seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
+    hits = _seeds(texts, "doc_id", widths).join(seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))
     around = by_doc.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", words(F.col("text")).alias("d"), F.explode("hits").alias("hit"))
     pairs = around.select("doc_id", "d", "hit.item_id", "hit.shift").join(items, "item_id")
@@ -59,11 +70,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, run: int = 13, replaced: int
     return best.where(f"n_same >= length - floor({replaced} * length / {run})").groupBy("doc_id", "item_id").agg(F.max("n_same").cast("long").alias("n_same"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 1) -> DataFrame:
     """Per row of ``docs``: ``doc_id, contaminated, n_items, n_same`` (most equal words in a run; 0 without overlap).
 
     Null and empty texts are clean, as is every document if the benchmark is empty. Rows of
     one doc_id share a result; other columns are ignored.
     """
-    found = overlaps(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("n_same").alias("n_same"))
+    found = overlaps(docs, benchmark, least_words=least_words).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("n_same").alias("n_same"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_same", F.lit(0)).alias("n_same"))

@@ -19,7 +19,8 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """As its SQL: items of nine or more words."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_words=9)
 
 
 def op2_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,6 +183,24 @@ def test_decontamination_catches_replaced_words(spark):
     assert decontam.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_meets_every_overlap(spark):
+    import itertools
+
+    items = [[f"i{n}x{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 18)]
+    rows, want = [], set()
+    for i, w in enumerate(items):
+        length = min(13, len(w))
+        for start, n, before in itertools.product({0, len(w) - length}, range(4), range(3)):
+            for gone in itertools.combinations(range(start, start + length), n):
+                words = [x if start <= k < start + length and k not in gone else "other" for k, x in enumerate(w)]
+                if len(gone) <= 2 * length // 13:
+                    want.add((len(rows), i, length - len(gone)))
+                rows.append((len(rows), " ".join(["filler"] * before + words)))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {tuple(x) for x in decontam.overlaps(docs, benchmark).select("doc_id", "item_id", "n_same").collect()} == want
+    assert {x["item_id"] for x in decontam.overlaps(docs, benchmark, least_words=9).collect()} == {i for i, w in enumerate(items) if len(w) >= 9}
+
+
 # ---------------------------------------------------------------- 2
 def plain_spans(t):
     pats = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
