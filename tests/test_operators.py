@@ -207,3 +207,33 @@ def test_answers_and_judged(spark):
     predictions, report = judged(cases, queries, client, k=1)
     assert sorted((r["query_id"], r["level"], r["status"]) for r in predictions.collect()) == [(7, 2, "ok"), (8, None, "TimeoutError")]
     assert {r["level"]: r["f1"] for r in report.collect()}[2] == 1.0
+
+
+def test_retrieval_over_every_hundredth(spark, tmp_path):
+    import numpy as np
+
+    from spindrift.plans import QUERIES
+
+    r, n, sf = np.random.default_rng(8), 350, str(tmp_path)
+    e = r.normal(size=(n, 8)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
+    word = [f"word{k}" for k in range(60)]
+    texts = [" ".join(r.choice(word, 12)) for _ in range(60)]
+    asked = [" ".join(r.choice(word, 4)) for _ in range(120)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    u = e.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = {q: np.round(u @ u[q], 6) for q in range(0, n, 100)}
+    best = {q: sorted((-x, i) for i, x in enumerate(s[q]) if i != q)[:5] for q in s}
+    pairs = {(x["query_id"], x["id"]): x["cosine"] for x in QUERIES["cosine_pairs_all"](spark, sf).collect()}
+    assert pairs.keys() == {(q, i) for q in s for i in range(n)}
+    assert all(abs(x - s[q][i]) < 2e-6 for (q, i), x in pairs.items())
+    got = {(x["query_id"], x["rank"]): x["id"] for x in QUERIES["knn_exact_all"](spark, sf).collect()}
+    assert got == {(q, k + 1): i for q in s for k, (_, i) in enumerate(best[q])}
+    stats = {x["query_id"]: x["mean_score"] for x in QUERIES["retrieval_stats_all"](spark, sf).collect()}
+    assert stats.keys() == s.keys()
+    assert all(abs(stats[q] + sum(x for x, _ in best[q]) / 5) < 2e-6 for q in s)
+    words = {x["query_id"] for x in QUERIES["bm25_topk_all"](spark, sf).collect()}
+    assert words == {q for q, t in enumerate(asked) if any(set(t.split()) & set(d.split()) for d in texts)}
+    assert {x["query_id"] for x in QUERIES["hybrid_fusion_all"](spark, sf).collect()} == set(s)
