@@ -82,5 +82,4 @@ def svd_reduce(spark, sf):
 @query()
 def lsh_knn(spark, sf):
     x = ml.with_vector(load(spark, sf, "embeddings"), "embedding").select("vec_id", "features")
-    pairs = ml.approximate_knn(x, x.where("vec_id < 10"), radius=1.2)
-    return pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("id"), "distance").where("query_id <> id")
+    return ml.approximate_knn(x, x.where("vec_id % 100 = 0"), 10, "vec_id")

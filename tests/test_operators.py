@@ -237,3 +237,15 @@ def test_retrieval_over_every_hundredth(spark, tmp_path):
     words = {x["query_id"] for x in QUERIES["bm25_topk_all"](spark, sf).collect()}
     assert words == {q for q, t in enumerate(asked) if any(set(t.split()) & set(d.split()) for d in texts)}
     assert {x["query_id"] for x in QUERIES["hybrid_fusion_all"](spark, sf).collect()} == set(s)
+
+
+def test_approximate_knn_recall(spark):
+    from spindrift.plans import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    index = retrieval.unit_index(load(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), "id", "embedding")
+    exact = {(r["query_id"], r["id"]) for r in retrieval.knn(index.where("id % 100 = 0").withColumnRenamed("id", "query_id"), index, 10, exclude_self=True).collect()}
+    found = {(r["query_id"], r["id"]) for r in QUERIES["lsh_knn"](spark, sf).collect()}
+    assert {q for q, _ in found} == {q for q, _ in exact}
+    assert len(found) <= len(exact)
+    assert len(found & exact) >= 0.9 * len(exact)
