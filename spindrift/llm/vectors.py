@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,17 +96,16 @@ class _Forest:
 
     def add(self, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
         out = []
-        for _ in range(64):  # one link per pair of trees at a time, all at once
+        while True:  # one link per pair of trees at a time, all at once; each round joins two trees at least
             rx, ry = self._roots(x), self._roots(y)
             open_ = rx != ry
             if not open_.any():
-                break
+                return out
             x, y, rx, ry = x[open_], y[open_], rx[open_], ry[open_]
             hi, lo = np.maximum(rx, ry), np.minimum(rx, ry)
             _, first = np.unique(hi, return_index=True)
             self.parent[hi[first]] = lo[first]
             out += list(zip(x[first].tolist(), y[first].tolist(), strict=True))
-        return out
 
     def _roots(self, x: np.ndarray) -> np.ndarray:
         p = self.parent
@@ -122,18 +122,24 @@ def links(vectors: DataFrame, threshold: float = 0.95, tile: int | None = None,
     """Components of the rows of ``vectors`` (``vec_id, embedding``) linked by cosine >= ``threshold``.
 
     Returns ``vec_id, n_links, component_id, kept``. Vectors that are null, empty, zero or hold null
-    or non-finite components, and those of another length than most, link with nothing. Equal vectors are
+    or non-finite components link with nothing; vectors of each length are compared with each other. Equal vectors are
     compared once and count with all their copies. Repeated rows of a vec_id are separate
     vectors in the counts. An empty table gives an empty result.
     """
     base = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     good = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)"
     sound = base.where(F.expr(good))
-    size = sound.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    sizes = sorted(r["d"] for r in sound.select(F.size("v").alias("d")).distinct().collect())
     alone = vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if size is None:
+    if not sizes:
         return alone
-    d = size["d"]
+    of_rep = reduce(DataFrame.unionByName, [_linked(sound, d, threshold, tile, cell) for d in sizes])
+    linked = base.join(of_rep, "v", "left")
+    return linked.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _linked(sound: DataFrame, d: int, threshold: float, tile: int | None, cell: float) -> DataFrame:
+    """``v, n_links, component_id`` of the vectors of length ``d`` that have a link or a copy."""
     distinct = kept_table(sound.where(F.size("v") == d).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +184,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, tile: int | None = None,
                 break
             if math.hypot(gap(x[0], x[0], y[0], y[0]), gap(x[1], x[2], y[1], y[2])) <= reach:
                 partner.setdefault(g, []).append(h)
-    spark = vectors.sparkSession
+    spark = sound.sparkSession
     parts, first, at = [-(-g[3] // tile) for g in groups], [], 0
     for n in parts:
         first.append(at)
@@ -218,9 +224,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, tile: int | None = None,
     counted = found.where("a = b").groupBy("a").agg(F.sum("n").alias("more")).withColumnsRenamed({"a": "rep"})
     named = components(found.where("a <> b").select("a", "b"), "vectors-cc").withColumnsRenamed({"node": "rep", "component": "root"})
     # The copies of a vector are found again by the vector itself; only vectors with a link or a copy go on.
-    of_rep = distinct.join(counted, "rep", "left").join(named, "rep", "left").where("n > 1 or more is not null").select("v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    linked = base.join(of_rep, "v", "left")
-    return linked.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return distinct.join(counted, "rep", "left").join(named, "rep", "left").where("n > 1 or more is not null").select("v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
 
 
 def _cells(counts: list[tuple], group: list) -> list[int]:

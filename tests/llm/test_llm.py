@@ -353,6 +353,19 @@ def test_cosine_links(spark):
     assert vectors.links(df.where("embedding is null")).count() == 1
 
 
+def test_forest_takes_any_order():
+    n = 300  # the highest root is hooked to one lower root a round, the highest first
+    found = vectors._Forest(n).add(np.full(n - 1, n - 1), np.arange(n - 2, -1, -1))
+    assert len(found) == n - 1
+
+
+def test_cosine_links_of_each_length(spark):
+    v = [[1.0, 0.0], [2.0, 0.0], [1.0, 0.0, 0.0], [3.0, 0.01, 0.0], [1.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<float>")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in vectors.links(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 2), 3: (2, 2), 4: (2, 0), 5: (0, 5), 6: (2, 2)}
+
+
 # ---------------------------------------------------------------- 6
 def plain_repeats(texts, n=50):
     raw = [(t or "").encode() for t in texts]
