@@ -440,6 +440,27 @@ def test_template_text_is_found_by_alignment(spark):
     assert [wrapper.main_text(p, tree) for p in pages] == [f"Story {i} is new" for i in range(8)]
 
 
+def merged(pages):
+    tree = None
+    for p in pages:
+        tree = wrapper.merge(tree, wrapper.shape(wrapper.parse(p)))
+    return tree
+
+
+def test_long_texts_differ_after_their_beginning():
+    start = "same beginning " * 20
+    pages = [f"<html><body><div><p>Site motto</p></div><div><p>{start}then {i}</p></div></body></html>" for i in range(8)]
+    assert [wrapper.main_text(p, merged(pages)) for p in pages] == [f"{start}then {i}" for i in range(8)]
+
+
+def test_pages_of_many_nodes_have_a_template():
+    many = "".join(f"<section class='s{k}'><div><p>Part {k} of {{0}}</p></div></section>" for k in range(150))
+    pages = [f"<html><body><div><p>Site motto</p></div>{many.format(i)}</body></html>" for i in range(8)]
+    tree = merged(pages)
+    assert wrapper._size(tree) > wrapper.MOST_NODES
+    assert all("Site motto" not in wrapper.main_text(p, tree) and f"Part 149 of {i}" in wrapper.main_text(p, tree) for i, p in enumerate(pages))
+
+
 # ---------------------------------------------------------------- near copies of the pipeline
 def plain_shingles(t, n=5):
     w = t.lower().split()
