@@ -33,8 +33,7 @@ def _wordy(docs: DataFrame, below: int, min_words: int) -> DataFrame:
     """``doc_id, start, n, k1, k2`` of each window of ``n`` < ``below`` lines that holds ``min_words`` words or more."""
     words = F.expr("transform(t, x -> size(split(x, '[ \\\\t\\\\r]+')))")
     counted = _lines(docs, 1).select("doc_id", "t", words.alias("c"))
-    longest = f"array_max(transform(sequence(0, size(c) - 1), s -> aggregate(slice(c, s + 1, {below - 1}), 0, (a, x) -> a + x)))"
-    hashed = counted.where(F.expr(longest) >= min_words).select("doc_id", "c", F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr("transform(t, x -> xxhash64(x, 7))").alias("g"))
+    hashed = counted.select("doc_id", "c", F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr("transform(t, x -> xxhash64(x, 7))").alias("g"))
     parts = []
     for n in range(1, below):
         starts = f"filter(transform(h, (x, s) -> s), s -> s + {n} <= size(h) and aggregate(slice(c, s + 1, {n}), 0, (a, x) -> a + x) >= {min_words})"
