@@ -461,6 +461,41 @@ def test_pages_of_many_nodes_have_a_template():
     assert all("Site motto" not in wrapper.main_text(p, tree) and f"Part 149 of {i}" in wrapper.main_text(p, tree) for i, p in enumerate(pages))
 
 
+def plain_page(r, i, plain=False, article="article"):
+    """A page of a made-up host and its text as it was put together; ``plain`` names nothing."""
+    names = {k: "div" if plain else k for k in ("nav", "footer", "aside")}
+    title, parts = prose(r, 4) + f" {i}", [prose(r, r.randint(15, 60)) + f" {i}.{k}" for k in range(r.randint(2, 5))]
+    # The wording of its notice is the host's own, and nothing names it.
+    inner = f"<h1>{title}</h1>" + "".join(f"<p>{x.replace('beta', '<i>beta</i>')}</p>" for x in parts[:1]) + "<p>Read more with a subscription today</p>" + "".join(f"<p>{x}</p>" for x in parts[1:])
+    html = f"<html><head><title>{title}</title></head><body><{names['nav']}><ul><li><a href=x>Home</a><li><a href=y>News {i % 3}</a></ul></{names['nav']}><div><p>Wishes of the day {r.choice(WORDS)}</p></div><{article}>{inner}</{article}><{names['footer']}>Made by us, {i}</{names['footer']}></body></html>"
+    return html, "\n".join([title, *parts])
+
+
+@pytest.mark.parametrize(("plain", "article"), [(False, "article"), (False, "div"), (True, "div")])
+def test_wrapper_finds_articles_by_what_varies(spark, plain, article):
+    common.ship(spark)
+    r = random.Random(21)
+    pages = [plain_page(r, i, plain, article) for i in range(90)]
+    rows = [(i, f"http://a.example/{i}", p[0]) for i, p in enumerate(pages)]
+    one = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7, "page_id")
+    other = one.orderBy(F.desc("page_id")).coalesce(1)
+    got = [{x["page_id"]: x["text"] for x in wrapper.extract(df, most).collect()} for df, most in ((one, 1 << 20), (other, 0))]
+    assert got[0] == got[1] == {i: p[1] for i, p in enumerate(pages)}
+    assert all(wrapper.main_text(p[0]) != p[1] for p in pages)  # without the host's tree the notice stays
+
+
+def test_wrapper_on_odd_pages(spark):
+    common.ship(spark)
+    deep = "<div>" * 100_000 + "deep text" + "</div>" * 100_000 + "<p>after"
+    inline = "<b>" * 20_000 + "bold" + "</b>" * 20_000
+    wide = "".join(f"<div class=c{i}>{i}</div><p>w{i}</p>" for i in range(1500))
+    rows = [(0, "http://a/1", deep), (1, "http://a/1", deep), (2, "http://a/2", inline), (5, None, None), (6, "http://a/3", "<div>" * 150 + "<nav>x</nav><script>y</script>z<nav>" + "<div>u</div></nav>v")]
+    rows += [(10 + i, f"http://b/{i}", wide.replace("</p>", f" of {i}</p>")) for i in range(4)]
+    got = {x["page_id"]: x["text"] for x in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("tree", F.lit(1))).collect()}
+    assert (got[0], got[1], got[2], got[5], got[6]) == ("deep text\nafter", "deep text\nafter", "bold", "", "z\nv")
+    assert got[12] == "\n".join(f"w{k} of 2" for k in range(1500))  # what is between is the host's
+
+
 # ---------------------------------------------------------------- near copies of the pipeline
 def plain_shingles(t, n=5):
     w = t.lower().split()
