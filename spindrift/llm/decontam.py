@@ -1,22 +1,47 @@
-"""Benchmark decontamination by hashed runs of words, in DataFrame operations only.
-
-A text is its words (letters and digits, lower case). A seed is the hash of a few consecutive words.
-The seeds of every position of the benchmark are joined with those of every position of the
-documents. An overlap of 13 words with at most 2 others holds a run of 4 equal words, wherever the others
-are: 11 words lie in 3 runs at most. So does one of 8 to 12 words with one other; one of 7 holds a run of 3,
-and shorter items are met whole (``seed_width``). Hits give the alignment (document, item, shift); all words of both
-are then compared along it.
+"""Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
+
+A text is its words (letters and digits, lower case). A seed is the hash of the words that a fixed mask selects from a
+few consecutive ones; what the mask leaves out may be anything. Seeds at every position of the benchmark are joined with
+those at every position of the documents. The masks for a length are lossless: wherever words of an overlap are replaced, as
+many as are tolerated, one of them still selects equal words only (``lossless`` tries every way). Around each hit, all
+windows of the overlap's length that hold the seed are compared word by word.
+
+The seeds of a usual benchmark are broadcast, each with the words around it, so that documents are hashed, joined and
+verified in the stage that scans them and no text is shuffled.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Benchmarks of up to so many seeds (16 bytes each) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_SEEDS = 1_000_000
+#: Benchmarks of up to so many seeds (about 250 bytes each with their surroundings) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_SEEDS = 200_000
+
+#: Spaced masks, as the places they select, heaviest first; two of weight 6 bear two others among 13 words, the last one among 7.
+MASKS = (((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8)), ((0, 1, 3, 6, 7),), ((0, 1, 3, 4),))
+
+
+def lossless(masks: tuple, length: int, others: int) -> bool:
+    """Whether, with any ``others`` of ``length`` words replaced, some mask at some place selects none of these."""
+    if any(m[-1] >= length for m in masks):
+        return False
+    places = [frozenset(s + x for x in m) for m in masks for s in range(length - m[-1])]
+    return all(any(p.isdisjoint(bad) for p in places) for bad in itertools.combinations(range(length), others))
+
+
+def masks_for(length: int, others: int) -> tuple:
+    """Lossless masks for overlaps of ``length`` words of which ``others`` may be replaced."""
+    if math.comb(length, others) <= 20_000:
+        for masks in MASKS:
+            if lossless(masks, length, others):
+                return masks
+    # The longest run of equal words is at least this long, wherever the others are.
+    return (tuple(range(min(6, -(-(length - others) // (others + 1))))),)
 
 
 def words(text: Column) -> Column:
@@ -24,20 +49,27 @@ def words(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def seed_width(n: int, run: int = 13, replaced: int = 2) -> int:
-    """The least that the longest run of equal words can be in an overlap with an item of ``n`` words, 4 at most."""
-    length = min(n, run)
-    others = replaced * length // run
-    return min(4, -(-(length - others) // (others + 1)))
+def _hashes(mask: tuple, size: str = "size(w)") -> str:
+    """The seeds of ``w`` under ``mask`` at each position, in order."""
+    picked = ", ".join(f"get(w, s + {i})" for i in mask)
+    return f"if({size} > {mask[-1]}, transform(sequence(0, {size} - {mask[-1] + 1}), s -> xxhash64({picked}, '{' '.join(map(str, mask))}')), cast(array() as array<bigint>))"
 
 
-def _seeds(hashed: DataFrame, key: str, widths: list[int]) -> DataFrame:
-    """``key, pos, seed`` for each of ``widths`` and each position of the array ``w``."""
+def _benchmark_seeds(items: DataFrame, run: int, replaced: int, lengths: list[int]) -> tuple[DataFrame, list[tuple]]:
+    """``seed, mask, item_id, length, before, around`` (the words of all windows that hold the seed, and how many stand before it), and the masks."""
+    by_masks: dict[tuple, list[int]] = {}
+    for n in lengths:
+        by_masks.setdefault(masks_for(n, replaced * n // run), []).append(n)
+    every = sorted({m for ms in by_masks for m in ms}) or [MASKS[-1][0]]
     parts = []
-    for n in widths:
-        pieces = ", ".join(f"get(w, s + {i})" for i in range(n))
-        parts.append(f"transform(if(size(w) >= {n}, sequence(0, size(w) - {n}), cast(array() as array<int>)), s -> struct(s as pos, xxhash64({pieces}, {n}) as seed))")
-    return hashed.select(key, F.expr(f"inline(concat({', '.join(parts)}))"))
+    for masks, ns in by_masks.items():
+        for m in masks:
+            own = items.where(F.col("length").isin(ns)).select("item_id", "w", "length", F.posexplode_outer(F.expr(_hashes(m))).alias("at", "seed"))
+            first, last = f"greatest(0, at + {m[-1] + 1} - length)", "least(at, size(w) - length)"
+            parts.append(own.select("seed", F.lit(every.index(m)).alias("mask"), "item_id", "length", F.expr(f"at - {first}").alias("before"), F.expr(f"slice(w, {first} + 1, {last} + length - {first})").alias("around")))
+    if not parts:
+        parts = [items.select(F.lit(0).cast("long").alias("seed"), F.lit(0).alias("mask"), "item_id", "length", F.lit(0).alias("before"), F.col("w").alias("around"))]
+    return reduce(DataFrame.unionByName, parts).distinct(), every
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, run: int = 13, replaced: int = 2, least_words: int = 1) -> DataFrame:
@@ -46,27 +78,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, run: int = 13, replaced: int
     An overlap is ``run`` consecutive words of the item (or all, if it has fewer) of which
     the document holds all but ``replaced`` (in proportion for fewer) at the same shift;
     ``n_same`` is the most equal words in such a run. Items of equal words are compared once,
-    under their least item_id. Items of fewer than ``least_words`` words are left out.
+    under their least item_id. Items of fewer than ``least_words`` words, and those without words, are left out.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).groupBy("w").agg(F.min("item_id").alias("item_id")).where(F.size("w") >= max(1, least_words))
-    lengths = [r["n"] for r in items.select(F.least(F.size("w"), F.lit(run)).alias("n")).distinct().collect()]  # run of them at most
-    by_width: dict[int, list[int]] = {}
-    for n in lengths:
-        by_width.setdefault(seed_width(n, run, replaced), []).append(n)
-    widths = sorted(by_width) or [4]
-    own = [_seeds(items.where(F.least(F.size("w"), F.lit(run)).isin(by_width.get(x, []))), "item_id", [x]) for x in widths]
-    seeds = reduce(DataFrame.unionByName, own).select("seed", "item_id", F.col("pos").alias("item_pos")).distinct()
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).groupBy("w").agg(F.min("item_id").alias("item_id")).where(F.size("w") >= max(1, least_words)).withColumn("length", F.least(F.size("w"), F.lit(run)))
+    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # run of them at most
+    seeds, masks = _benchmark_seeds(items, run, replaced, lengths)
     n_seeds = seeds.count()
-    if n_seeds <= BROADCAST_SEEDS:
-        seeds, items = F.broadcast(seeds), F.broadcast(items)
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
-    hits = _seeds(texts, "doc_id", widths).join(seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))
-    around = by_doc.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", words(F.col("text")).alias("d"), F.explode("hits").alias("hit"))
-    pairs = around.select("doc_id", "d", "hit.item_id", "hit.shift").join(items, "item_id")
-    same = pairs.select("doc_id", "item_id", F.size("w").alias("n"), F.expr("transform(w, (x, k) -> if(shift + k >= 0 and get(d, shift + k) = x, 1, 0))").alias("same"))
-    length = f"least(n, {run})"
-    best = same.select("doc_id", "item_id", F.expr(length).alias("length"), F.expr(f"array_max(transform(sequence(0, n - {length}), a -> aggregate(slice(same, a + 1, {length}), 0, (t, x) -> t + x)))").alias("n_same"))
+    # Outer generators: for others a filter on the array's size is inferred and pushed below, where each word would split the text again.
+    hashed = texts.select("doc_id", "w", F.expr(f"concat({', '.join(map(_hashes, masks))})").alias("seeds"))
+    # All masks' seeds stand in one array: a mask's begin after those of the masks before it.
+    begins = [" + ".join(["0", *[f"greatest(0, size(w) - {m[-1]})" for m in masks[:i]]]) for i in range(len(masks))]
+    begin = " ".join(["case mask", *[f"when {i} then {b}" for i, b in enumerate(begins)], "end"])
+    if n_seeds <= BROADCAST_SEEDS:
+        hits = hashed.select("doc_id", "w", F.posexplode_outer("seeds").alias("at", "seed")).join(F.broadcast(seeds), "seed")
+    else:
+        found = hashed.select("doc_id", F.posexplode_outer("seeds").alias("at", "seed")).join(seeds, "seed").drop("seed")
+        hits = found.join(texts, "doc_id")
+    met = hits.select("doc_id", "item_id", "length", "around", "w", F.expr(f"at - ({begin}) - before").alias("shift"))
+    # Behind a generator the comparison stays out of the join's condition, which would keep the join from being compiled.
+    same = met.select("doc_id", "item_id", "length", F.explode_outer(F.array(F.expr("transform(around, (x, k) -> if(shift + k >= 0 and get(w, shift + k) = x, 1, 0))"))).alias("same"))
+    best = same.select("doc_id", "item_id", "length", F.explode_outer(F.array(F.expr("array_max(transform(sequence(0, size(same) - length), a -> aggregate(slice(same, a + 1, length), 0, (t, x) -> t + x)))"))).alias("n_same"))
     return best.where(f"n_same >= length - floor({replaced} * length / {run})").groupBy("doc_id", "item_id").agg(F.max("n_same").cast("long").alias("n_same"))
 
 
@@ -74,7 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 1) ->
     """Per row of ``docs``: ``doc_id, contaminated, n_items, n_same`` (most equal words in a run; 0 without overlap).
 
     Null and empty texts are clean, as is every document if the benchmark is empty. Rows of
-    one doc_id share a result; other columns are ignored.
+    one doc_id share a result; other columns are ignored. Very long texts are compared whole.
     """
     found = overlaps(docs, benchmark, least_words=least_words).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("n_same").alias("n_same"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_same", F.lit(0)).alias("n_same"))

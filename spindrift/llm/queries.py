@@ -19,8 +19,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL: items of nine or more words."""
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_words=9)
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +99,11 @@ def _words(table: str, key: str) -> str:
 ORACLES: dict[str, str] = {
     # Every alignment of every document and item, by all equal words.
     "op1_decontaminate": f"""
-        WITH d AS ({_words('documents', 'doc_id')}), b AS (SELECT min(item_id) AS item_id, w FROM ({_words('benchmark', 'item_id')}) GROUP BY w HAVING len(w) >= 9),
+        WITH d AS ({_words('documents', 'doc_id')}), b AS (SELECT min(item_id) AS item_id, w FROM ({_words('benchmark', 'item_id')}) GROUP BY w HAVING len(w) > 0),
         dw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM d),
         bw AS (SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM b),
         same AS (SELECT doc_id, item_id, n, dw.p - bw.p AS shift, bw.p AS k FROM dw JOIN bw USING (w)),
-        near AS (SELECT doc_id, item_id, shift FROM same GROUP BY ALL HAVING count(*) >= 8),
+        near AS (SELECT doc_id, item_id, shift FROM same GROUP BY ALL HAVING count(*) >= least(max(n), 13) - floor(2 * least(max(n), 13) / 13)),
         run AS (
             SELECT doc_id, item_id, least(n, 13) AS length, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n_same
             FROM same JOIN near USING (doc_id, item_id, shift)),

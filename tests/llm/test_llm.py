@@ -183,9 +183,12 @@ def test_decontamination_catches_replaced_words(spark):
     assert decontam.contaminated(docs.limit(0), benchmark).count() == 0
 
 
-def test_decontamination_meets_every_overlap(spark):
+@pytest.mark.parametrize("most", [None, 0])
+def test_decontamination_meets_every_overlap(spark, monkeypatch, most):
     import itertools
 
+    if most is not None:
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", most)  # the join by a shuffle
     items = [[f"i{n}x{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 18)]
     rows, want = [], set()
     for i, w in enumerate(items):
@@ -201,6 +204,53 @@ def test_decontamination_meets_every_overlap(spark):
     assert {x["item_id"] for x in decontam.overlaps(docs, benchmark, least_words=9).collect()} == {i for i, w in enumerate(items) if len(w) >= 9}
 
 
+def test_masks_are_lossless():
+    assert not decontam.lossless(((0, 1, 2, 3, 4),), 13, 2)
+    for n in range(1, 14):
+        assert decontam.lossless(decontam.masks_for(n, 2 * n // 13), n, 2 * n // 13)
+    assert decontam.lossless(decontam.masks_for(20, 5), 20, 5)
+    assert any(m != tuple(range(len(m))) for m in decontam.masks_for(13, 2))
+
+
+def plain_overlaps(texts, items, run=13, replaced=2):
+    out = {}
+    tokens = lambda t: [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+    seen = {}
+    for i, t in items:
+        if w := tokens(t):
+            seen.setdefault(tuple(w), i)
+    for d, t in texts:
+        t = tokens(t)
+        for w, i in seen.items():
+            n = min(run, len(w))
+            least = n - replaced * n // run
+            for a in range(len(w) - n + 1):
+                for s in range(-n, len(t) + 1):
+                    same = sum(0 <= s + k < len(t) and t[s + k] == w[a + k] for k in range(n))
+                    if same >= least:
+                        out[d, i] = max(out.get((d, i), 0), same)
+    return out
+
+
+def test_decontamination_of_random_overlaps(spark):
+    r = random.Random(31)
+    items = [(i, prose(r, r.choice([1, 2, 3, 5, 7, 9, 11, 12, 13, 14, 17, 25]), WORDS[:9])) for i in range(14)] + [(90, None), (91, " ?! "), (92, "Só é")]
+    texts = []
+    for k in range(60):
+        w = r.choice(items[:14])[1].split()
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice([*WORDS[:9], "other"])
+        texts.append((k % 55, prose(r, r.randint(0, 6), WORDS[:9]) + ", " + " ".join(w[r.randint(0, 2) :]) + "\n" + prose(r, r.randint(0, 30), WORDS[:9])))
+    texts += [(80, None), (81, ""), (82, "x só É y"), (83, prose(r, 20000, WORDS[9:]))]
+    docs = spark.createDataFrame([(*t, 1, "a", 2) for t in texts], "doc_id long, text string, seed long, w string, item_id int").repartition(3)
+    benchmark = spark.createDataFrame([(*i, 1, 2) for i in items], "item_id long, text string, doc_id long, length int")
+    want = plain_overlaps(texts, items)
+    assert {(x["doc_id"], x["item_id"]): x["n_same"] for x in decontam.overlaps(docs, benchmark).collect()} == want
+    rows = decontam.contaminated(docs, benchmark).collect()
+    assert sorted(x["doc_id"] for x in rows) == sorted(t[0] for t in texts)
+    assert {x["doc_id"]: x["n_items"] for x in rows if x["contaminated"]} == dict(collections.Counter(d for d, _ in want))
+
+
 # ---------------------------------------------------------------- 2
 def plain_spans(t):
     pats = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
