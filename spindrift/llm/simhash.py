@@ -1,4 +1,8 @@
-"""SimHash near-duplicates: fingerprints of word shingles, joined on pigeonhole blocks."""
+"""SimHash near-duplicates: fingerprints of word shingles, joined on pigeonhole blocks.
+
+``near_duplicates`` links by the Hamming distance of one fingerprint; ``near_copies`` proposes pairs by the same means, with
+several fingerprints of weighted shingles, and decides by the similarity of whole sets of shingles.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,10 @@ from pyspark.sql import types as T
 from spindrift.llm.common import components, kept_table
 
 SEED = 42
+#: For near copies each text has so many fingerprints; of each, the votes of the VOTERS shingles of least hash count 1, 1/2, 1/3 ...
+DRAWS, VOTERS = 20, 8
+#: Near copies are compared whole if one fingerprint differs in this many bits at most, and agrees in one of its two halves.
+NEAR_BITS = 3
 #: Pairs of distinct fingerprints are compared one by one in blocks up to this size; larger blocks are linked through hubs, which is as exact.
 PAIRWISE = 48
 _VOTES_AT_ONCE = 65536
@@ -113,3 +121,126 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataF
     roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = named.join(roots, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- near copies by the similarity of their shingles
+_draw = np.random.default_rng(SEED)
+_XOR = _draw.integers(0, 1 << 63, DRAWS).astype(np.uint64)[:, None]
+_TIMES = (_draw.integers(0, 1 << 63, DRAWS).astype(np.uint64) | np.uint64(1))[:, None]
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct hashes of the word shingles of ``text``; a text of fewer words than ``width`` is one shingle."""
+    words = (text or "").encode("utf-8").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n, digest = len(words) - width + 1, xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def weighted_fingerprints(found: np.ndarray) -> np.ndarray:
+    """DRAWS SimHash fingerprints of a set of shingles, each with its own weights.
+
+    Under each draw shingles have a random order; the first VOTERS vote with weights 1, 1/2, 1/3 ..., others
+    with none. Two sets agree in what decides with about the probability of their similarity, so that fingerprints of near copies differ
+    in few bits, or none, and those of others in about half.
+    """
+    order = np.full((DRAWS, VOTERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), _VOTES_AT_ONCE):
+        order = np.concatenate([order, _mixed((found[None, at : at + _VOTES_AT_ONCE] ^ _XOR) * _TIMES)], axis=1)
+        order = np.partition(order, VOTERS - 1, axis=1)[:, :VOTERS]
+    first = np.sort(order, axis=1)[:, : len(found)]
+    weights = 1.0 / np.arange(1, first.shape[1] + 1)
+    bits = np.unpackbits(_mixed(first * np.uint64(0x9E3779B97F4A7C15)).view(np.uint8).reshape(*first.shape, 8), axis=2, bitorder="little")
+    votes = np.einsum("v,dvb->db", weights, bits) > weights.sum() / 2
+    return np.packbits(votes, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, k1, k2`` (the set of shingles in 128 bits) and ``fps`` of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, width) for t in b.column(1).to_pylist()]
+            keys = np.array([[xxhash.xxh64_intdigest(s.tobytes(), i) for i in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            flat = np.concatenate([weighted_fingerprints(s) for s in sets] or [np.empty(0, np.uint64)]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, DRAWS, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "k1", "k2", "fps"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, fps array<long>")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """``node, s``: the set of shingles of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "s"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, s array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct ``a, b`` whose sets have a Jaccard similarity of ``least`` or more."""
+    sizes = sets.select("node", F.size("s").alias("n"))
+    few = pairs.distinct().join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+    both = few.join(sets.withColumnsRenamed({"node": "a", "s": "s_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "s_b"}), "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.where(common >= least * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` (the smallest doc_id reachable by links) of each row of ``docs`` (``doc_id, text``).
+
+    Texts whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more are linked; null and empty
+    texts have one set and are linked with each other. Texts of equal sets are reduced to one first. A pair is proposed where one
+    of its DRAWS fingerprints agrees in one of two halves (a block) and differs in NEAR_BITS bits at most, and is
+    decided by the whole sets; a pair at 0.8 isn't proposed with a probability of about 0.001. In blocks of
+    over PAIRWISE texts each text is first compared with the block's two leaders, once under one of its blocks, and then
+    with those within NEAR_BITS that these links leave in other components: the components are the same as from all pairs.
+    Rows of one doc_id should be one row; other columns are ignored; an empty table stays empty.
+    """
+    made = kept_table(_sketches(docs, width), "copies")
+    reps = made.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "fps")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("node"), F.col("r.fps").alias("fps"))
+    every = reps.select("node", F.posexplode("fps").alias("draw", "fp"))
+    halves = F.array(F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("bits")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("bits")))
+    # draw, half and 32 bits make one long: the block.
+    keyed = every.select("node", "fp", "draw", F.explode(halves).alias("k")).select("node", "fp", (F.shiftleft((F.col("draw") * 2 + F.col("k.half")).cast("long"), 32) + F.col("k.bits")).alias("block"))
+    counts = keyed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    shared = kept_table(keyed.join(counts, "block"), "copies-shared")
+    sets = kept_table(_sets(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), width), "copies-sets")
+
+    small, large = shared.where(F.col("n") <= PAIRWISE).select("block", "node", "fp"), shared.where(F.col("n") > PAIRWISE)
+    near = f"x.block = y.block and x.node < y.node and bit_count(x.fp ^ y.fp) <= {NEAR_BITS}"
+    pairs = small.alias("x").join(small.alias("y"), F.expr(near)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    leaders = large.groupBy("block").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(2)])
+    own = large.groupBy("node").agg(F.max(F.struct("n", "block")).alias("m")).select("node", F.col("m.block").alias("block"))
+    stars = own.join(leaders, "block").select("node", F.explode(F.array("l0", "l1")).alias("leader")).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    links = kept_table(_similar(_ordered(pairs.unionByName(stars)), sets, least), "copies-links")
+    found = components(links, "copies-cc")
+    if large.limit(1).count():
+        apart = large.join(found, "node", "left").select("block", "node", "fp", F.coalesce("component", "node").alias("c"))
+        several = apart.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("block")
+        # Pigeonhole again: 32 bits are left in which NEAR_BITS may differ, so one of NEAR_BITS + 1 parts of them agrees.
+        width_of = 32 // (NEAR_BITS + 1)
+        other = F.when(F.shiftright("block", 32) % 2 == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+        parts = F.array(*[F.struct(F.lit(i).alias("part"), F.shiftright(other, width_of * i).bitwiseAND(F.lit((1 << width_of) - 1)).alias("bits")) for i in range(NEAR_BITS + 1)])
+        apart = kept_table(apart.join(several, "block", "left_semi").select("block", "node", "fp", "c", F.explode(parts).alias("p")), "copies-apart")
+        rest = apart.alias("x").join(apart.alias("y"), F.expr(f"x.p = y.p and x.c < y.c and x.block = y.block and bit_count(x.fp ^ y.fp) <= {NEAR_BITS}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        more = kept_table(_similar(_ordered(rest), sets, least), "copies-more")
+        if more.limit(1).count():
+            found = components(links.unionByName(more), "copies-cc")
+    roots = reps.select("k1", "k2", "node").join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
+    return made.select("doc_id", "k1", "k2").join(roots, ["k1", "k2"]).select("doc_id", "component_id")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, common, decontam, langid, linededup, minhash, pii, pretokens, simhash, suffixes, tokenfile, vectors, wrapper
+from spindrift.llm import bpe, common, decontam, langid, linededup, pii, pretokens, simhash, suffixes, tokenfile, vectors, wrapper
 
 tokenizers = pytest.importorskip("public_tokenizers")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -571,8 +571,8 @@ def test_near_copies(spark):
     sets = [plain_shingles(t or "") for t in texts]
     want = classes(len(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, node long, bucket long").repartition(3)
-    assert {x["doc_id"]: x["component_id"] for x in minhash.near_copies(df).collect()} == dict(enumerate(want))
-    assert minhash.near_copies(df.limit(0)).count() == 0
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_copies(df).collect()} == dict(enumerate(want))
+    assert simhash.near_copies(df.limit(0)).count() == 0
 
 
 def test_pipeline_drops_edited_copies(spark):
