@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, decontam, langid, linededup, minhash
+from spindrift.llm import bpe, decontam, langid, linededup, simhash
 from spindrift.llm.common import kept_table, ship, table
 
 #: Documents whose best language scores less than this are rejected, as are those without letters.
@@ -32,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each class of near copies (five-word Jaccard similarity of 0.8 or more)."""
     ship(spark)
-    gone = minhash.near_copies(docs, width=5, least=0.8).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = simhash.near_copies(docs, width=5, least=0.8).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
