@@ -1,13 +1,15 @@
 """Line deduplication by winnowing, in DataFrame operations only.
 
-A document is its sequence of lines that aren't blank. Of every window of
-``min_lines`` lines the one with the least hash is the window's fingerprint, so
-that two equal runs of that length select the same one. Windows whose fingerprint is
-found at one place only can't be repeated and go at once. Around the others, the
-windows are compared whole; each is linked to its first place, in order of doc_id and line.
-The union of a document's linked windows is its repeated runs, extended both ways as far
-as the lines agree, and these are deleted. Shorter runs count too where they hold
-``min_words`` words: windows of one line, two and so on up to ``min_lines`` - 1 are compared likewise.
+A document is its sequence of lines that aren't blank, hashed once. Of every window of ``min_lines`` lines, and of every
+shorter one of ``min_words`` words, the line of least hash (the first of equals) is selected: two equal runs of that size
+select the same one, so that one row per selected line, its fingerprint, is guaranteed to meet them. Fingerprints of lines selected
+at one place only go at once. The others are joined with the first place that holds the same line in the same surroundings, which are
+the windows that selected it, and of these positions that lie on one diagonal (same two documents, same distance) the matches
+are extended both ways from one to the next, as far as the lines agree: selected lines of a run are less than a window apart. What is
+then covered by a match with an earlier place is deleted.
+
+Joins whose key may be in a third of all rows are made in two parts: keys that hold over a thousandth of the
+rows, which are under a thousand, are broadcast, and the rest is shuffled.
 """
 
 from __future__ import annotations
@@ -15,57 +17,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import kept_table
+
+#: Keys with more than the HOT-th part of all rows are joined by broadcast; there are fewer than HOT of them.
+HOT = 1000
+
 
-def _lines(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, t``: the lines that aren't blank of documents with ``n`` of them at least."""
-    return docs.select("doc_id", F.expr("filter(transform(split(text, '\n'), x -> trim(x)), x -> x <> '')").alias("t")).where(F.size("t") >= n)
+def _lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, h, g, c``: two hashes, of independent seeds, and the words of each line that isn't blank."""
+    filled = docs.select("doc_id", F.expr("filter(transform(split(text, '\n'), x -> trim(x)), x -> x <> '')").alias("t"))
+    hashes = [F.expr(e).alias(n) for e, n in (("transform(t, x -> xxhash64(x))", "h"), ("transform(t, x -> xxhash64(7, x))", "g"), ("transform(t, x -> size(split(x, '[ \\\\t\\\\r]+')))", "c"))]
+    return filled.select("doc_id", *hashes).where("size(h) > 0")
 
 
-def _windows(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, start, at, mark, k1, k2`` of each window of ``n`` lines: its first line, its fingerprint's line and hash, and its own hash of 128 bits."""
-    lines = _lines(docs, n)
-    hashed = lines.select("doc_id", F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr("transform(t, x -> xxhash64(x, 7))").alias("g"))
-    made = f"""inline(transform(sequence(0, size(h) - {n}), s -> struct(s as start, slice(h, s + 1, {n}) as w, xxhash64(slice(h, s + 1, {n})) as k1, xxhash64(slice(g, s + 1, {n})) as k2)))"""
-    return hashed.select("doc_id", F.expr(made)).select("doc_id", "start", F.array_min("w").alias("mark"), (F.col("start") + F.array_position("w", F.array_min("w")).cast("int") - 1).alias("at"), "k1", "k2")
+def _fingerprints(lines: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """``doc_id, at, mark, windows``: each selected line, its hash, and the windows (``n, start, k1, k2``: lines, first line, hash of 128 bits) that selected it."""
+    sizes = [min_lines] if min_words is None else list(range(1, min_lines + 1))
+    least, around = [], []
+    for n in sizes:
+        picked = f"slice(h, s + 1, {n})"
+        wordy = "" if n == min_lines else f" and aggregate(slice(c, s + 1, {n}), 0, (a, x) -> a + x) >= {min_words}"
+        # For each first line: the selected line of the window, -1 if it is none.
+        least.append(F.expr(f"transform(sequence(0, size(h) - 1), s -> if(s + {n} <= size(h){wordy}, s + cast(array_position({picked}, array_min({picked})) as int) - 1, -1))").alias(f"m{n}"))
+        around.append(f"transform(filter(sequence(greatest(0, p - {n - 1}), p), s -> m{n}[s] = p), s -> struct({n} as n, s as start, xxhash64({picked}) as k1, xxhash64(7, slice(g, s + 1, {n})) as k2))")
+    chosen = lines.select("doc_id", "h", "g", *least)
+    made = F.expr(f"filter(transform(sequence(0, size(h) - 1), p -> struct(p as at, h[p] as mark, concat({', '.join(around)}) as windows)), f -> size(f.windows) > 0)")
+    return chosen.select("doc_id", F.explode_outer(made).alias("f")).where("f is not null").select("doc_id", "f.at", "f.mark", "f.windows")
 
 
-def _wordy(docs: DataFrame, below: int, min_words: int) -> DataFrame:
-    """``doc_id, start, n, k1, k2`` of each window of ``n`` < ``below`` lines that holds ``min_words`` words or more."""
-    words = F.expr("transform(t, x -> size(split(x, '[ \\\\t\\\\r]+')))")
-    counted = _lines(docs, 1).select("doc_id", "t", words.alias("c"))
-    hashed = counted.select("doc_id", "c", F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr("transform(t, x -> xxhash64(x, 7))").alias("g"))
-    parts = []
-    for n in range(1, below):
-        starts = f"filter(transform(h, (x, s) -> s), s -> s + {n} <= size(h) and aggregate(slice(c, s + 1, {n}), 0, (a, x) -> a + x) >= {min_words})"
-        parts.append(f"transform({starts}, s -> struct(s as start, {n} as n, xxhash64(slice(h, s + 1, {n})) as k1, xxhash64(slice(g, s + 1, {n})) as k2))")
-    return hashed.select("doc_id", F.expr(f"inline(concat({', '.join(parts)}))"))
+def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys`` (a table with a row and a count ``rows`` per key); keys of many rows by broadcast."""
+    total = keys.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    hot = F.broadcast(keys.where(F.col("rows") * HOT > total).drop("rows"))
+    cool = keys.where(F.col("rows") * HOT <= total).drop("rows")
+    return rows.join(hot, on, how).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cool, on, how))
 
 
 def repeated(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
-    """``doc_id, runs``: first line (among those not blank, from 0) and lines of windows that an earlier place holds too.
+    """``doc_id, runs``: first lines (among those not blank, from 0) and ends of the runs that an earlier place holds too.
 
-    The windows are those of ``min_lines`` lines and, with ``min_words``, those of fewer lines that hold so many words. Within a document an earlier place counts only if the two windows don't
-    overlap. All reductions are minima and maxima with map-side combining; the joins
-    have one row per key on one side, so a fingerprint in a third of the documents is
-    a skewed join that AQE splits.
+    A run has ``min_lines`` lines or, with ``min_words``, so many words at least. Within a document an earlier place counts only
+    if its window doesn't overlap with the later one.
     """
-    windows = _windows(docs, min_lines)
+    lines = kept_table(_lines(docs), "lines")
+    prints = kept_table(_fingerprints(lines, min_lines, min_words), "line-prints")
     place = F.struct("doc_id", "at")
-    marks = windows.groupBy("mark").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("mark")
-    near = windows.join(marks, "mark", "left_semi")
-    windows = near.select("doc_id", "start", F.lit(min_lines).alias("n"), "k1", "k2")
-    if min_words is not None and min_lines > 1:
-        windows = windows.unionByName(_wordy(docs, min_lines, min_words))
-    firsts = windows.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last").select("n", "k1", "k2", "first")
-    later = windows.join(firsts, ["n", "k1", "k2"]).where("first.doc_id < doc_id or (first.doc_id = doc_id and first.start + n <= start)")
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    marks = kept_table(prints.groupBy("mark").agg(F.count("*").alias("rows"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("mark", "rows"), "line-marks")
+    met = _with_keys(prints, marks, ["mark"], "left_semi").select("doc_id", F.explode_outer("windows").alias("w")).select("doc_id", "w.*")
+    first = F.struct("doc_id", "start")
+    firsts = kept_table(met.groupBy("n", "k1", "k2").agg(F.count("*").alias("rows"), F.min(first).alias("first"), F.max(first).alias("last")).where("first <> last").select("n", "k1", "k2", "rows", "first"), "line-firsts")
+    later = _with_keys(met, firsts, ["n", "k1", "k2"]).where("first.doc_id < doc_id or (first.doc_id = doc_id and first.start + n <= start)")
+    # The matches of a diagonal, extended to both sides: windows in order, joined to runs while the next begins within or at the end.
+    on = later.groupBy("doc_id", F.col("first.doc_id").alias("partner"), (F.col("start") - F.col("first.start")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("ws"))
+    runs = F.expr("""aggregate(ws, cast(array() as array<struct<start: int, end: int>>), (a, w) ->
+        if(size(a) > 0 and w.start <= element_at(a, -1).end,
+           concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, w.end) as end))),
+           concat(a, array(w))))""")
+    return on.select("doc_id", runs.alias("runs")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """``docs`` with later repeated runs of ``min_lines`` or more lines, or of ``min_words`` or more words, deleted from ``text``.
 
     All columns stay, in order, and ``n_lines`` (not blank) and ``n_removed`` follow, longs.
-    Lines are compared without spaces at their ends; blank lines are passed over in
+    Lines are compared by 128 bits of hash, without spaces at their ends; blank lines are passed over in
     comparing and stay. The first place of each line in the whole table always stays,
     so text is never lost everywhere. Null texts stay null, and empty ones empty, with 0 lines;
     rows of one doc_id count as one document. An empty table stays empty.
@@ -74,7 +89,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = Non
     joined = docs.join(found, docs["doc_id"] == F.col("_dd_id"), "left")
     lines = "split(text, '\n')"
     filled = f"filter(transform({lines}, (x, i) -> if(trim(x) <> '', i, -1)), i -> i >= 0)"
-    staged = joined.withColumn("_dd_filled", F.expr(f"if(text is null, cast(array() as array<int>), {filled})")).withColumn("_dd_gone", F.expr("if(_dd_runs is null, cast(array() as array<int>), array_distinct(flatten(transform(_dd_runs, r -> slice(_dd_filled, r.start + 1, r.n)))))"))
+    staged = joined.withColumn("_dd_filled", F.expr(f"if(text is null, cast(array() as array<int>), {filled})")).withColumn("_dd_gone", F.expr("if(_dd_runs is null, cast(array() as array<int>), array_distinct(flatten(transform(_dd_runs, r -> slice(_dd_filled, r.start + 1, r.end - r.start)))))"))
     text = F.expr(f"if(size(_dd_gone) = 0, text, array_join(transform(array_except(sequence(0, size({lines}) - 1), _dd_gone), i -> element_at({lines}, i + 1)), '\n'))")
     out = staged.withColumn("_dd_text", text)
     return out.select(*[(F.col("_dd_text").alias("text") if c == "text" else docs[c]) for c in docs.columns], F.size("_dd_filled").cast("long").alias("n_lines"), F.size("_dd_gone").cast("long").alias("n_removed"))

@@ -56,19 +56,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-def _line_dedup(spark: SparkSession, sf_dir: str, min_words: int | None) -> DataFrame:
-    done = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_lines=3, min_words=min_words)
-    return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
-
-
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL: runs of three or more lines, whatever their words."""
-    return _line_dedup(spark, sf_dir, None)
-
-
-def op10_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also runs of one or two lines that hold 50 words or more."""
-    return _line_dedup(spark, sf_dir, 50)
+    """Later repeated runs of three or more lines, or of 50 or more words, go."""
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_lines=3, min_words=50)
+    return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_line_dedup": op10_line_dedup,
-    "op10_line_dedup_words": op10_line_dedup_words,
     "pipeline": pipeline,
 }
 
@@ -114,15 +104,17 @@ ORACLES: dict[str, str] = {
     "op10_line_dedup": """
         WITH line AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-        filled AS (SELECT doc_id, i, trim(t) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM line WHERE trim(t) <> ''),
+        filled AS (SELECT doc_id, i, trim(t) AS t, len(regexp_split_to_array(trim(t), '[ \\t\\r]+')) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM line WHERE trim(t) <> ''),
         run AS (
-            SELECT doc_id, p, t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS r, CAST(doc_id AS HUGEINT) * 1000000000 + p AS place
+            SELECT doc_id, p, unnest([1, 2, 3]) AS n, unnest([
+                CASE WHEN c >= 50 THEN t END, CASE WHEN c + lead(c, 1) OVER w >= 50 THEN t || chr(10) || lead(t, 1) OVER w END,
+                t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w]) AS r, CAST(doc_id AS HUGEINT) * 1000000000 + p AS place
             FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-        once AS (SELECT r, min(place) AS place FROM run WHERE r IS NOT NULL GROUP BY r),
+        once AS (SELECT n, r, min(place) AS place FROM run WHERE r IS NOT NULL GROUP BY n, r),
         later AS (
-            SELECT run.doc_id, run.p FROM run JOIN once USING (r)
-            WHERE once.place // 1000000000 < run.doc_id OR once.place + 3 <= run.place),
-        gone AS (SELECT DISTINCT f.doc_id, f.i FROM later JOIN filled f ON f.doc_id = later.doc_id AND f.p BETWEEN later.p AND later.p + 2),
+            SELECT run.doc_id, run.p, n FROM run JOIN once USING (n, r)
+            WHERE once.place // 1000000000 < run.doc_id OR once.place + n <= run.place),
+        gone AS (SELECT DISTINCT f.doc_id, f.i FROM later JOIN filled f ON f.doc_id = later.doc_id AND f.p BETWEEN later.p AND later.p + later.n - 1),
         kept AS (
             SELECT l.doc_id, count(*) FILTER (trim(l.t) <> '') AS n_lines, count(g.i) AS n_removed,
                    string_agg(l.t, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text

@@ -104,17 +104,19 @@ def test_components(spark):
 
 
 # ---------------------------------------------------------------- 10
-def plain_lines(texts, n=3):
+def plain_lines(texts, n=3, words=None):
     seqs = [[x.strip(" ") for x in (t or "").split("\n") if x.strip(" ")] for t in texts]
     first, gone = {}, [set() for _ in texts]
+    wide = lambda w: len(w) == n or (words is not None and sum(len(re.split("[ \t\r]+", x)) for x in w) >= words)
+    runs = lambda s: [(p, tuple(s[p : p + k])) for k in range(1, n + 1) for p in range(len(s) - k + 1) if wide(s[p : p + k])]
     for d, s in enumerate(seqs):
-        for p in range(len(s) - n + 1):
-            first.setdefault(tuple(s[p : p + n]), (d, p))
+        for p, w in runs(s):
+            first.setdefault(w, (d, p))
     for d, s in enumerate(seqs):
-        for p in range(len(s) - n + 1):
-            a, b = first[tuple(s[p : p + n])]
-            if a < d or b + n <= p:
-                gone[d].update(range(p, p + n))
+        for p, w in runs(s):
+            a, b = first[w]
+            if a < d or b + len(w) <= p:
+                gone[d].update(range(p, p + len(w)))
     out = []
     for t, g in zip(texts, gone, strict=True):
         kept, k = [], -1
@@ -150,6 +152,42 @@ def test_line_dedup_counts_words(spark):
     assert {x["doc_id"]: x["text"] for x in linededup.dedup_lines(df).collect()} == dict(enumerate(plain_lines(texts)))
 
 
+def collide(a, b, c):
+    """16 bytes a + b and others c + d of one XXH64 under the usual seed, by solving its second round."""
+    m, p1, p2, p4 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63
+    rot = lambda x, r: ((x << r) | (x >> (64 - r))) & m
+    lane = lambda k: rot(k * p2 & m, 31) * p1 & m
+    state = lambda k: (rot((42 + 0x27D4EB2F165667C5 + 16 & m) ^ lane(k), 27) * p1 + p4) & m
+    wanted = state(c) ^ state(a) ^ lane(b)
+    d = rot(wanted * pow(p1, -1, 1 << 64) & m, 33) * pow(p2, -1, 1 << 64) & m
+    return a.to_bytes(8, "little") + b.to_bytes(8, "little"), c.to_bytes(8, "little") + d.to_bytes(8, "little")
+
+
+def test_line_hashes_are_independent(spark):
+    r = random.Random(8)
+    while True:  # until the solution is plain text
+        a, b, c = (int.from_bytes(bytes(r.randrange(65, 91) for _ in range(8)), "little") for _ in range(3))
+        x, y = collide(a, b, c)
+        if all(32 < z < 127 for z in y):
+            break
+    rows = [(0, f"{x.decode()}\nb\nc"), (1, f"{y.decode()}\nb\nc"), (2, f"{x.decode()}\nb\nc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = [x[0] for x in df.select(F.expr("xxhash64(split(text, '\n')[0])")).collect()]
+    assert hashes[0] == hashes[1]
+    assert {x["doc_id"]: x["n_removed"] for x in linededup.dedup_lines(df).collect()} == {0: 0, 1: 0, 2: 3}
+
+
+@pytest.mark.parametrize("words", [None, 6])
+def test_line_dedup_of_random_lines(spark, monkeypatch, words):
+    monkeypatch.setattr(linededup, "HOT", 20)
+    r = random.Random(33)
+    pool = ["a", "b", "c d", "e f g h i j", "k l m n o p q", " ", "\t", "x y z"]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(0, 14))) for _ in range(150)] + [None, ""]
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in enumerate(texts)], "doc_id long, text string, n long, h int, mark string").repartition(4)
+    got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(df, min_words=words).collect()}
+    assert got == dict(enumerate(plain_lines(texts, words=words)))
+
+
 def test_pipeline_drops_long_repeated_lines(spark):
     import corpus_pipeline
 
