@@ -8,18 +8,19 @@ the windows that selected it, and of these positions that lie on one diagonal (s
 are extended both ways from one to the next, as far as the lines agree: selected lines of a run are less than a window apart. What is
 then covered by a match with an earlier place is deleted.
 
-Joins whose key may be in a third of all rows are made in two parts: keys that hold over a thousandth of the
-rows, which are under a thousand, are broadcast, and the rest is shuffled.
+Fingerprints are sent once, by their line, with the windows that selected it. Lines that hold over a thousandth of them (or an
+average partition) are under a thousand (or the number of partitions) and broadcast; their windows are reduced where they are, and
+joined in two parts again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import kept_table
 
-#: Keys with more than the HOT-th part of all rows are joined by broadcast; there are fewer than HOT of them.
+#: Keys with more than the HOT-th part of all rows are broadcast; there are fewer than HOT of them.
 HOT = 1000
 
 
@@ -45,12 +46,20 @@ def _fingerprints(lines: DataFrame, min_lines: int, min_words: int | None) -> Da
     return chosen.select("doc_id", F.explode_outer(made).alias("f")).where("f is not null").select("doc_id", "f.at", "f.mark", "f.windows")
 
 
-def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``keys`` (a table with a row and a count ``rows`` per key); keys of many rows by broadcast."""
+def _firsts(windows: DataFrame) -> DataFrame:
+    """``windows`` that more than one place holds, with their ``first``; for lines so frequent that no task is to hold all their places."""
+    first = F.struct("doc_id", "start")
+    firsts = kept_table(windows.groupBy("n", "k1", "k2").agg(F.count("*").alias("rows"), F.min(first).alias("first"), F.max(first).alias("last")).where("first <> last").select("n", "k1", "k2", "rows", "first"), "line-firsts")
+    on, many = ["n", "k1", "k2"], _many(firsts)
+    hot = F.broadcast(firsts.where(F.col("rows") > many).drop("rows"))
+    cool = firsts.where(F.col("rows") <= many).drop("rows")
+    return windows.join(hot, on).unionByName(windows.join(hot.select(*on), on, "left_anti").join(cool, on))
+
+
+def _many(keys: DataFrame) -> float:
+    """The number of rows above which a key is hot: an average partition's, and no more than a HOT-th of all."""
     total = keys.agg(F.sum("rows").alias("n")).first()["n"] or 0
-    hot = F.broadcast(keys.where(F.col("rows") * HOT > total).drop("rows"))
-    cool = keys.where(F.col("rows") * HOT <= total).drop("rows")
-    return rows.join(hot, on, how).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cool, on, how))
+    return total / max(HOT, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def repeated(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
@@ -61,12 +70,16 @@ def repeated(docs: DataFrame, min_lines: int = 3, min_words: int | None = None)
     """
     lines = kept_table(_lines(docs), "lines")
     prints = kept_table(_fingerprints(lines, min_lines, min_words), "line-prints")
-    place = F.struct("doc_id", "at")
-    marks = kept_table(prints.groupBy("mark").agg(F.count("*").alias("rows"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("mark", "rows"), "line-marks")
-    met = _with_keys(prints, marks, ["mark"], "left_semi").select("doc_id", F.explode_outer("windows").alias("w")).select("doc_id", "w.*")
-    first = F.struct("doc_id", "start")
-    firsts = kept_table(met.groupBy("n", "k1", "k2").agg(F.count("*").alias("rows"), F.min(first).alias("first"), F.max(first).alias("last")).where("first <> last").select("n", "k1", "k2", "rows", "first"), "line-firsts")
-    later = _with_keys(met, firsts, ["n", "k1", "k2"]).where("first.doc_id < doc_id or (first.doc_id = doc_id and first.start + n <= start)")
+    marks = kept_table(prints.groupBy("mark").agg(F.count("*").alias("rows")).where("rows > 1"), "line-marks")
+    hot = F.broadcast(marks.where(F.col("rows") > _many(marks)).select("mark"))
+    opened = lambda some: some.select("doc_id", "mark", F.explode_outer("windows").alias("w")).select("doc_id", "mark", "w.*")
+    # Equal windows have selected equal lines: the fingerprints are sent once, by their line, and all is compared where they arrive.
+    at, first = Window.partitionBy("mark"), F.struct("doc_id", "start")
+    cool = prints.join(hot, "mark", "left_anti").withColumn("places", F.count("*").over(at)).where("places > 1").drop("places")
+    same = Window.partitionBy("mark", "n", "k1", "k2")
+    cool = opened(cool).withColumn("first", F.min(first).over(same)).drop("mark", "k1", "k2")
+    met = cool.unionByName(_firsts(opened(prints.join(hot, "mark", "left_semi")).drop("mark")).drop("k1", "k2"))
+    later = met.where("first.doc_id < doc_id or (first.doc_id = doc_id and first.start + n <= start)")
     # The matches of a diagonal, extended to both sides: windows in order, joined to runs while the next begins within or at the end.
     on = later.groupBy("doc_id", F.col("first.doc_id").alias("partner"), (F.col("start") - F.col("first.start")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("ws"))
     runs = F.expr("""aggregate(ws, cast(array() as array<struct<start: int, end: int>>), (a, w) ->
