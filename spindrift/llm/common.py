@@ -41,11 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Only where that is unset and all runs in one process (tests) a temporary folder is made.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
         made = shared_dir.made = "file://" + tempfile.mkdtemp(prefix="spindrift-")
@@ -77,11 +79,22 @@ def kept_table(df: DataFrame, tag: str) -> DataFrame:
     return written(df, tag)[0]
 
 
-def bucketed_table(df: DataFrame, key: str, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder with a bucket per shuffle partition, so that joins and groups by ``key`` don't send it again."""
+def table_bytes(docs: DataFrame) -> int:
+    """The bytes of ``text`` in ``docs``."""
+    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
+def bucketed_table(df: DataFrame, key: str, tag: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder in ``buckets`` buckets, so that joins and groups by ``key`` don't send it again.
+
+    With more buckets than shuffle partitions rows are first sent to their buckets, or each task would write a file for each of them.
+    """
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(max(least, buckets), 100_000)
+    if buckets > least:
+        df = df.repartition(buckets, key)
     df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", scratch_path(spark, tag)).saveAsTable(name)
     return spark.table(name)
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import bucketed_table, kept_table
+from spindrift.llm.common import bucketed_table, kept_table, table_bytes
 
 BLOCK = 20
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -255,10 +255,15 @@ def _values(packed: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
 
+#: Keys that are sampled for each partition, and from each chunk.
+_SAMPLE, _OF_CHUNK = 8, 2000
+
+
 def _splitters(chunks: DataFrame, buckets: int, take, length: int) -> tuple[np.ndarray, np.ndarray]:
     """At most buckets - 1 splitters from a hashed sample of chunks, and the tokens on which several fell.
 
-    ``take`` gives a chunk's leading tokens. The sample only balances partitions.
+    ``take`` gives a chunk's leading tokens. The sample only balances partitions. It grows with them: a token
+    on which two splitters fall holds about the share of a whole partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,15 +271,17 @@ def _splitters(chunks: DataFrame, buckets: int, take, length: int) -> tuple[np.n
             for r in b.to_pylist():
                 c = _Chunk(r["ids"], r["sizes"], r["packed"])
                 p, h = anchors(c.x, c.ends, length)
-                keep = p % 61 == 0
-                v = take(c, p[keep], h[keep])[:2000]
+                keep = np.nonzero(p % 61 == 0)[0]
+                keep = keep[:: -(-len(keep) // _OF_CHUNK)] if len(keep) else keep
+                v = take(c, p[keep], h[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.uint64).view(np.int64))], ["k"])
 
     n = chunks.count()
-    some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 24 / max(n, 1))))
-    keys = np.sort(np.array([r["k"] for r in some.mapInArrow(run, "k long").collect()], np.int64).view(np.uint64))
-    if not len(keys):
-        return (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64), np.empty(0, np.uint64)
+    some = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max(24, 2 * _SAMPLE * buckets / _OF_CHUNK) / max(n, 1))))
+    keys = np.sort(some.mapInArrow(run, "k long").toArrow().column(0).to_numpy().view(np.uint64))
+    buckets = max(1, min(buckets, len(keys) // _SAMPLE))
+    if buckets == 1:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     found, times = np.unique(keys[np.linspace(0, len(keys) - 1, buckets + 1).astype(int)[1:-1]], return_counts=True)
     return found, found[times > 1]
 
@@ -312,7 +319,17 @@ def _leading(c: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(c[:, :8]).view(">u8").ravel().astype(np.uint64)
 
 
-def repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 6 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+def sizes(total: int) -> tuple[int, int, int]:
+    """Bytes of a chunk, partitions of suffixes and buckets of chunks for a table of ``total`` bytes.
+
+    Chunks and partitions grow with the table up to what a task holds, so that the messages between them, up to one for each
+    pair, have keys enough to be worth a row.
+    """
+    chunk = min(96 << 20, max(6 << 20, total // 20_000))
+    return chunk, int(max(24, total // min(256 << 20, max(24 << 20, total // 4_000)))), int(total // (128 << 20))
+
+
+def repeats(docs: DataFrame, length: int = 50, chunk_bytes: int | None = None) -> DataFrame:
     """Per row of ``docs`` (``doc_id, text``): what is left without the bytes that an earlier document's string covers.
 
     A byte goes if a string of ``length`` (21 to 51) bytes over it also stands in a document of smaller doc_id;
@@ -320,11 +337,13 @@ def repeats(docs: DataFrame, length: int = 50, chunk_bytes: int = 6 << 20, bucke
     n_spans, kept_sha256``. Null and empty texts have no bytes; rows of one doc_id
     don't remove from each other; other columns are ignored; an empty table gives an empty result.
     """
+    if not BLOCK < length <= BLOCK + 31:  # a bit for each window around an anchor
+        raise ValueError(f"length must be from {BLOCK + 1} to {BLOCK + 31}")
     spark = docs.sparkSession
     left = length - BLOCK
-    chunks = bucketed_table(_chunks(docs, chunk_bytes), "chunk", "chunks")  # joined with twice, and never sent
-    total = chunks.select(F.expr("sum(octet_length(packed)) * 4").alias("n")).first()["n"] or 0
-    buckets = int(max(24, total // bucket_bytes))
+    total = table_bytes(docs)
+    chunk, buckets, held = sizes(total)
+    chunks = bucketed_table(_chunks(docs, chunk_bytes or chunk), "chunk", "chunks", held)  # joined with twice, and never sent
     width = min(8, max(4, math.ceil((math.log2(max(total, 1) / 16 + 1) + 14) / 8)))  # bytes of a token that tell most apart; equal ones only cost a comparison
     hashed = spark.sparkContext.broadcast(_splitters(chunks, buckets, lambda c, p, h: h, length)[0])
 
