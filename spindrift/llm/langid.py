@@ -17,35 +17,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LETTERS = 62
-_A = _LETTERS + 2  # 0: anything but letters; 1: letters without a number of their own
-_PIECE = 1 << 22
+_PIECE = 1 << 20
+#: Up to so many possible grams their columns stand in an array, beyond they are searched for.
+_DENSE = 1 << 22
 
 
 class Grams:
-    """Numbers the 1- to 3-grams of a text's letters; runs of other characters count as one space."""
+    """Numbers the 1- to 3-grams of a text's letters; runs of other characters count as one space.
+
+    ``letters`` are all that the labelled rows hold. Any other has number 1: no landmark has it, whichever it is.
+    """
 
     def __init__(self, letters: str):
-        self.numbers = np.frombuffer(_letter_table(), np.uint8).copy()
-        for i, c in enumerate(letters[:_LETTERS]):
+        self.numbers = np.frombuffer(_letter_table(), np.uint8).astype(np.int64 if len(letters) > 1000 else np.int32)
+        for i, c in enumerate(letters):
             self.numbers[ord(c)] = i + 2
-        self.letters = letters[:_LETTERS]
+        self.letters, self.n = letters, len(letters) + 2  # 0: anything but letters
+        self.space = self.n + self.n**2 + self.n**3
 
     def of(self, text: str) -> np.ndarray:
         """Gram numbers with repeats; empty if the text has no letter."""
         found = []
-        text = text.lower()
+        text, a = text.lower(), self.n
         for at in range(0, len(text), _PIECE):
-            c = self.numbers[np.frombuffer(text[max(0, at - 2) : at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-            c = np.concatenate(([0], c, [0]))
+            c = self.numbers[np.frombuffer(text[max(0, at - 2) : at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            c = np.concatenate(([0], c, [0])).astype(c.dtype)
             c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]
             if len(c) > 2:
-                two = c[:-1] * _A + c[1:]
-                found += [c[1:-1], two + _A, two[:-1] * _A + c[2:] + (_A + _A * _A)]
-        return np.concatenate(found) if found else np.empty(0, np.int32)
+                two = c[:-1] * a + c[1:]
+                found += [c[1:-1], two + a, two[:-1] * a + c[2:] + (a + a * a)]
+        return np.concatenate(found) if found else np.empty(0, self.numbers.dtype)
 
 
-SPACE = _A + _A * _A + _A**3
 _table: list[bytes] = []
 
 
@@ -67,12 +70,21 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("_grams", "column_of")} | {"_grams": None}
 
+    def _columns(self, grams: np.ndarray) -> np.ndarray:
+        if self.column_of is not None:
+            return self.column_of[grams]
+        grams = np.unique(grams)
+        at = np.searchsorted(self.columns, grams)
+        return np.where(self.columns[np.minimum(at, len(self.columns) - 1)] == grams, at, len(self.columns)) if len(self.columns) else np.zeros(0, np.int64)
+
     def score(self, texts: list[str | None], batch: int = 128) -> tuple[list[str], np.ndarray]:
         """The language and a score of 0 to 1 for each text; ``und`` and 0 without letters."""
         if self._grams is None:
             self._grams = Grams(self.letters)
-            self.column_of = np.full(SPACE, len(self.columns), np.int32)  # the last column takes all other grams
-            self.column_of[self.columns] = np.arange(len(self.columns), dtype=np.int32)
+            self.column_of = None
+            if self._grams.space <= _DENSE:
+                self.column_of = np.full(self._grams.space, len(self.columns), np.int32)  # the last column takes all other grams
+                self.column_of[self.columns] = np.arange(len(self.columns), dtype=np.int32)
         names, scores = [], np.zeros(len(texts))
         for at in range(0, len(texts), batch):
             part = texts[at : at + batch]
@@ -80,8 +92,8 @@ class Model:
             empty = []
             for i, t in enumerate(part):
                 grams = self._grams.of(t or "")
-                empty.append(not len(grams) or not (grams < _A).any() or not self.languages)
-                seen[i, self.column_of[grams]] = 1
+                empty.append(not len(grams) or not self.languages)
+                seen[i, self._columns(grams)] = 1
             seen = seen[:, :-1]
             if not self.languages:
                 names += ["und"] * len(part)
@@ -117,15 +129,15 @@ def fit(labelled: DataFrame, per_language: int = 300, landmarks: int = 60, ridge
         code = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
 
-    common = drawn.select("text").mapInArrow(letters_of, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(_LETTERS).collect()
+    common = drawn.select("text").mapInArrow(letters_of, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").collect()  # an alphabet
     letters = "".join(chr(r["code"]) for r in common)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(letters)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([np.unique(grams.of(t)).astype(np.int32) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "lang", "draw", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([np.unique(grams.of(t)).astype(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "lang", "draw", "grams"])
 
-    rows = drawn.mapInArrow(presence, "doc_id long, lang string, draw long, grams array<int>").where(F.size("grams") > 0).collect()
+    rows = drawn.mapInArrow(presence, "doc_id long, lang string, draw long, grams array<long>").where(F.size("grams") > 0).collect()
     rows.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"]))
     languages, chosen = sorted({r["lang"] for r in rows}), []
     for name in languages:
