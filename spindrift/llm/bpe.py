@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -56,16 +57,6 @@ class Transducer:
         self.start = _State(-1, b"", ())
         self.states = {(-1, b"", ()): self.start}
 
-    def merged(self, data: bytes) -> list[int]:
-        """BPE by its definition: the pair of least rank, the leftmost first; for compiling arcs only."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if rank == 1 << 40:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
     def _split(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of ``token`` joins; None for a single byte."""
         if token not in self.halves:
@@ -232,9 +223,9 @@ class Utf8Machine:
 def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes], at_once: int = 4096) -> Iterator[bytes]:
     """The bytes of ``ids`` in chunks that never end inside a character (but for the last, if the ids do)."""
     machine = Utf8Machine()
-    ids = list(ids)
-    for i in range(0, len(ids), at_once):
-        if done := machine.push(b"".join(map(bytes_of.__getitem__, ids[i : i + at_once]))):
+    ids = iter(ids)
+    while some := list(itertools.islice(ids, at_once)):
+        if done := machine.push(b"".join(map(bytes_of.__getitem__, some))):
             yield done
     if done := machine.finish():
         yield done

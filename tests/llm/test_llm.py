@@ -373,6 +373,40 @@ def test_segments_read_only_what_is_asked():
         tokenfile.Segment(bytes(bad)).document(2)
 
 
+def test_wide_ids(spark, tmp_path):
+    with pytest.raises(ValueError, match="70000"):
+        tokenfile.SegmentWriter().add(1, np.array([5, 70000]))
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_001)}, unk_token="w0"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.save(str(tmp_path / "words.json"))
+    df = spark.createDataFrame([(7, "w70000 w5"), (3, "w65536"), (9, None)], "doc_id long, text string")
+    at = str(tmp_path / "ids")
+    tokenfile.write_token_files(df, at, str(tmp_path / "words.json"), end_id=2)
+    want = {3: [65536, 2], 7: [70000, 5, 2], 9: [2]}
+    assert {x["doc_id"]: x["ids"] for x in tokenfile.read_documents(spark, at, [3, 7, 9, 11]).collect()} == want
+    assert {x["doc_id"]: x["start"] for x in tokenfile.read_token_files(spark, at).collect()} == {3: 0, 7: 2, 9: 5}
+
+
+def test_files_are_rolled_and_sought(spark, tmp_path):
+    name, r = tokenizers.path("byte_bpe_50k.json"), random.Random(41)
+    texts = [prose(r, r.randint(0, 300)) for _ in range(60)] + ["same"] * 3
+    ids = [min(i, 60) for i in range(63)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, seg int").repartition(3)
+    at = str(tmp_path / "rolled")
+    tokenfile.write_token_files(df, at, name, 2, segment_bytes=1000, segments_a_file=2, frame_ids=100)
+    files = sorted(tmp_path.glob("rolled/part-*"))
+    assert len(files) > 4  # ranges
+    encode = tokenfile.encoder(name)
+    want = [[*x.tolist(), 2] for x in encode(texts)]
+    got = sorted((x["doc_id"], x["start"], x["n_tokens"]) for x in tokenfile.read_token_files(spark, at).collect())
+    starts = np.cumsum([0, *map(len, want)]).tolist()
+    assert got == [(i, s, len(w)) for i, s, w in zip(ids, starts, want, strict=False)]
+    assert {x["doc_id"]: x["ids"] for x in tokenfile.read_documents(spark, at, [5, 33]).collect()} == {5: want[5], 33: want[33]}
+    assert {i: x.tolist() for f in files for i, x in tokenfile.open_documents(str(f), [5, 33])} == {5: want[5], 33: want[33]}
+
+
 def test_transducer_equals_tiktoken():
     import tiktoken
 
@@ -380,7 +414,7 @@ def test_transducer_equals_tiktoken():
     real = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     c, r = bpe.Codec(ranks, tokenizers.PATTERN), random.Random(3)
     c.machine.limit = 500  # so that it starts anew now and then
-    pool = ["a", "é", "ß", " ", "  ", "\n", "\r\n", "\t", "'s", "'", "''", "'re", "don't", "1", "23", "²", "中文", "😀", " ", "\x1c", "\x85", "-", "...", "the", "ing", "x" * 40, "ab" * 200, "<|endoftext|>"]
+    pool = [chr(0x558), chr(0x11DE0), chr(0x1C89), "a", "é", "ß", " ", "  ", "\n", "\r\n", "\t", "'s", "'", "''", "'re", "don't", "1", "23", "²", "中文", "😀", " ", "\x1c", "\x85", "-", "...", "the", "ing", "x" * 40, "ab" * 200, "<|endoftext|>"]
     for _ in range(4000):
         t = "".join(r.choice(pool) for _ in range(r.randint(0, 12)))
         ids = c.encode(t)
@@ -398,6 +432,23 @@ def test_pieces_of_plain_text():
         assert pretokens.split_plain(t) == full.findall(t)
 
 
+def test_splitter_honours_its_pattern():
+    assert pretokens.PUBLISHED == tokenizers.PATTERN
+    assert pretokens.splitter(".")("ab cd") == ["a", "b", " ", "c", "d"]
+    assert pretokens.splitter(r"(\w)\w*|\s+")("ab cd") == ["ab", " ", "cd"]
+
+
+def test_decoding_takes_ids_as_they_come():
+    def ids():
+        yield from (1, 2)
+        raise KeyError
+
+    out = bpe.decode_stream(ids(), {1: b"a", 2: "é".encode()}, at_once=2)
+    assert next(out) == "aé".encode()
+    with pytest.raises(KeyError):
+        next(out)
+
+
 def test_utf8_machine():
     r = random.Random(1)
     for _ in range(500):
@@ -480,6 +531,22 @@ def test_suffix_array(docs, texts, nothing):
     assert suffixes.repeats(nothing).count() == 0
 
 
+def test_suffix_partitions_follow_the_table(spark):
+    for total, most in ((10**9, 10**5), (10**14, 5 * 10**5)):
+        chunk, buckets, held = suffixes.sizes(total)
+        assert buckets <= most
+        assert total / chunk * buckets <= 5e11
+        assert total / max(1, held) <= 1 << 30 or held >= 100_000
+    r = random.Random(13)
+    df = spark.createDataFrame([(i, prose(r, 400, [f"w{i}" for i in range(3000)])) for i in range(300)], "doc_id long, text string")
+    found, frequent = suffixes._splitters(suffixes._chunks(df, 1 << 16), 100_000, lambda c, p, h: h, 50)
+    assert len(found) > 20
+    assert not len(frequent)  # however many partitions are asked for, no rare beginning counts as frequent
+    for n in (20, 52):
+        with pytest.raises(ValueError, match="length"):
+            suffixes.repeats(df, length=n)
+
+
 def test_frequent_passage(spark):
     r = random.Random(12)
     passage = prose(r, 20)
@@ -642,7 +709,79 @@ def test_language(spark, nothing):
     assert langid.identify(nothing).count() == 0
 
 
+def test_language_equals_plain_kernel_ridge(spark):
+    r = random.Random(51)
+    kinds = {"aa": "the of and", "bb": "der die und", "cc": "été que les"}
+    rows = [(i, " ".join(r.choice(kinds[k].split()) for _ in range(r.randint(1, 9))), k) for i, k in enumerate(r.choices(list(kinds), k=60))]
+    new = [" ".join(r.choice("the of die été que qq".split()) for _ in range(6)) for _ in range(20)]
+
+    def grams(t):
+        t = " " + " ".join(re.findall("[^\\W\\d_]+", t.lower())) + " "
+        return set(t.strip()) | {t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)}
+
+    known = [grams(x[1]) for x in rows]
+    every = set().union(*known)
+    kernel = lambda a, b: len(a & b) / (len(a & every) * len(b & every)) ** 0.5
+    k = np.array([[kernel(a, b) for b in known] for a in known])
+    names = sorted(kinds)
+    y = np.array([[x[2] == n for n in names] for x in rows], float)
+    balance = np.diag([1 / sum(z[2] == x[2] for z in rows) for x in rows])
+    alpha = np.linalg.solve(balance @ k + 1e-2 / 3 * np.eye(60), balance @ y)
+    want = np.array([[kernel(grams(t), b) for b in known] for t in new]) @ alpha
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=1000, landmarks=1000)
+    got, scores = model.score(new)
+    assert got == [names[i] for i in want.argmax(axis=1)]
+    assert np.abs(scores - np.clip(want.max(axis=1), 0, 1)).max() < 1e-3
+
+
+def test_language_of_large_alphabets(spark):
+    common.ship(spark)
+    r = random.Random(52)
+    kinds = {"xx": [chr(0x4E00 + i) for i in range(900)], "yy": [chr(0x4E00 + 800 + i) for i in range(900)], "zz": [chr(0xAC00 + i) for i in range(900)]}
+    rows = [(i, "".join(r.choice(kinds[k]) for _ in range(60)), k) for i, k in enumerate(r.choices(list(kinds), k=300))]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert all(x["lang_pred"] == rows[x["doc_id"]][2] for x in got)
+    equal = langid.identify(spark.createDataFrame([(i, "abc", "xx" if i % 2 else "yy") for i in range(40)], "doc_id long, text string, lang string")).collect()
+    assert len({(x["lang_pred"], x["score"]) for x in equal}) == 1  # equal texts and scores: one answer
+
+
 # ---------------------------------------------------------------- pipeline
+def test_shared_folder_is_asked_for(monkeypatch):
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
+STAGE_ROWS = "doc_id long, text string, lang string, source string, n_chars long, component_id long, item_id int, mark string, tree int"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(61)
+    wide = prose(r, 70)
+    bench = prose(r, 20, [f"b{i}" for i in range(40)])
+    texts = [wide, None, "", "12 34", wide, "a\n" + wide, prose(r, 20000, [f"v{i}" for i in range(3000)]), "x " + bench, "x " + bench, None]
+    ids = [0, 1, 2, 3, 4, 5, 6, 7, 7, 1]
+    docs = spark.createDataFrame([(i, t, "xx" if k % 2 else None, None, 3, 5, 6, "m", 7) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], STAGE_ROWS).repartition(3)
+    spark.createDataFrame([(0, bench), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = {n: f(spark, docs, str(tmp_path)) for n, f in corpus_pipeline.STAGES}
+    assert all(run[n].columns == docs.columns for n, _ in corpus_pipeline.STAGES[:-1])
+    kept = {n: sorted((x["doc_id"], x["text"]) for x in d.where("text is not null").collect()) for n, d in run.items() if n != "tokens"}
+    of = dict(zip(ids, texts, strict=True))
+    assert kept["language"] == sorted((i, of[i]) for i in (0, 4, 5, 6, 7, 7))
+    assert run["language"].where("text is null").count() == 0
+    assert kept["lines"] == sorted([*((i, of[i]) for i in (0, 2, 3, 6, 7, 7)), (4, ""), (5, "a")])
+    assert run["lines"].where("text is null").count() == 2
+    assert sorted(x["doc_id"] for x in run["near_duplicates"].collect()) == [0, 1, 1, 3, 6, 7, 7]  # 4 and 5 are copies of 0, 2 is as empty as 1
+    assert sorted(x["doc_id"] for x in run["decontaminate"].collect()) == [0, 1, 1, 2, 3, 4, 5, 6]
+    assert {x["doc_id"]: x["decoded_sha256"] for x in run["tokens"].collect()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in of.items()}
+    assert all(f(spark, docs.limit(0), str(tmp_path)).count() == 0 for _, f in corpus_pipeline.STAGES)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
