@@ -103,6 +103,11 @@ def keywords(c: Column, most: int = 5) -> Column:
     return F.coalesce(F.array_join(F.slice(F.array_distinct(F.transform(parts, reduced)), 1, most), ", "), F.lit(""))
 
 
+def word_tokens(c: Column) -> Column:
+    """What a plain vectorizer counts: lower-case runs of two or more letters, digits or underscores; no stop words. Null has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
 def tokens(c: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Lower-case words of letters and digits, longer than two, that aren't stop words; null gives none."""
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+import operator
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,17 +27,81 @@ def distribution(df: DataFrame, *cols: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(*cols, "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("pct"))
 
 
+#: So many distinct values are ranked on the driver; more are narrowed down first, by CUTS values in each pass.
+RANKED, CUTS = 20_000, 64
+
+
+def at_ranks(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """The values at ``ranks`` (from 0) of ``col`` in ascending order without nulls; exact, and no task holds them all.
+
+    Rows are counted between cut points, and at them, with map-side combining; what lies between two cuts around a rank is cut again.
+    """
+    v = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
+    found: dict[int, float] = {}
+    todo = [(None, None, 0, sorted(set(ranks)))]
+    while todo:
+        lo, hi, before, asked = todo.pop()
+        part = v if lo is None else v.where(F.col("v") > lo)
+        part = part if hi is None else part.where(F.col("v") < hi)
+        counts = part.groupBy("v").agg(F.count("*").alias("n")).limit(RANKED + 1).collect()
+        if len(counts) <= RANKED:
+            at = before
+            for r in sorted(counts, key=lambda r: (math.isnan(r["v"]), r["v"])):
+                found |= {k: r["v"] for k in asked if at <= k < at + r["n"]}
+                at += r["n"]
+            continue
+        cuts = sorted(set(part.approxQuantile("v", [i / CUTS for i in range(CUTS + 1)], 0.25 / CUTS)))
+        below = reduce(operator.add, [(F.col("v") > c).cast("int") for c in cuts])
+        at = before
+        rows = {r["b"]: r["n"] for r in part.groupBy((2 * below + F.col("v").isin(cuts).cast("int")).alias("b")).agg(F.count("*").alias("n")).collect()}
+        for b in sorted(rows):  # 2i: between cut i - 1 and cut i; 2i + 1: cut i itself
+            inside = [k for k in asked if at <= k < at + rows[b]]
+            i = b // 2
+            if b % 2:
+                found |= dict.fromkeys(inside, cuts[i])
+            elif inside:
+                todo.append((cuts[i - 1] if i else lo, cuts[i] if i < len(cuts) else hi, at, inside))
+            at += rows[b]
+    return found
+
+
+def quantiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation; null without values."""
+    n = df.agg(F.count(col).alias("n")).first()["n"]
+    if not n:
+        return [None] * len(shares)
+    places = [(n - 1) * p for p in shares]
+    got = at_ranks(df, col, [k for x in places for k in (math.floor(x), math.ceil(x))])
+    return [got[math.floor(x)] if x == math.floor(x) else got[math.floor(x)] * (math.ceil(x) - x) + got[math.ceil(x)] * (x - math.floor(x)) for x in places]
+
+
+def modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
+    """The most frequent value of each column, the least of ties; counted by value with map-side combining."""
+    out = {}
+    for c in cols:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        out[c] = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("m")).first()["m"]
+    return out
+
+
 def impute(df: DataFrame, strategy: str, cols: list[str] | None = None, fill: float | None = None) -> DataFrame:
     """Null numbers filled by the column's ``median``, ``mean``, ``mode`` (the least of ties) or ``constant``; null text by ''.
 
-    The parameters are one row that is joined to all; columns without a value stay null.
+    The parameters are a number per column; columns without a value stay null.
     """
     cols = cols or numeric(df)
-    how = {"median": F.median, "mean": F.avg, "mode": lambda c: F.expr(f"mode() within group (order by `{c}`)"), "constant": lambda c: F.first(F.lit(fill))}[strategy]
-    params = df.agg(*[how(c).alias(f"_p_{c}") for c in cols])
-    filled = df.crossJoin(F.broadcast(params))
+    if strategy == "median":
+        params = {c: quantiles(df, c, [0.5])[0] for c in cols}
+    elif strategy == "mean":
+        params = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
+    elif strategy == "mode":
+        params = modes(df, cols)
+    elif strategy == "constant":
+        params = dict.fromkeys(cols, fill)
+    else:
+        raise ValueError(f"no strategy {strategy!r}")
     kinds = dict(df.dtypes)
-    return filled.select(*[F.coalesce(F.col(c), F.col(f"_p_{c}")).alias(c) if c in cols else (F.coalesce(F.col(c), F.lit("")).alias(c) if kinds[c] == "string" else F.col(c)) for c in df.columns])
+    return df.select(*[F.coalesce(F.col(c), F.lit(params[c])).alias(c) if c in cols and params[c] is not None else (F.coalesce(F.col(c), F.lit("")).alias(c) if kinds[c] == "string" else F.col(c)) for c in df.columns])
 
 
 def with_missing_flags(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -43,9 +111,11 @@ def with_missing_flags(df: DataFrame, cols: list[str]) -> DataFrame:
 def outliers(df: DataFrame, col: str, method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """Rows beyond ``threshold`` interquartile ranges, or population deviations (``zscore``)."""
     if method == "iqr":
-        q = df.agg(F.expr(f"percentile(`{col}`, array(0.25D, 0.75D))").alias("_q"))
-        span = (F.col("_q")[1] - F.col("_q")[0]) * threshold
-        return df.crossJoin(F.broadcast(q)).where((F.col(col) < F.col("_q")[0] - span) | (F.col(col) > F.col("_q")[1] + span)).drop("_q")
+        lo, hi = quantiles(df, col, [0.25, 0.75])
+        if lo is None:
+            return df.limit(0)
+        span = (hi - lo) * threshold
+        return df.where((F.col(col) < lo - span) | (F.col(col) > hi + span))
     if method == "zscore":
         s = df.agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
         return df.crossJoin(F.broadcast(s)).where((F.col("_s") > 0) & (F.abs((F.col(col) - F.col("_m")) / F.col("_s")) > threshold)).drop("_m", "_s")
@@ -55,8 +125,10 @@ def outliers(df: DataFrame, col: str, method: str = "iqr", threshold: float = 1.
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """A row per column: n, mean, std (sample), min, quartiles, max, to 6 places."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")).select("s.*")
-    q = lambda p: F.round(F.expr(f"percentile(v, {p}D)"), 6)
-    return stacked.groupBy("name").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("lo"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("v").alias("hi"))
+    plain = stacked.groupBy("name").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    found = {c: quantiles(df, c, [0.25, 0.5, 0.75]) for c in cols}
+    rows = df.sparkSession.createDataFrame([(c, *q) for c, q in found.items()], "name string, q1 double, q2 double, q3 double")
+    return plain.join(F.broadcast(rows), "name").select("name", "n", "mean", "std", "lo", *[F.round(q, 6).alias(q) for q in ("q1", "q2", "q3")], "hi")
 
 
 def null_profile(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -67,6 +139,7 @@ def null_profile(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def min_max(df: DataFrame, col: str, by: str, out: str) -> DataFrame:
     """``col`` scaled to 0..1 within ``by``; where all are nearly equal, 1 if they are positive, else 0."""
-    w = Window.partitionBy(by)
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    return df.withColumn(out, F.when(hi - lo < 1e-9, F.when(hi > 0, 1.0).otherwise(0.0)).otherwise((F.col(col) - lo) / (hi - lo)))
+    bounds = df.groupBy(F.col(by).alias("_by")).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))  # a row per group, so that a hot one is no hot task
+    lo, hi = F.col("_lo"), F.col("_hi")
+    scaled = F.when(hi - lo < 1e-9, F.when(hi > 0, 1.0).otherwise(0.0)).otherwise((F.col(col) - lo) / (hi - lo))
+    return df.join(bounds, F.col(by).eqNullSafe(F.col("_by"))).withColumn(out, scaled).select(*df.columns, out)

@@ -46,3 +46,13 @@ def overlap(a: DataFrame, b: DataFrame, key: str, head: int = 100) -> DataFrame:
     n = a.agg(F.count("*").alias("n_a")).crossJoin(b.agg(F.count("*").alias("n_b"))).crossJoin(common)
     valid = (F.abs(F.col("n_a") - F.col("n_b")) <= F.greatest(F.lit(1000.0), 0.01 * F.col("n_b"))) & (F.col("n_common") >= 0.8 * F.least(F.lit(head), F.col("n_a"), F.col("n_b")))
     return n.select("n_a", "n_b", "n_common", F.round(F.col("n_common") / F.greatest(F.lit(1), F.least(F.lit(head), F.col("n_a"), F.col("n_b"))), 6).alias("rate"), valid.alias("valid"))
+
+
+def bind(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The columns of both, row by row of one ``key``: never by position. Rows of ``left`` stay; a name that both have is taken from ``left``."""
+    return left.join(right.select(key, *[c for c in right.columns if c not in left.columns]).dropDuplicates([key]), key, "left").select(*left.columns, *[c for c in right.columns if c not in left.columns])
+
+
+def with_default(df: DataFrame, col: str, value) -> DataFrame:  # noqa: ANN001
+    """``df`` with ``col``: as it is if there is one, else ``value``."""
+    return df if col in df.columns else df.withColumn(col, F.lit(value))

@@ -107,3 +107,23 @@ def adaptive_k(base: int, pain: Column, age: Column, hr: Column, sbp: Column, pe
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     k = F.lit(base) + 2 * yes(pain > 7) + yes((age < 18) | (age > 80)) + yes((hr < 50) | (hr > 120)) + yes((sbp < 90) | (sbp > 160)) + yes(period == 0)
     return F.least(k, F.lit(2 * base))
+
+
+# Complaints that are red flags, and the scores from which a flag of a kind is raised.
+RED_FLAGS = {"critical": ("胸痛", "呼吸困难", "意识丧失", "大出血", "严重创伤"), "urgent": ("高烧", "剧烈腹痛", "持续呕吐", "严重头痛", "肢体麻木")}
+RED_FLAG_SCORES = {"critical": 0.9, "urgent": 0.7, "normal": 0.3}
+
+
+def red_flag(complaint: Column, score: Column | None = None) -> Column:
+    """``critical`` or ``urgent`` if the complaint names such a flag or the score reaches its threshold, else ``normal``; the first that applies."""
+    out = None
+    for kind in ("critical", "urgent"):
+        named = F.exists(F.array(*map(F.lit, RED_FLAGS[kind])), lambda w: F.contains(F.coalesce(complaint, F.lit("")), w))
+        applies = named if score is None else named | F.coalesce(score >= RED_FLAG_SCORES[kind], F.lit(False))
+        out = F.when(applies, kind) if out is None else out.when(applies, kind)
+    return out.otherwise("normal")
+
+
+def model_for(preference: Column, load: Column) -> Column:
+    """Which model answers: the quick one under a load over 0.8 or if ``fast`` is preferred, else the detailed one."""
+    return F.when((load > 0.8) | (preference == "fast"), "tfidf_rf").otherwise("llama_rag")

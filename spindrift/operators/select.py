@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import vec
+from spindrift.sources.tables import saved, small
 
 
 def top_n(df: DataFrame, by: str, order: list[Column], n: int | Column) -> DataFrame:
@@ -17,7 +18,7 @@ def row_ids(df: DataFrame, key: str, out: str = "row_id") -> DataFrame:
     """Dense ids from 0 in order of ``key``, without sorting in one task: range partitions are numbered by their counts."""
     spark = df.sparkSession
     ordered = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id() % F.lit(1 << 33))
-    ordered = ordered.persist()
+    ordered = saved(ordered, "row-ids")
     counts = sorted((r["_p"], r["n"]) for r in ordered.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row per partition
     starts, at = [], 0
     for p, n in counts:
@@ -31,13 +32,13 @@ def stratified(df: DataFrame, label: str, key: str, share: float) -> DataFrame:
 
     Exact, and the same for any partitioning. A label may hold most rows, so ranks are not taken over it:
     rows are ranked within the 4096 beginnings of their hash, and what comes before a beginning is counted.
-    Labels are few (4096 short rows each are broadcast); rows without a label form one of their own.
+    Rows without a label form one of their own. The counts are broadcast while they are few.
     """
     hashed = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
     counts = hashed.groupBy(label, "_b").agg(F.count("*").alias("_c"))
     within = Window.partitionBy(label)
     before = counts.select(F.col(label).alias("_l"), F.col("_b").alias("_lb"), (F.sum("_c").over(within.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(within).alias("_n"))
-    joined = hashed.join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_lb")))
+    joined = hashed.join(small(before, 2_000_000), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_lb")))
     rank = F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
     return joined.withColumn("split", F.when(rank <= F.ceil(F.lit(share) * F.col("_n")), "train").otherwise("test")).select(*df.columns, "split")
 
@@ -73,5 +74,6 @@ def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
 def representatives(df: DataFrame, cluster: str, key: str, vector: str, total: int) -> DataFrame:
     """The rows nearest to their cluster's centroid, as many as its quota; distance to 6 places, ties by key."""
     sizes = df.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("size"))
-    near = df.join(F.broadcast(centroids(df, cluster, vector)), cluster).select(F.col(cluster).alias("cluster"), key, F.round(vec.distance(vec.doubles(F.col(vector)), F.col("centroid")), 6).alias("distance"))
-    return top_n(near.join(F.broadcast(quotas(sizes, total)), "cluster"), "cluster", [F.col("distance"), F.col(key)], F.col("quota")).select("cluster", key, "distance", F.col("rn").cast("long").alias("rank"))
+    near = df.join(small(saved(centroids(df, cluster, vector), "centroids")), cluster).select(F.col(cluster).alias("cluster"), key, F.round(vec.distance(vec.doubles(F.col(vector)), F.col("centroid")), 6).alias("distance"))
+    first = top_n(near, "cluster", [F.col("distance"), F.col(key)], total)  # no quota is more; cut before the shuffle
+    return first.join(quotas(sizes, total), "cluster").where("rn <= quota").select("cluster", key, "distance", F.col("rn").cast("long").alias("rank"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +38,27 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs.rename(new, at)
 
 
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table below ``spark.checkpoint.dir``: computed once, for later steps to read as often as they like, and safe from lost executors.
+
+    Without that setting a temporary folder is used in one process, and an error raised elsewhere.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        saved.local = root = getattr(saved, "local", None) or "file://" + tempfile.mkdtemp(prefix="spindrift-")
+    path = f"{root.rstrip('/')}/spindrift/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has up to ``most`` rows; beyond, the join is left to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def latest_file(spark: SparkSession, pattern: str, by: str = "modificationTime") -> str | None:
     """The path of the latest file under ``pattern`` by time, or by name with ``by='path'``."""
     files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
