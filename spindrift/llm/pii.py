@@ -104,7 +104,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class BiLstmCrf:
     """Parameters: per direction, input weights by class (C, 4H), recurrent weights (H, 4H); output (2H, L); transitions (L, L)."""
 
-    def __init__(self, hidden: int = 16, seed: int = 7):
+    def __init__(self, hidden: int = 32, seed: int = 7):
         r = np.random.default_rng(seed)
         self.h = hidden
         p = {}
@@ -212,46 +212,90 @@ class BiLstmCrf:
 
 
 # ---------------------------------------------------------------- labelled spans to train on
-def _sentence(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
-    """An invented sentence with its labelled spans ``start, end, kind``."""
-    parts = ["the", "an", "re", "ing", "on", "ter", "al", "is", "vo", "sch", "que", "ado", "mi", "un", "ba"]
+_COMMON = """the of and to in is was for on that with as it at by from this have be are not you his they which or an were her all we their has when who
+will more if no out so what up said its about than into them can only other time new some could these may first then do any like my now over such our man
+me even most made after also did many must before through back years where much your way well down should because each just those people mr how too
+little state good very make world still own see men work long get here between both life being under never day same another know while last might us
+der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie
+le la les des et un une du en est que qui dans pour pas au sur ne se ce il sont plus par avec el los las del se por con para una su lo como pero sus"""
+_CUES = """mail e-mail email contact write to reach me under send it to my address is you can find call phone tel telephone mobile ring us on text number fax server host
+address ip router ping card visa pay with account billed paid order from my new old work private personal please or and via cc reply""".split()
+_SYLLABLES = "the an re ing on ter al is vo sch que ado mi un ba jo ma li kes tor nel wi ra den bo".split()
 
-    def word() -> str:
-        w = "".join(parts[k] for k in r.integers(len(parts), size=r.integers(1, 4)))
-        return w.title() if r.random() < 0.15 else w + "," * int(r.random() < 0.1)
 
-    num = lambda n: "".join(str(k) for k in r.integers(10, size=n))
+def _sentence(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """An invented passage with its labelled spans ``start, end, kind``."""
+    common = _COMMON.split()
     pick = lambda *x: x[r.integers(len(x))]
+    num = lambda n: "".join(str(k) for k in r.integers(10, size=n))
+
+    def label() -> str:
+        """A word of any make: in names and hosts as in the text around them, so that only the spelling tells them apart."""
+        u = r.random()
+        if u < 0.3:
+            return "".join(pick(*_SYLLABLES) for _ in range(r.integers(1, 4)))
+        if u < 0.55:
+            return pick(*common).lower()
+        if u < 0.9:
+            return "".join(pick(*("bcdfghjklmnpqrstvwxz" if (i + int(u * 100)) % 2 else "aeiouy")) + (pick(*"lnrst") if r.random() < 0.25 else "") for i in range(r.integers(2, 8)))
+        return "".join(pick(*"abcdefghijklmnopqrstuvwxyz") for _ in range(r.integers(1, 6)))
+
+    def word() -> str:
+        w = pick(*common) if r.random() < 0.6 else label()
+        return w.title() if r.random() < 0.15 else w.upper() if r.random() < 0.03 else w + pick(",", ".", "") * int(r.random() < 0.2)
 
     def email() -> str:
-        at, dot = pick(("@", "."), ("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "))
-        name = word().strip(",").lower() + pick("", pick(".", "_", "+") + word().strip(",").lower(), num(2))
-        return name + at + dot.join([word().strip(",").lower() + pick("", num(1)), *([word().strip(",").lower()] if r.random() < 0.4 else []), pick("com", "org", "net", "de")])
+        at, dot = pick(("@", "."), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" at ", " dot "), ("{at}", "{dot}"), ("<at>", "<dot>"), (" @ ", "."), ("(@)", "."), ("[at]", "."), ("(at)", "."), (" at ", "."), ("@", " dot "), ("@", "[dot]"))
+        if at[0] in "[({<":
+            around = pick("", " ", " ")
+            at = around + (at if r.random() < 0.8 else at[0] + " " + at[1:-1] + " " + at[-1]) + around
+            dot = dot if dot == "." else around + (dot if r.random() < 0.9 else dot[0] + " " + dot[1:-1] + " " + dot[-1]) + around
+        if r.random() < 0.25:
+            at, dot = at.upper(), dot.upper()
+        parts = [label(), *([pick(".", "_", "-", "+", dot) + label()] if r.random() < 0.5 else []), *([num(2)] if r.random() < 0.2 else [])]
+        if at == " at " and dot == "." and len(parts) == 1:
+            parts.append(pick("_", ".", "") + num(2))  # a bare word at a host isn't an address
+        name = "".join(parts)
+        host = dot.join([label() + (num(1) if r.random() < 0.1 else ""), *([label()] if r.random() < 0.3 else []), *(["co"] if r.random() < 0.1 else []), pick("com", "org", "net", "de", "uk", "io", "edu", "fr", "info", "es", "co")])
+        made = name + at + host
+        return made.title() if r.random() < 0.05 else made
 
     def ip() -> str:
-        return pick(".", ".", "[.]", " . ", "(.)").join(str(k) for k in r.integers(256, size=4))
+        return pick(".", "[.]", " . ", "(.)", "[.]", " [.] ", ". ", "(.) ").join(str(k) for k in r.integers(256, size=4))
 
     def card() -> str:
-        return pick("", " ", "-", ".", "/").join(num(4) for _ in range(4)) if r.random() < 0.8 else num(int(r.integers(14, 20)))
+        digits = num(int(r.integers(13, 16)))
+        digits += next(c for c in "0123456789" if luhn(digits + c))
+        cut = pick("", " ", "-", ".", "/", "  ", " - ", "_")
+        return cut.join(digits[i : i + 4] for i in range(0, len(digits), 4)) if r.random() < 0.85 else digits
 
     def phone() -> str:
-        return pick("+1 ", "+44 ", "", "1-", "00") + pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"({num(3)}){num(3)}-{num(4)}", f"{num(3)}/{num(3)}/{num(4)}")
+        a, b, c = num(3), num(3), num(4)
+        first = pick("+1 ", "+44 ", "", "", "", "1-", "00", "0", "1 ", "+49-")
+        return first + pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"{a}/{b}/{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"{a} {b}-{c}", f"({a}) {b}.{c}", f"{a}/{b}{c}", f"{a} - {b} - {c}")
 
     def other() -> str:
-        return pick(f"version {num(1)}.{num(1)}", f"token = \"{''.join('0123456789abcdef'[k] for k in r.integers(16, size=24))}\"", num(int(r.integers(1, 7))), f"{num(2)}.{num(2)}.{num(4)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"{word()}@{word()}", f"no. {num(3)}/{num(2)}", f"{num(1)},{num(3)}.{num(2)}", f"1{num(1)}:{num(2)}:{num(2)}", f"{word()} at {word()}", word() + "###", word() + "&&&")
+        return pick(
+            f"version {num(1)}.{num(1)}", f"token = \"{''.join('0123456789abcdef'[k] for k in r.integers(16, size=24))}\"", num(int(r.integers(1, 9))), f"{num(2)}.{num(2)}.{num(4)}", f"20{num(2)}-0{num(1)}-1{num(1)}",
+            f"{label()}@{label()}", f"no. {num(3)}/{num(2)}", f"{num(1)},{num(3)}.{num(2)}", f"1{num(1)}:{num(2)}:{num(2)}", f"{word()} at {word()}", f"{pick(*common)} at {label()}.{pick('com', 'org', 'net')}", f"{word()} at {word()}. {word().title()}",
+            word() + "###", word() + "&&&", f"the dot {word()}", f"{word()} dot", f"{num(4)} {num(4)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(4)}-{num(2)}-{num(2)} {num(2)}:{num(2)}", f"{num(3)} {num(3)}", " ".join(num(3) for _ in range(r.integers(3, 6))), f"{num(2)}, {num(2)}, {num(2)}, {num(2)}", f"{num(12)}", f"${num(3)},{num(3)},{num(3)}.{num(2)}", f"isbn {num(3)}-{num(1)}-{num(3)}",
+        )
 
     text, spans = "", []
-    while len(text) < 72:
-        text += word() + pick(" ", " ", " ", "\n", " | ")
+    while len(text) < 92:
+        text += word() + pick(" ", " ", " ", " ", "\n", " | ")
         u = r.random()
-        if u < 0.16:
-            kind = int(r.integers(4))
+        if u < 0.22:
+            if r.random() < 0.6:
+                text += " ".join(pick(*_CUES) for _ in range(r.integers(1, 4))) + pick(" ", " ", ": ", " = ", " (", ":\n", " - ")
+            kind = int(r.choice(4, p=[0.5, 0.14, 0.14, 0.22]))
             made = (email, ip, card, phone)[kind]()
             spans.append((len(text), len(text) + len(made), kind))
-            text += made + pick(" ", " ", ", ", ". ", "\n")
-        elif u < 0.3:
+            text += made + pick(" ", " ", ", ", ". ", "\n", ") ", "; ", "! ", "? ")
+        elif u < 0.34:
             text += other() + " "
-    return text, spans
+    shift = int(r.integers(0, 12))  # windows begin anywhere
+    return text[shift:], [(a - shift, b - shift, k) for a, b, k in spans if a >= shift]
 
 
 def labelled(n: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,19 +315,19 @@ def labelled(n: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 _trained: dict[tuple, BiLstmCrf] = {}
 
 
-def trained(steps: int = 280, batch: int = 32, length: int = 88, seed: int = 11) -> BiLstmCrf:
+def trained(steps: int = 700, batch: int = 128, length: int = 88, seed: int = 11) -> BiLstmCrf:
     """The network, trained by Adam on invented sentences; the same for the same arguments. Kept while the process lives."""
     key = (steps, batch, length, seed)
     if key not in _trained:
         net = BiLstmCrf()
         m, v = ({k: np.zeros_like(w) for k, w in net.p.items()} for _ in range(2))
-        x, y = labelled(batch * 40, length, seed)
+        x, y = labelled(batch * 60, length, seed)
         r = np.random.default_rng(seed)
         for s in range(1, steps + 1):
             rows = r.integers(len(x), size=batch)
             _, g = net.gradients(x[rows], y[rows])
             size = np.sqrt(sum(float((w * w).sum()) for w in g.values()))
-            rate = 0.025 * min(1, s / 20) * (1 - s / (steps + 30))
+            rate = 0.04 * min(1, s / 20) * (1 - s / (1.1 * steps))
             for k, w in g.items():
                 w = w * min(1.0, 5.0 / (size + 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * w
@@ -295,10 +339,15 @@ def trained(steps: int = 280, batch: int = 32, length: int = 88, seed: int = 11)
 
 # ---------------------------------------------------------------- whole texts
 WINDOW, STRIDE = 96, 48
-#: A span of any kind holds a digit, an @ or a spelt-out "at"; windows without are decoded to no span, so they aren't run.
-_TRIGGER = re.compile(r"[0-9@]+|[\[(]at[\])]|\bdot\b")
-_AT_DOT = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[(]at[\])]|\bat\b)\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]\.[\])]|[\[(]dot[\])]|\bdot\b)\s?[A-Za-z0-9-]+)+")
-_FOUR = re.compile(r"[0-9]{1,3}(?:[^0-9A-Za-z]{1,3}[0-9]{1,3}){3}")
+_OPEN, _SHUT = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
+_AT = rf"(?:\s?@\s?|{_OPEN}(?:at|@){_SHUT}|\sat\s)"
+_DOT = rf"(?:\.|{_OPEN}(?:dot|\.){_SHUT}|\sdot\s)"
+_HOST_OF = rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{0,4}}{_DOT}[A-Za-z]{{2,}}"
+_AT_DOT = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}{_AT}{_HOST_OF}", re.I)
+_FOUR = re.compile(r"[0-9]{1,3}(?:[^0-9A-Za-z]{1,5}[0-9]{1,3}){3}")
+_DIGITS = re.compile(r"\+?\(?[0-9](?:[^0-9A-Za-z]{0,3}[0-9])+")
+#: A window that nothing plausible can touch isn't run: every plausible span holds a match of this, an @, or "at" before a host.
+_TRIGGER = re.compile(rf"[0-9](?:[^0-9A-Za-z]{{0,5}}[0-9]){{3,}}|@|(?:{_OPEN}at{_SHUT}|\sat\s){_HOST_OF}", re.I)
 
 
 def plausible(kind: int, s: str) -> bool:
@@ -307,7 +356,7 @@ def plausible(kind: int, s: str) -> bool:
         return bool(_AT_DOT.fullmatch(s))
     if kind == 1:
         return bool(_FOUR.fullmatch(s)) and all(int(x) <= 255 for x in re.findall("[0-9]+", s))
-    if re.search(r"[^\W\d_]", s):
+    if not _DIGITS.fullmatch(s) or re.search(r"[^\W\d_]", s):
         return False
     digits = _NO_DIGIT.sub("", s)
     if kind == 2:
@@ -315,6 +364,15 @@ def plausible(kind: int, s: str) -> bool:
     return 10 <= len(digits) <= 15 and len(digits) < len(s)
 
 
+def _edges(kind: int, text: str, a: int, b: int, around: int = 64) -> tuple[int, int] | None:
+    """Where what the network found begins and ends: the spelling of its kind that shares half of it at least."""
+    lo = max(0, a - around)
+    for m in (_AT_DOT, _FOUR, _DIGITS, _DIGITS)[kind].finditer(text, lo, b + around):
+        if 2 * (min(b, m.end()) - max(a, m.start())) >= b - a:
+            return m.span()
+    return None
+
+
 def _windows(text: str) -> list[int]:
     """Starts of the windows, on a grid of STRIDE, that hold a trigger."""
     out: list[int] = []
@@ -357,18 +415,17 @@ def added_spans(net: BiLstmCrf, texts: list[str], bases: list[list[tuple[int, in
         kinds = (own[on] - 1) // 2
         cut = np.nonzero((np.diff(on) > 1) | (np.diff(kinds) != 0) | (own[on][1:] % 2 == 1))[0] + 1
         for run, kind in zip(np.split(on, cut), kinds[np.concatenate(([0], cut))].tolist(), strict=True):
-            a, b = int(run[0]), int(run[-1]) + 1
-            while a < b and text[a] in " \n\t,;:|":
-                a += 1
-            while b > a and text[b - 1] in " \n\t,;:|.!?":
-                b -= 1
+            at = _edges(kind, text, int(run[0]), int(run[-1]) + 1)
+            if at is None:
+                continue
+            a, b = at
             edge = (a > 0 and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum())
-            if a < b and not edge and plausible(kind, text[a:b]) and all(b <= s or a >= e for s, _, e in taken):
+            if not edge and plausible(kind, text[a:b]) and all(b <= s or a >= e for s, _, e in taken + found[i]):
                 found[i].append((a, kind, b))
     return found
 
 
-def find(docs: DataFrame, steps: int = 280) -> DataFrame:
+def find(docs: DataFrame, steps: int = 700) -> DataFrame:
     """Personal data in each whole text of ``docs`` (``doc_id, text``).
 
     Returns ``doc_id, n_email, n_ip, n_card, n_phone`` (exact patterns), ``base_sha256`` of
