@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import evaluate, ml, profile, relational, retrieval, select
+from spindrift.operators import assemble, cases, evaluate, ml, profile, relational, retrieval, rules, select
 from spindrift.schema import RAW_VISIT, load
 from spindrift.sources import reports, requests, tables
 from spindrift.streaming import visits as stream
@@ -216,7 +216,7 @@ def test_retrieval_over_every_hundredth(spark, tmp_path):
 
     r, n, sf = np.random.default_rng(8), 350, str(tmp_path)
     e = r.normal(size=(n, 8)).astype(np.float32)
-    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "vec_id long, embedding array<float>").write.parquet(f"{sf}/embeddings.parquet")
+    spark.createDataFrame([(i, x.tolist(), i % 4) for i, x in enumerate(e)], "vec_id long, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
     word = [f"word{k}" for k in range(60)]
     texts = [" ".join(r.choice(word, 12)) for _ in range(60)]
     asked = [" ".join(r.choice(word, 4)) for _ in range(120)]
@@ -226,17 +226,17 @@ def test_retrieval_over_every_hundredth(spark, tmp_path):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     s = {q: np.round(u @ u[q], 6) for q in range(0, n, 100)}
     best = {q: sorted((-x, i) for i, x in enumerate(s[q]) if i != q)[:5] for q in s}
-    pairs = {(x["query_id"], x["id"]): x["cosine"] for x in QUERIES["cosine_pairs_all"](spark, sf).collect()}
-    assert pairs.keys() == {(q, i) for q in s for i in range(n)}
-    assert all(abs(x - s[q][i]) < 2e-6 for (q, i), x in pairs.items())
-    got = {(x["query_id"], x["rank"]): x["id"] for x in QUERIES["knn_exact_all"](spark, sf).collect()}
+    pairs = {(x["query_id"], x["id"]): x["cosine"] for x in QUERIES["cosine_pairs"](spark, sf).collect()}
+    assert pairs.keys() == {(i % 4, i) for i in range(n)}
+    assert all(abs(x - u[q] @ u[i]) < 2e-6 for (q, i), x in pairs.items())
+    got = {(x["query_id"], x["rank"]): x["id"] for x in QUERIES["knn_exact"](spark, sf).collect()}
     assert got == {(q, k + 1): i for q in s for k, (_, i) in enumerate(best[q])}
-    stats = {x["query_id"]: x["mean_score"] for x in QUERIES["retrieval_stats_all"](spark, sf).collect()}
+    stats = {x["query_id"]: x["mean_score"] for x in QUERIES["retrieval_stats"](spark, sf).collect()}
     assert stats.keys() == s.keys()
     assert all(abs(stats[q] + sum(x for x, _ in best[q]) / 5) < 2e-6 for q in s)
-    words = {x["query_id"] for x in QUERIES["bm25_topk_all"](spark, sf).collect()}
-    assert words == {q for q, t in enumerate(asked) if any(set(t.split()) & set(d.split()) for d in texts)}
-    assert {x["query_id"] for x in QUERIES["hybrid_fusion_all"](spark, sf).collect()} == set(s)
+    words = {x["query_id"] for x in QUERIES["bm25_topk"](spark, sf).collect()}
+    assert words == set(range(len(asked)))  # those that share no word with any text have lists of score 0
+    assert {x["query_id"] for x in QUERIES["hybrid_fusion"](spark, sf).collect()} == set(s)
 
 
 def test_approximate_knn_recall(spark):
@@ -249,3 +249,123 @@ def test_approximate_knn_recall(spark):
     assert {q for q, _ in found} == {q for q, _ in exact}
     assert len(found) <= len(exact)
     assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_exact_quantiles_are_narrowed_down(spark, monkeypatch):
+    monkeypatch.setattr(profile, "RANKED", 40)
+    r = random.Random(3)
+    values = [r.choice([r.random(), 0.5, float(r.randint(0, 5))]) for _ in range(3000)] + [None] * 7
+    df = spark.createDataFrame([(v,) for v in values], "a double").repartition(3)
+    known = sorted(v for v in values if v is not None)
+    ranks = [0, 1, 700, 1499, 1500, 2998, 2999]
+    assert profile.at_ranks(df, "a", ranks) == {k: known[k] for k in ranks}
+    assert profile.quantiles(df, "a", [0.0, 0.5, 1.0]) == [known[0], (known[1499] + known[1500]) / 2, known[-1]]
+    assert profile.quantiles(df.limit(0), "a", [0.5]) == [None]
+
+
+def test_knn_is_safe_from_nulls_and_has_no_most(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(900, None), (901, []), (902, [1.0, None, *[0.0] * 6])]
+    index = retrieval.unit_index(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
+    queries = index.where("id < 60 or id >= 900").withColumnRenamed("id", "query_id")
+    plain = [tuple(x) for x in retrieval.knn(queries, index, 4, exclude_self=True).orderBy("query_id", "rank").collect()]
+    assert len(plain) == 240
+    assert all(plain[4 * i + j][2] >= plain[4 * i + j + 1][2] for i in range(60) for j in range(3))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 10)
+    monkeypatch.setattr(retrieval, "TILE", 50)
+    assert [tuple(x) for x in retrieval.knn(queries, index, 4, exclude_self=True).orderBy("query_id", "rank").collect()] == plain
+    assert retrieval.knn(queries.limit(0), index, 4).count() == 0
+
+
+def test_bm25_fills_its_lists(spark):
+    docs = spark.createDataFrame([(i, ["a"] if i == 3 else ["b"] if i else []) for i in range(5)], "id long, t array<string>")
+    tf, lengths = retrieval.postings(docs, "id", F.col("t"))
+    asked = spark.createDataFrame([(1, "a"), (2, "zz")], "query_id long, term string")
+    got = [(x["query_id"], x["id"], x["score"] > 0, x["rank"]) for x in retrieval.bm25(asked, tf, lengths, 3).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 3, True, 1), (1, 0, False, 2), (1, 1, False, 3), (2, 0, False, 1), (2, 1, False, 2), (2, 2, False, 3)]
+
+
+def test_case_index_is_saved_whole(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i, r.choice(["chest pain", "fever cough", "ankle injury"]) + f" case{i}", [r.gauss(0, 1) for _ in range(4)], float(r.randint(20, 80)), None if i % 5 == 0 else str(r.randint(60, 120)), 1 + i % 5) for i in range(60)]
+    known = spark.createDataFrame(rows, "case_id long, description string, embedding array<double>, age_at_visit double, heartrate string, acuity int")
+    root = str(tmp_path / "index")
+    built = cases.build_or_load(known, "case_id", "embedding", "description", root)
+    done, medians = cases.prepared(known)
+    assert len(done.first()["numbers"]) == 16
+    rates = sorted(float(x[4]) for x in rows if x[4])
+    assert medians["heartrate"] == (rates[23] + rates[24]) / 2
+    assert medians["sbp"] == 0.0
+    assert tuple(built.status().first()) == (True, 60, 20)
+    again = cases.build_or_load(known, "case_id", "embedding", "description", root)
+    assert (again.medians, again.means, again.weights) == (built.medians, built.means, built.weights)
+    queries = known.where("case_id < 6").withColumn("query_id", F.col("case_id"))
+    asked = again.vectors(queries, "embedding")
+    near = again.retrieve(asked, 3)
+    assert {x["query_id"] for x in near.where("rank = 1 and query_id = id and score = 1.0").collect()} == set(range(6))
+    assert again.retrieve(asked, 3, use_hybrid=True).where("rank = 1 and query_id = id").count() == 6
+    words = again.with_weights(words=1.0, vectors=0.0)
+    assert words.retrieve(asked, 3, use_hybrid=True, reranker=lambda q, t: [float(a == b) for a, b in zip(q, t, strict=True)]).where("rank = 1 and query_id = id").count() == 6
+    with pytest.raises(ValueError, match="anew"):
+        again.with_weights(text=0.5)
+    quick = cases.quick_retrieve(queries, known, "case_id", "embedding", "description", root, 3)
+    assert sorted(map(tuple, quick.collect())) == sorted(map(tuple, near.collect()))
+
+    def client(prompt):
+        if "case3" in prompt:
+            raise TimeoutError
+        return "ESI level: 2"
+
+    labels = known.select(F.col("case_id").alias("id"), "acuity")
+    predictions, report = assemble.judged_configs(again, labels, asked.select("query_id", "unit", "description", "acuity"), client, lambda q, t: [1.0] * len(q))
+    found = {x["config"]: tuple(x)[1:] for x in report.collect()}
+    assert set(found) == {"vector_only", "hybrid_only", "hybrid_rerank"}
+    assert all(x[0] == 6 and x[2] >= 1 for x in found.values())
+    assert predictions.where("error = 1 and level <> 3").count() == 0
+    assemble.save_evaluation(report, report, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "results")).count() == 3
+
+
+def test_boosting_grid_and_label_shift(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    r = random.Random(7)
+    rows = [(1 + int(x > 0) + int(x > 1), [x, r.random()]) for x in (r.gauss(0.5, 1) for _ in range(150))]
+    df = ml.shift(spark.createDataFrame(rows, "label int, v array<double>"), "label", -1).withColumn("features", array_to_vector("v")).withColumn("weight", F.lit(1.0))
+    model, report = ml.grid_search(df.withColumn("label", F.col("label").cast("double")), grid={"maxIter": [1, 3], "maxDepth": [1, 2]}, folds=2, kind="boosting")
+    assert report.count() == 4
+    back = ml.shift(model.transform(df).select(F.col("prediction").cast("int").alias("level"), "label"), "level", 1)
+    assert {x["level"] for x in back.collect()} <= {1, 2, 3}
+    assert back.where("level = label + 1").count() > 100
+
+
+def test_served_features_are_in_order(spark):
+    df = spark.createDataFrame([(None, 3, None, 70, 110, 70, 99, 1, "m", "Other", [1.0, 2.0]), (30, None, 98.0, None, None, None, None, None, None, None, None)], "age int, pain int, temperature double, heart_rate int, sbp int, dbp int, o2sat int, time_period int, gender string, arrival_transport string, svd array<double>")
+    got = [x["features"] for x in ml.served_features(df, "svd").collect()]
+    assert got[0] == [50, 3, 98.6, 70, 110, 70, 99, 1, 1, 0, 1, 0, 0, 1, 2, *[0] * 18]
+    assert got[1] == [30, 0, 98, 80, 120, 80, 98, 2, 0, 0, 0, 0, 1, *[0] * 20]
+
+
+def test_bind_defaults_flags_and_choice(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "id long, c string")
+    b = spark.createDataFrame([(2, "q", 5), (1, "r", 6)], "id long, c string, n int")
+    assert sorted(map(tuple, relational.bind(a, b, "id").collect())) == [(1, "x", 6), (2, "y", 5), (2, "z", 5)]
+    assert relational.with_default(a, "c", "-").columns == relational.with_default(a.drop("c"), "c", "-").columns
+    assert [x["c"] for x in relational.with_default(a.drop("c"), "c", "-").collect()] == ["-"] * 3
+    flags = spark.createDataFrame([("突然胸痛", 0.1), ("高烧", 0.95), ("高烧", None), (None, 0.7), ("ok", 0.2)], "t string, s double")
+    assert [x[0] for x in flags.select(rules.red_flag(F.col("t"), F.col("s"))).collect()] == ["critical", "critical", "urgent", "urgent", "normal"]
+    loads = spark.createDataFrame([("fast", 0.5), ("detailed", 0.3), ("detailed", 0.9), (None, 0.1)], "p string, l double")
+    assert [x[0] for x in loads.select(rules.model_for(F.col("p"), F.col("l"))).collect()] == ["tfidf_rf", "llama_rag", "tfidf_rf", "llama_rag"]
+
+
+def test_waits_between_tries(spark):
+    import time
+
+    began = time.time()
+    df = spark.createDataFrame([("p",)], "prompt string")
+
+    def client(prompt):
+        raise OSError
+
+    assert [x["status"] for x in ml.with_language_model(df, "prompt", client, tries=3, delay=0.3).collect()] == ["OSError"]
+    assert time.time() - began >= 0.9
