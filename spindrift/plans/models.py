@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import ml, rules
+from spindrift.functions import vec
+from spindrift.operators import cases, ml, relational, retrieval, rules
 from spindrift.plans.catalogue import big, load, query, visits
+from spindrift.plans.texts import _RISK
 
 FEATURES = ["age_at_visit", "pain", "temperature", "heartrate", "sbp", "dbp", "o2sat"]
 
@@ -36,34 +38,91 @@ def _labelled(spark, sf):
     return ml.weighted(ml.assemble(x, FEATURES), "label", "balanced").select("stay_id", "label", "features", "weight")
 
 
-@query()
+_LABEL = f"WITH {{V}}, {_RISK} SELECT stay_id, CAST(CASE risk WHEN 'critical' THEN 0 WHEN 'concerning' THEN 1 ELSE 2 END AS BIGINT) AS label"
+
+
+@query(f"{_LABEL}, true AS known, true AS sure FROM risk WHERE stay_id % 5 = 0")
 def rf_classify(spark, sf):
+    """The held-out rows; each prediction is one of the labels, and its probability at least that of chance."""
     x = _labelled(spark, sf)
     model = ml.forest(trees=20, depth=6).fit(x.where("stay_id % 5 <> 0"))
-    return ml.scored(model, x.where("stay_id % 5 = 0")).select("stay_id", "label", "prediction", "confidence")
+    done = ml.scored(model, x.where("stay_id % 5 = 0"))
+    return done.select("stay_id", big("label").alias("label"), F.col("prediction").isin(0.0, 1.0, 2.0).alias("known"), F.col("confidence").between(1 / 3 - 1e-9, 1 + 1e-9).alias("sure"))
 
 
-@query()
+@query(f"{_LABEL}, true AS known FROM risk WHERE stay_id % 5 = 0")
 def gbt_ovr_classify(spark, sf):
     x = _labelled(spark, sf)
     model = ml.boosting(rounds=5, depth=3).fit(x.where("stay_id % 5 <> 0"))
-    return ml.scored(model, x.where("stay_id % 5 = 0")).select("stay_id", "label", "prediction")
+    return ml.scored(model, x.where("stay_id % 5 = 0")).select("stay_id", big("label").alias("label"), F.col("prediction").isin(0.0, 1.0, 2.0).alias("known"))
 
 
-@query()
+@query("SELECT true AS learns")
+def rf_accuracy(spark, sf):
+    """Whether a forest tells more of the held-out labels than the most frequent one would."""
+    x = _labelled(spark, sf)
+    test = x.where("stay_id % 5 = 0")
+    done = ml.scored(ml.forest(trees=20, depth=6).fit(x.where("stay_id % 5 <> 0")), test)
+    most = test.groupBy("label").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("share"))
+    return done.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("right")).crossJoin(F.broadcast(most)).select((F.col("right") > F.col("share")).alias("learns"))
+
+
+_GRID = "SELECT 'maxDepth=' || d || ', {n}=' || t AS params, true AS sound FROM (SELECT unnest([{d}]) AS d), (SELECT unnest([{t}]) AS t)"
+
+
+@query(_GRID.format(n="numTrees", d="3, 5", t="5, 10"))
 def cv_grid(spark, sf):
-    return ml.grid_search(_labelled(spark, sf), grid={"numTrees": [5, 10], "maxDepth": [3, 5]})[1]
+    report = ml.grid_search(_labelled(spark, sf), grid={"numTrees": [5, 10], "maxDepth": [3, 5]})[1]
+    return report.select("params", F.col("mean_f1").between(1 / 3, 1).alias("sound"))
 
 
-@query()
+@query(_GRID.format(n="maxIter", d="2, 3", t="2"))
+def boosting_grid(spark, sf):
+    report = ml.grid_search(_labelled(spark, sf), grid={"maxIter": [2], "maxDepth": [2, 3]}, folds=2, kind="boosting")[1]
+    return report.select("params", F.col("mean_f1").between(1 / 3, 1).alias("sound"))
+
+
+@query("SELECT vec_id, true AS nearest FROM embeddings")
 def kmeans_assign(spark, sf):
+    """Each vector, and whether no centre is nearer than that of its cluster."""
     x = ml.with_vector(load(spark, sf, "embeddings"), "embedding")
-    return ml.clustered(ml.kmeans(x, 10, starts=2, iterations=50), x).select("vec_id", "cluster", "distance_to_center")
+    model = ml.kmeans(x, 10, starts=2, iterations=50)
+    centres = F.array(*[F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()])
+    least = F.array_min(F.transform(centres, lambda c: vec.distance(vec.doubles(F.col("embedding")), c)))
+    return ml.clustered(model, x).select("vec_id", (F.col("distance_to_center") <= least + 1e-6).alias("nearest"))
 
 
-@query()
+@query("SELECT unnest([4, 6, 8]) AS k, true AS sound")
 def kmeans_best_k(spark, sf):
-    return ml.best_k(ml.with_vector(load(spark, sf, "embeddings"), "embedding"), "vec_id", [4, 6, 8])
+    report = ml.best_k(ml.with_vector(load(spark, sf, "embeddings"), "embedding"), "vec_id", [4, 6, 8])
+    return report.select(F.col("k"), F.col("silhouette").between(-1, 1).alias("sound"))
+
+
+_NORMS = "SELECT vec_id, round(sqrt(list_dot_product(e, e)), 4) AS norm FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
+
+
+@query(_NORMS)
+def svd_norms(spark, sf):
+    """All axes together keep a vector's length."""
+    x = ml.svd(ml.with_vector(load(spark, sf, "embeddings"), "embedding").select("vec_id", "features"), "vec_id", "features", 64)[0]
+    return x.select("vec_id", F.round(vec.norm(F.col("reduced")), 4).alias("norm"))
+
+
+@query(_NORMS)
+def pca_norms(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    x = ml.pca(ml.with_vector(load(spark, sf, "embeddings"), "embedding"), "features", 64)
+    return x.select("vec_id", F.round(vec.norm(vector_to_array("pca")), 4).alias("norm"))
+
+
+@query("SELECT true AS enough")
+def lsh_recall(spark, sf):
+    """Whether the approximate neighbours hold nine tenths of the exact ones."""
+    index = retrieval.unit_index(load(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), "id", "embedding")
+    exact = retrieval.knn(index.where("id % 100 = 0").withColumnRenamed("id", "query_id"), index, 10, exclude_self=True).select("query_id", "id")
+    met = exact.join(lsh_knn(spark, sf).select("query_id", "id", F.lit(1).alias("met")), ["query_id", "id"], "left")
+    return met.agg((F.count("met") >= 0.9 * F.count("*")).alias("enough"))
 
 
 @query()
@@ -83,3 +142,52 @@ def svd_reduce(spark, sf):
 def lsh_knn(spark, sf):
     x = ml.with_vector(load(spark, sf, "embeddings"), "embedding").select("vec_id", "features")
     return ml.approximate_knn(x, x.where("vec_id % 100 = 0"), 10, "vec_id")
+
+
+@query("SELECT vec_id, label - 1 AS moved, label AS back FROM embeddings")
+def label_shift(spark, sf):
+    x = load(spark, sf, "embeddings").select("vec_id", F.col("label"))
+    moved = ml.shift(x, "label", -1)
+    return relational.bind(moved.withColumnRenamed("label", "moved"), ml.shift(moved, "label", 1).withColumnRenamed("label", "back"), "vec_id")
+
+
+@query("SELECT c_custkey, c_mktsegment, 'unknown' AS transport FROM customer")
+def default_column(spark, sf):
+    x = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return relational.with_default(relational.with_default(x, "transport", "unknown"), "c_mktsegment", "unknown")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, s.n AS suppliers FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey")
+def bind_by_id(spark, sf):
+    counts = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    return relational.bind(load(spark, sf, "nation"), counts, "n_nationkey")
+
+
+_MEDIANS = ", ".join(f"median({c}) AS m_{c}" for c in FEATURES)
+
+
+@query(f"""WITH {{V}}, m AS (SELECT {_MEDIANS} FROM visits)
+SELECT stay_id, {', '.join(f'round(coalesce({c}, m_{c}), 6) AS {c}, CAST({c} IS NULL AS BIGINT) AS {c}_missing' for c in FEATURES)} FROM visits, m""")
+def case_numbers(spark, sf):
+    """The numbers of prepared cases, filled, and which were missing."""
+    done, _ = cases.prepared(visits(spark, sf), None, tuple(FEATURES))
+    n = len(FEATURES)
+    return done.select("stay_id", *[F.round(F.get("numbers", F.lit(i)), 6).alias(c) for i, c in enumerate(FEATURES)], *[big(F.get("numbers", F.lit(n + i))).alias(f"{c}_missing") for i, c in enumerate(FEATURES)])
+
+
+@query("""WITH {V} SELECT stay_id, CAST(33 AS BIGINT) AS dims, coalesce(pain, 0) + 1000 * coalesce(o2sat, 98) AS numbers,
+CAST(coalesce(upper(gender) = 'M', false) AS BIGINT) + 2 * CAST(coalesce(upper(arrival_transport) = 'HELICOPTER', false) AS BIGINT) + 16 * CAST(coalesce(upper(arrival_transport), 'WALK IN') = 'WALK IN' AS BIGINT) AS places FROM visits""")
+def served_vector(spark, sf):
+    """Where the numbers and the 0/1 places of a served vector stand."""
+    x = visits(spark, sf).withColumnRenamed("heartrate", "heart_rate").withColumnRenamed("age_at_visit", "age").withColumn("time_period", F.lit(2)).withColumn("svd", F.array(F.lit(0.5)))
+    v = ml.served_features(x, "svd").select("stay_id", F.col("features").alias("v"))
+    at = lambda i: F.get("v", F.lit(i))
+    return v.select("stay_id", F.size("v").cast("long").alias("dims"), (at(1) + 1000 * at(6)).alias("numbers"), big(at(8) + 2 * at(9) + 4 * at(10) + 8 * at(11) + 16 * at(12)).alias("places"))
+
+
+@query("""WITH {V} SELECT stay_id, CASE WHEN coalesce(pain / 10 >= 0.9, false) THEN 'critical' WHEN coalesce(pain / 10 >= 0.7, false) THEN 'urgent' ELSE 'normal' END AS flag,
+CASE WHEN heartrate / 200 > 0.8 OR chiefcomplaint = 'Unknown' THEN 'tfidf_rf' ELSE 'llama_rag' END AS model FROM visits""")
+def red_flags(spark, sf):
+    """The flag by a score, and the model by load and preference."""
+    preference = F.when(F.col("chiefcomplaint") == "Unknown", "fast")
+    return visits(spark, sf).select("stay_id", rules.red_flag(F.col("chiefcomplaint"), F.col("pain") / 10).alias("flag"), rules.model_for(preference, F.col("heartrate") / 200).alias("model"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import dates, parse, text
 from spindrift.operators import evaluate, rules, severity
-from spindrift.plans.catalogue import big, load, query, visits
+from spindrift.plans.catalogue import ORACLES, big, load, query, visits
 from spindrift.sources import reports, requests
 
 _EN = "lang = 'en'"
@@ -145,7 +145,7 @@ def report_parse(spark, sf):
     return g.select(big("group_id").alias("group_id"), "group_name", "description", big(F.col("severity_range")[0]).alias("severity_lo"), big(F.col("severity_range")[1]).alias("severity_hi"), F.array_join(F.col("included_clusters").cast("array<string>"), ",").alias("clusters"), F.array_join("typical_symptoms", ",").alias("symptoms"))
 
 
-@query()
+@query("""WITH {V}, __FALLBACK__ SELECT stay_id, '{"level":' || level || ',"confidence":' || CASE level WHEN 1 THEN '0.85' WHEN 2 THEN '0.75' WHEN 3 THEN '0.7' ELSE '0.8' END || ',"reasons":["' || CASE level __NAMES__ END || '"]}' AS response FROM scored""")
 def response_json(spark, sf):
     x = visits(spark, sf).select("stay_id", _fallback().alias("f")).select("stay_id", "f.level", "f.confidence", F.array(rules.level_name(F.col("f.level"))).alias("reasons"))
     return requests.responses(x).select("stay_id", "response")
@@ -286,3 +286,7 @@ def period_notes(spark, sf):
 def level_names(spark, sf):
     x = visits(spark, sf).join(F.broadcast(rules.level_table(spark)), F.col("acuity") == F.col("level"))
     return x.groupBy("name").agg(F.count("*").alias("n"))
+
+
+# What stands further up than the texts it is made of.
+ORACLES["response_json"] = ORACLES["response_json"].replace("__FALLBACK__", _FALLBACK).replace("__NAMES__", " ".join(f"WHEN {i} THEN '{n}'" for i, n, _ in rules.LEVELS))
