@@ -123,4 +123,27 @@ ORACLES: dict[str, str] = {
                CAST(length(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END) AS BIGINT) AS n_kept_chars,
                sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END) AS kept_sha256
         FROM documents d LEFT JOIN kept USING (doc_id)""",
+    # All pairs, and all that links reach.
+    "op5_cosine_tiles": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v),
+        link AS (SELECT a.vec_id, b.vec_id AS other FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u) WHERE list_dot_product(a.u, b.u) >= 0.95),
+        reach AS (SELECT vec_id, other FROM link UNION SELECT reach.vec_id, link.other FROM reach JOIN link ON link.vec_id = reach.other),
+        n AS (SELECT vec_id, count(*) AS n_links FROM link GROUP BY 1), r AS (SELECT vec_id, min(other) AS least FROM reach GROUP BY 1)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept
+        FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN r USING (vec_id)""",
+    # Every string of 50 bytes, as hexadecimal digits.
+    "op6_suffix_array": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+        f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+        hit AS (SELECT doc_id, i, CAST(i > lag(i, 1, i - 51) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS INT) AS fresh FROM w JOIN f USING (s) WHERE first < doc_id),
+        run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit) GROUP BY doc_id, k),
+        part AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM run),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) AS k, max(z) AS z, sum(z - a) AS n_removed, count(*) AS n_spans FROM part JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }

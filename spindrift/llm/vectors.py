@@ -8,9 +8,10 @@ below the threshold are done with, and only rows and columns with a pair left
 go on to the next dimensions. What is left at the end is decided in double
 precision on the vectors as they came.
 
-Tiles are cells of the first two axes, cut to ``tile`` vectors (2048 to 16384) by a hash. Cells farther apart
-than two vectors of the threshold can be are never compared. A tile pair is a task's row; its
-result is a link count per vector and links that span what it found, so nothing
+Tiles are boxes of cells on the first four axes, split where most vectors lie, and boxes of more than ``tile`` vectors (2048 to 16384) are
+cut by a hash. Boxes farther apart than two vectors of the threshold can be are never compared. A tile is a
+file in the shared folder: a task takes one and reads its partners from there one by one, so that what is shuffled is in
+proportion to the rows, whatever is compared. Its result is a link count per vector and links that span what it found, so nothing
 grows with the square of a group of copies.
 """
 
@@ -22,12 +23,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import components, kept_table
+from spindrift.llm.common import components, kept_table, scratch_path
 
 _STEPS = (16, 32)
+#: Boxes that all vectors are dealt to at first, and partners that a task reads for one tile.
+BOXES, ROW = 1000, 16
 
 
 def usable(v: np.ndarray) -> np.ndarray:
@@ -155,80 +160,98 @@ def _linked(sound: DataFrame, d: int, threshold: float, tile: int | None, cell:
         second[r["i"], r["j"]] = r["s"]
     _, axes = np.linalg.eigh((second + second.T) / 2)
     turn = np.ascontiguousarray(axes[:, ::-1])
-    n_axes = min(2, d)
+    n_axes, base = min(4, d), int(2 / cell) + 4
+    places = base ** np.arange(n_axes)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u = unit(b.column("v").flatten().to_numpy().reshape(-1, d))
-            c = np.floor(u @ turn[:, :n_axes] / cell).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array(c[:, 0]), pa.array(c[:, 1] if n_axes > 1 else np.zeros(len(c), np.int64)), pa.array([x.tobytes() for x in u], pa.binary())], ["rep", "n", "c0", "c1", "u"])
-
-    rows = kept_table(distinct.mapInArrow(placed, "rep long, n long, c0 long, c1 long, u binary"), "placed")
-    # At most (2 / cell)^2 cells, whatever the number of rows; sparse ones share a tile with their neighbours along the second axis.
-    # What is sent grows as rows^2 / tile, so tiles grow with the table, up to what a task can hold.
-    counts = sorted((r["c0"], r["c1"], r["n"]) for r in rows.groupBy("c0", "c1").agg(F.count("*").alias("n")).collect())
-    tile = tile or min(16384, max(2048, sum(n for *_, n in counts) // 64))
-    groups: list[list] = []  # c0, first c1, last c1, vectors
-    for c0, c1, n in counts:
-        if groups and groups[-1][0] == c0 and groups[-1][3] + n <= tile:
-            groups[-1][2:] = [c1, groups[-1][3] + n]
-        else:
-            groups.append([c0, c1, c1, n])
+            c = np.floor(u @ turn[:, :n_axes] / cell).astype(np.int64) + base // 2
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array(c @ places), pa.array([x.tobytes() for x in u], pa.binary())], ["rep", "n", "cell", "u"])
+
+    rows = kept_table(distinct.mapInArrow(placed, "rep long, n long, cell long, u binary"), "placed")
+    # At most base^4 cells, whatever the number of rows.
+    counts = rows.groupBy("cell").agg(F.count("*").alias("n")).toArrow()
+    cells, sizes = counts["cell"].to_numpy(), counts["n"].to_numpy()
+    total = int(sizes.sum())
+    tile = tile or min(16384, max(2048, total // 64))
+    at = cells[:, None] // places % base
+    boxes = _boxes(at, sizes, max(tile, total // BOXES))
+    lo, hi = np.array([at[b].min(axis=0) for b in boxes]), np.array([at[b].max(axis=0) for b in boxes])
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    gap = lambda lo, hi, lo2, hi2: max(0, max(lo, lo2) - min(hi, hi2) - 1) * cell
-    partner: dict[int, list[int]] = {}
-    for g, x in enumerate(groups):
-        for h in range(g, len(groups)):
-            y = groups[h]
-            if y[0] - x[0] > reach / cell + 1:
-                break
-            if math.hypot(gap(x[0], x[0], y[0], y[0]), gap(x[1], x[2], y[1], y[2])) <= reach:
-                partner.setdefault(g, []).append(h)
+    parts = [-(-int(sizes[b].sum()) // tile) for b in boxes]
+    first = np.concatenate(([0], np.cumsum(parts)[:-1])).tolist()
+    near = []
+    for g in range(len(boxes)):
+        gap = np.maximum(0, np.maximum(lo[g], lo[g:]) - np.minimum(hi[g], hi[g:]) - 1) * cell
+        near += [(first[g], parts[g], first[h], parts[h]) for h in (g + np.nonzero((gap * gap).sum(axis=1) <= reach * reach)[0]).tolist()]
     spark = sound.sparkSession
-    parts, first, at = [-(-g[3] // tile) for g in groups], [], 0
-    for n in parts:
-        first.append(at)
-        at += n
-    cells = spark.createDataFrame([(x[0], c1, parts[g], first[g]) for g, x in enumerate(groups) for c1 in _cells(counts, x)], "c0 long, c1 long, parts long, first long")
-    # Pairs of groups are bounded by the cells; their tiles are paired on the executors.
-    near = spark.createDataFrame([(first[g], parts[g], first[h], parts[h]) for g, hs in partner.items() for h in hs], "f long, m long, g long, n long")
-    pairs = near.select(F.explode(F.sequence("f", F.expr("f + m - 1"))).alias("a"), "g", "n").select("a", F.explode(F.sequence("g", F.expr("g + n - 1"))).alias("b")).where("a <= b")
-    in_tile = rows.join(F.broadcast(cells), ["c0", "c1"]).select("rep", "n", "u", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("tile"))
+    where = spark.createDataFrame([(int(cells[i]), parts[g], first[g]) for g, b in enumerate(boxes) for i in b], "cell long, parts long, first long")
+    in_tile = rows.join(F.broadcast(where), "cell").select("rep", "n", "u", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("tile"))
     packed = in_tile.groupBy("tile").applyInArrow(_packed, "tile long, reps binary, ns binary, us binary")
-    packed = kept_table(packed, "tiles")
-    left, right = packed.select(*[F.col(c).alias(f"a_{c}") for c in packed.columns]), packed.select(*[F.col(c).alias(f"b_{c}") for c in packed.columns])
-    work = pairs.join(left, F.col("a") == F.col("a_tile")).join(right, F.col("b") == F.col("b_tile")).select("a", "b", "a_reps", "a_ns", "a_us", "b_reps", "b_ns", "b_us")
+    path = scratch_path(spark, "tiles")
+    packed.withColumn("file", F.col("tile")).write.partitionBy("file").parquet(path)
+    # Pairs of boxes are bounded; their tiles are paired on the executors, ROW partners to a row.
+    pairs = spark.createDataFrame(near, "f long, m long, g long, n long").select(F.explode(F.sequence("f", F.expr("f + m - 1"))).alias("a"), "g", "n").select("a", F.explode(F.sequence("g", F.expr("g + n - 1"))).alias("b")).where("a <= b")
+    work = pairs.groupBy("a", F.floor(F.col("b") / ROW).alias("r")).agg(F.collect_list("b").alias("bs")).select("a", "bs")
     shared = spark.sparkContext.broadcast(turn)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = pa.fs.FileSystem.from_uri(path)
+
+        def tile_of(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+            folder = f"{top}/file={k}"
+            if store.get_file_info(folder).type == pa.fs.FileType.NotFound:
+                return None  # the hash gave it no vector
+            t = pq.read_table(folder, filesystem=store, columns=["reps", "ns", "us"], partitioning=None)
+            return np.frombuffer(t["reps"][0].as_py(), np.int64), np.frombuffer(t["ns"][0].as_py(), np.int64), np.frombuffer(t["us"][0].as_py()).reshape(-1, d)
+
         for batch in batches:
             for r in batch.to_pylist():
-                one = r["a"] == r["b"]
-                reps = [np.frombuffer(r[f"{s}_reps"], np.int64) for s in "ab"]
-                ns = [np.frombuffer(r[f"{s}_ns"], np.int64) for s in "ab"]
-                a, b = (np.frombuffer(r[f"{s}_us"]).reshape(-1, d) for s in "ab")
-                more, found = [np.zeros(len(x), np.int64) for x in reps], []
-                forest = _Forest(len(reps[0]) if one else len(reps[0]) + len(reps[1]))
-                shift = 0 if one else len(reps[0])
-                every = np.concatenate(reps)
-                for x, y in close_pairs(a, b, shared.value, threshold, same=one):
-                    more[0] += np.bincount(x, ns[1][y], len(reps[0])).astype(np.int64)
-                    into = more[0] if one else more[1]
-                    into += np.bincount(y, ns[0][x], len(reps[1])).astype(np.int64)
-                    found += forest.add(x, y + shift)
-                own = [(reps[s][k], reps[s][k], more[s][k]) for s in ((0,) if one else (0, 1)) for k in np.nonzero(more[s])[0]]
-                out = own + [(every[i], every[j], 0) for i, j in found]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["a", "b", "n"])
-
-    found = kept_table(work.repartition("a", "b").mapInArrow(compare, "a long, b long, n long"), "links")
+                left = tile_of(r["a"])
+                for k in r["bs"] if left else []:
+                    one = k == r["a"]
+                    right = left if one else tile_of(k)
+                    if right is None:
+                        continue
+                    reps, ns = [left[0], right[0]], [left[1], right[1]]
+                    more, found = [np.zeros(len(x), np.int64) for x in reps], []
+                    forest = _Forest(len(reps[0]) if one else len(reps[0]) + len(reps[1]))
+                    shift = 0 if one else len(reps[0])
+                    every = np.concatenate(reps)
+                    for x, y in close_pairs(left[2], right[2], shared.value, threshold, same=one):
+                        more[0] += np.bincount(x, ns[1][y], len(reps[0])).astype(np.int64)
+                        into = more[0] if one else more[1]
+                        into += np.bincount(y, ns[0][x], len(reps[1])).astype(np.int64)
+                        found += forest.add(x, y + shift)
+                    own = [(reps[s][k], reps[s][k], more[s][k]) for s in ((0,) if one else (0, 1)) for k in np.nonzero(more[s])[0]]
+                    out = own + [(every[i], every[j], 0) for i, j in found]
+                    yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["a", "b", "n"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    found = kept_table(work.repartition(tasks, "a", "bs").mapInArrow(compare, "a long, b long, n long"), "links")
     counted = found.where("a = b").groupBy("a").agg(F.sum("n").alias("more")).withColumnsRenamed({"a": "rep"})
     named = components(found.where("a <> b").select("a", "b"), "vectors-cc").withColumnsRenamed({"node": "rep", "component": "root"})
     # The copies of a vector are found again by the vector itself; only vectors with a link or a copy go on.
     return distinct.join(counted, "rep", "left").join(named, "rep", "left").where("n > 1 or more is not null").select("v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
 
 
-def _cells(counts: list[tuple], group: list) -> list[int]:
-    return [c1 for c0, c1, _ in counts if c0 == group[0] and group[1] <= c1 <= group[2]]
+def _boxes(at: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """The cells ``at`` in boxes of up to ``most`` vectors (or one cell), each cut across its longest side at the median."""
+    out, todo = [], [np.arange(len(at))]
+    while todo:
+        b = todo.pop()
+        wide = np.ptp(at[b], axis=0)
+        if sizes[b].sum() <= most or not wide.max():
+            out.append(b)
+            continue
+        k = int(wide.argmax())
+        b = b[np.argsort(at[b, k], kind="stable")]
+        half = np.searchsorted(np.cumsum(sizes[b]), sizes[b].sum() / 2)
+        cut = at[b[half], k]
+        left = at[b, k] < cut if (at[b, k] < cut).any() else at[b, k] <= cut  # cells of one place stay together
+        todo += [b[~left], b[left]]
+    return out
 
 
 def _packed(table: pa.Table) -> pa.Table:
