@@ -54,6 +54,8 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
+        for s in getattr(self, "states", {}).values():
+            s.arcs.clear()  # states hold each other; so they are freed at once
         self.start = _State(-1, b"", ())
         self.states = {(-1, b"", ()): self.start}
 

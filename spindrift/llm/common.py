@@ -14,13 +14,19 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+#: Rows and bytes of a batch that goes to Python, where the session leaves them at their defaults: whole texts are long, and each is in memory several times.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once in an application, wherever it is installed."""
+    """Sends this package to the executors, once in an application, wherever it is installed; batches of texts are made small."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
+    for name, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, usual) in (usual, "64MB", "64m"):
+            spark.conf.set(name, str(ours))
     top = Path(__file__).resolve().parents[1]
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as z:
