@@ -310,6 +310,70 @@ def test_base_spans():
     assert pii.base_spans("card 4111 1111-1111 1111 x") == [(5, 2, 24)]
 
 
+# Written by hand, none by the generator that the network is trained on.
+SPELLINGS = [
+  ("email", [
+    "alice at wonder dot org", "bob [at] host [dot] com", "jane.doe (at) corp (dot) co (dot) uk", "k.meyer[at]web.de", "SARAH AT OFFICE DOT NET",
+    "tom_99 at gmail.com", "info @ example.com", "m.rossi(at)libero.it", "peter{at}server{dot}org", "anna [ at ] mail [ dot ] io",
+    "first dot last at company dot com", "support (@) shop.example", "lee <at> lab <dot> edu", "x.y@z dot com", "max.mustermann@firma[dot]de",
+    "claire at studio dot fr", "j.smith [AT] agency [DOT] gov", "webmaster(at)site(dot)info", "dave42 at yahoo dot com", "nina(at)posteo.de",
+  ]),
+  ("ip", [
+    "192[.]168[.]0[.]1", "10(.)0(.)0(.)7", "172 . 16 . 4 . 9", "8[.]8[.]8[.]8", "198 [.] 51 [.] 100 [.] 22", "127. 0. 0. 1",
+    "203 (.) 0 (.) 113 (.) 5", "100(.)64(.)12(.)3", "91[.]198[.]174[.]192", "185 . 60 . 216 . 35",
+  ]),
+  ("card", [
+    "4111.1111.1111.1111", "5500/0000/0000/0004", "4012  8888  8888  1881", "4242 - 4242 - 4242 - 4242", "5105.1051.0510.5100", "4000_0566_5566_5556",
+    "6011/1111/1111/1117", "3566.0020.2036.0505", "5555 - 5555 - 5555 - 4444", "4222/2222/2222/2220",
+  ]),
+  ("phone", [
+    "(555) 123-4567", "555-867-5309", "212.555.0187", "(030)1234-5678", "020 7946 0958", "1-800-555-0199", "0171/5554321", "(415) 555 2671",
+    "718 555 0143", "310-555-0122", "(02) 9374 4000", "646/555/0171", "1 (702) 555-0133", "404 555-0156", "(617)555-0109", "503.555.0148",
+    "0049-30-901820", "(212) 555.0100", "305 - 555 - 0177", "919-555-0142",
+  ]),
+]
+SENTENCES = [
+    "Please write to {} before Friday.", "My new address is {} and I check it every day.", "You can reach me under {}, thanks!",
+    "For questions: {}\nBest regards", "The note said {} in large red letters.", "He gave {} as his contact when we met at the station.",
+    "Kontakt: {} (nur werktags)", "Puedes escribirme: {} por la tarde",
+]
+NO_DATA = [
+    "We met at noon. The dot on the map was small.", "Look at me. Then run at once to the store.",
+    "The price rose to 1,234,567.89 in 2021, at least.", "Version 1.2.3.4 of the tool was out at last.",
+    "On 2021-03-04 12:30:45 the log had 1234 lines.", "He was at home. She was at work. They dot the hills.",
+    "ISBN 978-3-16 was at the library at 10:30.", "There were 12, 14, 16 and 18 people at the dot com party.", "look at example.com for more",
+    "Chapters 1.1, 1.2, 1.3 and 1.4 are short; see 3.14159.", "Total 100 200 300 400 units at 5 dollars each.",
+    "The ratio 3:4:5 and the year 1999-2000 at best.", "meet us at wonder land dot and more", "pi is 3.14159265 and e is 2.71828182",
+    "Scores were 21-19, 21-17, 18-21 at the end.",
+]
+
+
+def test_spellings_that_no_pattern_has():
+    net = pii.trained()
+
+    def found(text):
+        base = pii.base_spans(text)
+        return base + pii.added_spans(net, [text], [base])[0]
+
+    for kind, (name, items) in enumerate(SPELLINGS):
+        met = [(s.index("{}"), kind, s.index("{}") + len(x)) in found(s.format(x)) for x in items for s in SENTENCES]
+        assert sum(met) >= 0.9 * len(met), name
+    assert sum(bool(found(t)) for t in NO_DATA) <= 1
+    long = "of the and " * 2000
+    assert [x for x in found(long + "Mail alice at wonder dot org or " + long) if x[1] == 0] == [(len(long) + 5, 0, len(long) + 28)]
+
+
+def test_windows_left_out_hold_nothing_plausible():
+    r = random.Random(71)
+    bits = ["at", " at ", "(at)", "[ AT ]", "@", "dot", " dot ", "[.]", ".", " ", "bob", "x", "com", "1", "23", "-", "(", ")", "456", "\n", "é"]
+    for _ in range(3000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(1, 14)))
+        for a in range(len(t)):
+            for b in range(a + 4, len(t) + 1):
+                if any(pii.plausible(k, t[a:b]) for k in range(4)):
+                    assert pii._windows(t), t[a:b]
+
+
 def test_gradients():
     net = pii.BiLstmCrf(hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
