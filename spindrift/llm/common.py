@@ -90,6 +90,12 @@ def table_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
 
 
+def planned_bytes(docs: DataFrame) -> int:
+    """About the bytes of ``docs`` as the planner knows them; where it doesn't, those of ``text``."""
+    told = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return told if told < 1 << 56 else table_bytes(docs)
+
+
 def bucketed_table(df: DataFrame, key: str, tag: str, buckets: int) -> DataFrame:
     """``df`` as a table in the shared folder in ``buckets`` buckets, so that joins and groups by ``key`` don't send it again.
 

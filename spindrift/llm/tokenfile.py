@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import scratch_path, table_bytes
+from spindrift.llm.common import planned_bytes, scratch_path
 from spindrift.llm.pretokens import PieceMemo, is_plain, split_plain
 
 MAGIC = b"SPTOKZ1\n"
@@ -134,7 +134,7 @@ def encoder(tokenizer_file: str) -> Callable[[Iterable[str]], Iterator[np.ndarra
         tok = Tokenizer.from_file(tokenizer_file)
         tok.encode_special_tokens = True
         whole = lambda texts: [x.ids for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
-        memo, usual = PieceMemo(many=whole), _usual(tok)
+        memo, usual = PieceMemo(many=whole, limit=1_000_000), _usual(tok)
 
         def encode(texts: Iterable[str]) -> Iterator[np.ndarray]:
             for t in texts:
@@ -184,7 +184,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
             yield pa.RecordBatch.from_arrays([pa.array([out.close()], pa.binary())], ["value"])
 
     spark = docs.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table_bytes(docs) // range_bytes)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), planned_bytes(docs) // range_bytes)
     ordered = docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", segments_a_file).text(path)
 
