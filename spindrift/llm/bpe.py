@@ -236,10 +236,10 @@ def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes], at_once: int =
 class Codec:
     """Encoding of whole texts and decoding; pieces met before are taken from a bounded memory."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = 700_000):
         self.machine = Transducer(ranks)
         self.split = splitter(pattern)
-        self.memo = PieceMemo(one=lambda piece: self.machine.encode(piece.encode("utf-8")))
+        self.memo = PieceMemo(one=lambda piece: self.machine.encode(piece.encode("utf-8")), limit=held)
         self.bytes_of = self.machine.bytes_of
 
     def encode(self, text: str) -> np.ndarray:
@@ -249,18 +249,21 @@ class Codec:
         return decode_stream(ids.tolist(), self.bytes_of)
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+def codec(path: str, pattern: str, held: int = 700_000) -> Codec:
+    """A process's codec; ``held`` pieces are remembered, at some 200 bytes each."""
+    key = (path, pattern, held)
+    if key not in _codecs:
+        _codecs.clear()  # one at a time, for its memory
+        _codecs[key] = Codec(read_ranks(path), pattern, held)
+    return _codecs[key]
 
 
-def _rows(docs: DataFrame, one: Callable[[Codec, str], tuple], names: list[str], kinds: list, schema: str, path: str, pattern: str) -> DataFrame:
+def _rows(docs: DataFrame, one: Callable[[Codec, str], tuple], names: list[str], kinds: list, schema: str, path: str, pattern: str, held: int = 700_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(path, pattern)
+        use = codec(path, pattern, held)
         for b in batches:
             made = [one(use, t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names)
@@ -285,11 +288,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, held: int = 1_200_000) -> DataFrame:
     """Per row: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, the text encoded and its ids decoded again.
 
     Null and empty texts have no ids. Repeated rows stay; other columns are ignored;
-    an empty table gives an empty result. A row is worked on alone, whatever its length.
+    an empty table gives an empty result. A row is worked on alone, whatever its length. A task remembers ``held`` pieces.
     """
 
     def one(c: Codec, text: str) -> tuple[int, str, str]:
@@ -298,4 +301,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             out.update(done)
         return len(ids), hashlib.sha256(ids).hexdigest(), out.hexdigest()
 
-    return _rows(docs, one, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path, pattern)
+    return _rows(docs, one, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path, pattern, held)

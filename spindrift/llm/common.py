@@ -92,7 +92,7 @@ def table_bytes(docs: DataFrame) -> int:
 
 def planned_bytes(docs: DataFrame) -> int:
     """About the bytes of ``docs`` as the planner knows them; where it doesn't, those of ``text``."""
-    told = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    told = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return told if told < 1 << 56 else table_bytes(docs)
 
 

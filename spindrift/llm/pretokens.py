@@ -71,37 +71,44 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 class PieceMemo(dict):
-    """piece -> its ids as little-endian unsigned 32-bit bytes; starts anew when it has ``limit`` pieces.
+    """piece -> its ids as little-endian unsigned 32-bit bytes, for about ``limit`` pieces.
 
-    ``one`` encodes a piece, or ``many`` a list of them.
+    Half of them are the latest, the others those before; when the latest are too many they take the place of the others, so that a
+    piece stays as long as it is met now and then. ``one`` encodes a piece, or ``many`` a list of them.
     """
 
     def __init__(self, one: Callable[[str], list[int]] | None = None, many: Callable[[list[str]], list[list[int]]] | None = None, limit: int = 700_000, longest: int = 64):
         super().__init__()
-        self.one, self.many, self.limit, self.longest = one, many, limit, longest
+        self.one, self.many, self.half, self.longest = one, many, limit // 2, longest
+        self.before: dict[str, bytes] = {}
 
-    def _keep(self, piece: str, ids: list[int]) -> bytes:
-        out = array("I", ids).tobytes()
+    def _room(self, n: int = 1) -> None:
+        if len(self) + n > self.half:
+            self.before = dict(self)
+            self.clear()
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.before.get(piece)
+        if out is None:
+            out = array("I", self.one(piece)).tobytes()
         if len(piece) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
+            self._room()
             self[piece] = out
         return out
 
-    def __missing__(self, piece: str) -> bytes:
-        return self._keep(piece, self.one(piece))
-
     def ids(self, pieces: list[str]) -> bytes:
         """The ids of all ``pieces``, joined. With ``many``, a call's own distinct pieces are held at a time, whatever the limit."""
         if self.one:
             return b"".join(map(self.__getitem__, pieces))
         new = [p for p in set(pieces) if p not in self]
-        if not new:
-            return b"".join(map(self.__getitem__, pieces))
-        if len(self) + len(new) > self.limit:
-            self.clear()
+        if new and len(self) + len(new) > self.half:
+            self._room(len(new))
             new = list(set(pieces))
-        self.update(zip(new, (array("I", x).tobytes() for x in self.many(new)), strict=True))
+        if new:
+            old = self.before
+            self.update([(p, old[p]) for p in new if p in old])
+            new = [p for p in new if p not in old]
+            self.update(zip(new, (array("I", x).tobytes() for x in self.many(new)), strict=True))
         out = b"".join(map(self.__getitem__, pieces))
         for p in new:
             if len(p) > self.longest:
