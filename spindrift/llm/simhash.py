@@ -21,7 +21,9 @@ SEED = 42
 #: For near copies each text has so many fingerprints; of each, the votes of the VOTERS shingles of least hash count 1, 1/2, 1/3 ...
 DRAWS, VOTERS = 20, 8
 #: Near copies are compared whole if one fingerprint differs in this many bits at most, and agrees in one of its two halves.
-NEAR_BITS = 3
+NEAR_BITS, NEAR_PAIRWISE = 3, 8
+#: Rounds in which each text of a large block is compared with two leaders of one of its blocks.
+STARS = 2
 #: Pairs of distinct fingerprints are compared one by one in blocks up to this size; larger blocks are linked through hubs, which is as exact.
 PAIRWISE = 48
 _VOTES_AT_ONCE = 65536
@@ -61,15 +63,9 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _blocks(max_bits: int) -> list[int]:
-    """Masks of 64 bits: two fingerprints within ``max_bits`` agree under one at least.
-
-    The bits are cut in max_bits + 2 blocks; of these all but max_bits, so two, agree.
-    """
-    n = max_bits + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [parts[i] | parts[j] for i in range(n) for j in range(i)]
+#: Blocks of 16 bits; two fingerprints within 2 bits agree in two of the four at least, so under one of the masks.
+_PARTS = [0xFFFF << 16 * i for i in range(4)]
+_MASKS = [_PARTS[i] | _PARTS[j] for i in range(4) for j in range(i)]
 
 
 def _signed(x: int) -> int:
@@ -77,27 +73,28 @@ def _signed(x: int) -> int:
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints (long column ``fp``) that join all within ``max_bits``.
+    """Links ``a, b`` between distinct fingerprints (long column ``fp``) that join all within ``max_bits`` (1 or 2).
 
     Pigeonhole: each fingerprint goes to a block per mask. Blocks of up to PAIRWISE
     fingerprints are compared pair by pair and verified by Hamming distance.
     In larger blocks two fingerprints within 2 bits have a common neighbour at one
     bit each; all that share such a hub are within 2 bits of each other, so each is
     linked to the hub's smallest: as many links as fingerprints and no pairs, with
-    the same components. (Larger blocks under another ``max_bits`` than 2 are
-    compared pair by pair too.)
+    the same components. Within 1 bit one is the other's neighbour, and is found as such.
     """
-    masks = _blocks(max_bits)
+    if max_bits not in (1, 2):
+        raise ValueError("links are exact within 1 or 2 bits")
+    masks = _MASKS
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.mask", "k.bits")
     counts = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(counts, ["mask", "bits"])
-    few = shared if max_bits != 2 else shared.where(F.col("n") <= PAIRWISE)
+    few, many = shared.where(F.col("n") <= PAIRWISE), shared.where(F.col("n") > PAIRWISE)
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.mask") == F.col("y.mask")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.fp") < F.col("y.fp"))).where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_bits).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    if max_bits != 2:
-        return pairs
-    many = shared.where(F.col("n") > PAIRWISE)
     flips = [F.lit(0).cast("long")] + [F.lit(_signed(1 << i)) for i in range(64)]
-    near = many.select("fp").distinct().select("fp", F.explode(F.array(*flips)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
+    near = many.select("fp").distinct().select("fp", F.explode(F.array(*flips)).alias("flip")).select("fp", "flip", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
+    if max_bits == 1:
+        own = many.select(F.col("fp").alias("hub")).distinct()
+        return pairs.unionByName(near.where("flip <> 0").join(own, "hub", "left_semi").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct())
     hubs = near.groupBy("hub").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("of")).where(F.size("of") > 1)  # at most 65 fingerprints reach a hub
     return pairs.unionByName(hubs.select("a", F.explode("of").alias("b")).where("a <> b"))
 
@@ -178,14 +175,20 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, fps array<long>")
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """512 bits: whether an odd number of shingles falls on each. Two sets differ in as many shingles at least as these in bits."""
+    return np.packbits((np.bincount((found % np.uint64(512)).astype(np.int64), minlength=512) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``node, s``: the set of shingles of each row."""
+    """``node, s, odd``: the set of shingles of each row, and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "s"])
+            sets = [shingles(t, width) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))], ["node", "s", "odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, s array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, s array<long>, odd array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -197,6 +200,31 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(common >= least * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
+def _sharing(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` in different ``c`` (of rows ``node, c, s, odd``) among which are all whose sets ``s`` have a similarity of ``least``.
+
+    Such sets share most of their shingles, so in one order of all shingles, the rarest first, they share one of the first
+    n - ceil(least n) + 1 of each, and enough is left after the first that they share. What a passage in many texts has in
+    common stands last, and makes no pairs.
+    """
+    sized = rows.select("node", "c", F.size("s").alias("n"), "odd", F.explode("s").alias("t"))
+    often = sized.groupBy("t").agg(F.count("*").alias("times"))
+    ranked = sized.join(often, "t").groupBy("node", "c", "n", "odd").agg(F.sort_array(F.collect_list(F.struct("times", "t"))).alias("order"))
+    first = ranked.select("node", "c", "n", "odd", F.posexplode(F.expr(f"slice(order, 1, cast(n - ceil({least} * n - 1e-9) + 1 as int))")).alias("at", "o")).where("o.times > 1").select("node", "c", "n", "odd", "at", F.col("o.t").alias("t"))
+    first = kept_table(first, "copies-rarest")
+    # At the first shingle that two sets share, what is left of both must do for the similarity, and their parities mustn't differ in too much.
+    differ = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(8))
+    enough = f"least(x.n - x.at, y.n - y.at) >= {least / (1 + least)} * (x.n + y.n) - 1e-9"
+    return first.alias("x").join(first.alias("y"), F.expr(f"x.t = y.t and x.c < y.c and least(x.n, y.n) >= {least} * greatest(x.n, y.n) and {enough} and {differ} <= {(1 - least) / (1 + least)} * (x.n + y.n) + 1e-9")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _apart(large: DataFrame, found: DataFrame) -> DataFrame:
+    """``block, node, c`` of the blocks whose texts are in several components ``c``."""
+    placed = large.join(found, "node", "left").select("block", "node", F.coalesce("component", "node").alias("c"))
+    several = placed.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("block")
+    return placed.join(several, "block", "left_semi")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
@@ -208,8 +236,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     texts have one set and are linked with each other. Texts of equal sets are reduced to one first. A pair is proposed where one
     of its DRAWS fingerprints agrees in one of two halves (a block) and differs in NEAR_BITS bits at most, and is
     decided by the whole sets; a pair at 0.8 isn't proposed with a probability of about 0.001. In blocks of
-    over PAIRWISE texts each text is first compared with the block's two leaders, once under one of its blocks, and then
-    with those within NEAR_BITS that these links leave in other components: the components are the same as from all pairs.
+    over NEAR_PAIRWISE texts each text is first compared with the block's two leaders, once under one of its blocks, and then
+    with those in other components that share one of its rarest shingles (``_sharing``): the components are the same as from all pairs.
     Rows of one doc_id should be one row; other columns are ignored; an empty table stays empty.
     """
     made = kept_table(_sketches(docs, width), "copies")
@@ -222,23 +250,22 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     shared = kept_table(keyed.join(counts, "block"), "copies-shared")
     sets = kept_table(_sets(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), width), "copies-sets")
 
-    small, large = shared.where(F.col("n") <= PAIRWISE).select("block", "node", "fp"), shared.where(F.col("n") > PAIRWISE)
+    small, large = shared.where(F.col("n") <= NEAR_PAIRWISE).select("block", "node", "fp"), shared.where(F.col("n") > NEAR_PAIRWISE)
     near = f"x.block = y.block and x.node < y.node and bit_count(x.fp ^ y.fp) <= {NEAR_BITS}"
     pairs = small.alias("x").join(small.alias("y"), F.expr(near)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    leaders = large.groupBy("block").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(2)])
-    own = large.groupBy("node").agg(F.max(F.struct("n", "block")).alias("m")).select("node", F.col("m.block").alias("block"))
-    stars = own.join(leaders, "block").select("node", F.explode(F.array("l0", "l1")).alias("leader")).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    links = kept_table(_similar(_ordered(pairs.unionByName(stars)), sets, least), "copies-links")
+    links = kept_table(_similar(_ordered(pairs), sets, least), "copies-links")
     found = components(links, "copies-cc")
     if large.limit(1).count():
-        apart = large.join(found, "node", "left").select("block", "node", "fp", F.coalesce("component", "node").alias("c"))
-        several = apart.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("block")
-        # Pigeonhole again: 32 bits are left in which NEAR_BITS may differ, so one of NEAR_BITS + 1 parts of them agrees.
-        width_of = 32 // (NEAR_BITS + 1)
-        other = F.when(F.shiftright("block", 32) % 2 == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-        parts = F.array(*[F.struct(F.lit(i).alias("part"), F.shiftright(other, width_of * i).bitwiseAND(F.lit((1 << width_of) - 1)).alias("bits")) for i in range(NEAR_BITS + 1)])
-        apart = kept_table(apart.join(several, "block", "left_semi").select("block", "node", "fp", "c", F.explode(parts).alias("p")), "copies-apart")
-        rest = apart.alias("x").join(apart.alias("y"), F.expr(f"x.p = y.p and x.c < y.c and x.block = y.block and bit_count(x.fp ^ y.fp) <= {NEAR_BITS}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        for turn in range(STARS):
+            apart = _apart(large, found)
+            leaders = apart.groupBy("block").agg(*[F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(2 * turn + i))).alias(f"l{i}") for i in range(2)])
+            own = apart.groupBy("node").agg(F.min_by(F.struct("block", "c"), F.xxhash64("block", F.lit(turn))).alias("m")).select("node", "m.*")
+            stars = own.join(leaders, "block").select("node", "c", F.explode(F.array("l0", "l1")).alias("leader")).where("c <> leader.c").select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
+            more = kept_table(_similar(_ordered(stars), sets, least), "copies-stars")
+            links = links.unionByName(more)
+            found = components(links, "copies-cc")
+        left = _apart(large, found).select("node", "c").distinct()
+        rest = _sharing(kept_table(left.join(sets, "node"), "copies-apart"), least)
         more = kept_table(_similar(_ordered(rest), sets, least), "copies-more")
         if more.limit(1).count():
             found = components(links.unionByName(more), "copies-cc")
