@@ -145,7 +145,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, tile: int | None = None,
 
 def _linked(sound: DataFrame, d: int, threshold: float, tile: int | None, cell: float) -> DataFrame:
     """``v, n_links, component_id`` of the vectors of length ``d`` that have a link or a copy."""
-    distinct = kept_table(sound.where(F.size("v") == d).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
+    distinct = kept_table(sound.where(F.size("v") == d).groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "vectors")  # written, so that numbers stay
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
@@ -163,13 +163,13 @@ def _linked(sound: DataFrame, d: int, threshold: float, tile: int | None, cell:
     n_axes, base = min(4, d), int(2 / cell) + 4
     places = base ** np.arange(n_axes)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cell_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u = unit(b.column("v").flatten().to_numpy().reshape(-1, d))
             c = np.floor(u @ turn[:, :n_axes] / cell).astype(np.int64) + base // 2
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array(c @ places), pa.array([x.tobytes() for x in u], pa.binary())], ["rep", "n", "cell", "u"])
 
-    rows = kept_table(distinct.mapInArrow(placed, "rep long, n long, cell long, u binary"), "placed")
+    rows = kept_table(distinct.mapInArrow(cell_of, "rep long, n long, cell long, u binary"), "placed")
     # At most base^4 cells, whatever the number of rows.
     counts = rows.groupBy("cell").agg(F.count("*").alias("n")).toArrow()
     cells, sizes = counts["cell"].to_numpy(), counts["n"].to_numpy()
@@ -233,7 +233,9 @@ def _linked(sound: DataFrame, d: int, threshold: float, tile: int | None, cell:
     counted = found.where("a = b").groupBy("a").agg(F.sum("n").alias("more")).withColumnsRenamed({"a": "rep"})
     named = components(found.where("a <> b").select("a", "b"), "vectors-cc").withColumnsRenamed({"node": "rep", "component": "root"})
     # The copies of a vector are found again by the vector itself; only vectors with a link or a copy go on.
-    return distinct.join(counted, "rep", "left").join(named, "rep", "left").where("n > 1 or more is not null").select("v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    placed = distinct.join(counted, "rep", "left").join(named, "rep", "left").where("n > 1 or more is not null").withColumn("root", F.coalesce("root", "rep"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return placed.join(least, "root").select("v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
 
 
 def _boxes(at: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:

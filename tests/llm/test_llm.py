@@ -81,13 +81,14 @@ def test_simhash(docs, texts, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_simhash_large_blocks(spark):
+@pytest.mark.parametrize("most", [1, 2])
+def test_simhash_large_blocks(spark, most):
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(6)]
     fps = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(150)})
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    got = {r["node"]: r["component"] for r in common.components(simhash.links(df)).collect()}
-    want = classes(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    got = {r["node"]: r["component"] for r in common.components(simhash.links(df, most)).collect()}
+    want = classes(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= most)
     sign = lambda x: x - (1 << 64) if x >> 63 else x
     groups, theirs = collections.defaultdict(set), collections.defaultdict(set)
     for i, x in enumerate(fps):
@@ -556,6 +557,13 @@ def test_cosine_links(spark):
     assert vectors.links(df.where("embedding is null")).count() == 1
 
 
+def test_cosine_of_exactly_the_threshold(spark):
+    v = [[1.0, 0.0], [24.0, 7.0], [23.999, 7.0], [48.0, 14.0], [48.0, 14.0], [0.0, 2.0]]
+    df = spark.createDataFrame([(min(i, 3), x) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in vectors.links(df, threshold=0.96).where("vec_id < 3 or n_links > 0").collect())
+    assert got == [(0, 3, 0), (1, 4, 0), (2, 3, 0), (3, 4, 0), (3, 4, 0)]  # 24 / 25 links; rows of one vec_id are vectors of their own
+
+
 def test_forest_takes_any_order():
     n = 300  # the highest root is hooked to one lower root a round, the highest first
     found = vectors._Forest(n).add(np.full(n - 1, n - 1), np.arange(n - 2, -1, -1))
@@ -809,6 +817,22 @@ def test_language_of_large_alphabets(spark):
     assert len({(x["lang_pred"], x["score"]) for x in equal}) == 1  # equal texts and scores: one answer
 
 
+# ---------------------------------------------------------------- all
+def test_repeated_rows_and_clashing_columns(docs, spark):
+    """Rows come out as often as they go in, with one result for equal rows, whatever other columns there are."""
+    args = (tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    some = docs.where("doc_id in (0, 1, 3, 12, 20, 50)")
+    twice = some.unionByName(some.where("doc_id > 2")).withColumns({c: F.lit(1) for c in ("fps", "node", "w", "at", "seed", "held_out", "score", "chunk", "spans")})
+    made = {
+        "op2": pii.find(twice), "op4": bpe.digests(twice, *args), "op6": suffixes.repeats(twice), "op8": simhash.near_duplicates(twice),
+        "op9": langid.identify(twice), "copies": simhash.near_copies(twice.distinct()), "op1": decontam.contaminated(twice, docs.select(F.col("doc_id").alias("item_id"), "text").limit(0)),
+    }
+    for name, df in made.items():
+        rows = [tuple(x) for x in df.collect()]
+        assert collections.Counter(x[0] for x in rows) == ({0: 1, 1: 1, 3: 1, 12: 1, 20: 1, 50: 1} if name == "copies" else {0: 1, 1: 1, 3: 2, 12: 2, 20: 2, 50: 2}), name
+        assert len(set(rows)) == 6, name
+
+
 # ---------------------------------------------------------------- pipeline
 def test_shared_folder_is_asked_for(monkeypatch):
     class Session:
