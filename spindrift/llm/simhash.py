@@ -218,9 +218,9 @@ def _sharing(rows: DataFrame, least: float) -> DataFrame:
     return first.alias("x").join(first.alias("y"), F.expr(f"x.t = y.t and x.c < y.c and least(x.n, y.n) >= {least} * greatest(x.n, y.n) and {enough} and {differ} <= {(1 - least) / (1 + least)} * (x.n + y.n) + 1e-9")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def _apart(large: DataFrame, found: DataFrame) -> DataFrame:
-    """``block, node, c`` of the blocks whose texts are in several components ``c``."""
-    placed = large.join(found, "node", "left").select("block", "node", F.coalesce("component", "node").alias("c"))
+def _apart(of_node: DataFrame, found: DataFrame) -> DataFrame:
+    """``block, node, c`` of the blocks (``node, blocks``) whose texts are in several components ``c``."""
+    placed = of_node.join(found, "node", "left").select(F.explode("blocks").alias("block"), "node", F.coalesce("component", "node").alias("c"))
     several = placed.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("block")
     return placed.join(several, "block", "left_semi")
 
@@ -255,16 +255,17 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     pairs = small.alias("x").join(small.alias("y"), F.expr(near)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     links = kept_table(_similar(_ordered(pairs), sets, least), "copies-links")
     found = components(links, "copies-cc")
-    if large.limit(1).count():
+    of_node = kept_table(large.groupBy("node").agg(F.collect_set("block").alias("blocks")), "copies-large")  # at most 2 DRAWS a text
+    if of_node.limit(1).count():
         for turn in range(STARS):
-            apart = _apart(large, found)
+            apart = _apart(of_node, found)
             leaders = apart.groupBy("block").agg(*[F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(2 * turn + i))).alias(f"l{i}") for i in range(2)])
             own = apart.groupBy("node").agg(F.min_by(F.struct("block", "c"), F.xxhash64("block", F.lit(turn))).alias("m")).select("node", "m.*")
             stars = own.join(leaders, "block").select("node", "c", F.explode(F.array("l0", "l1")).alias("leader")).where("c <> leader.c").select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
             more = kept_table(_similar(_ordered(stars), sets, least), "copies-stars")
             links = links.unionByName(more)
             found = components(links, "copies-cc")
-        left = _apart(large, found).select("node", "c").distinct()
+        left = _apart(of_node, found).select("node", "c").distinct()
         rest = _sharing(kept_table(left.join(sets, "node"), "copies-apart"), least)
         more = kept_table(_similar(_ordered(rest), sets, least), "copies-more")
         if more.limit(1).count():
