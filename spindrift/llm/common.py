@@ -7,10 +7,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 _shipped: set[str] = set()
@@ -140,3 +145,55 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
             break
         mark = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def _offset(made: DataFrame, out: str) -> DataFrame:
+    """``made`` (a table, with ``_m`` from monotonically_increasing_id) with dense ids ``out`` from 0; a number per partition goes to the driver."""
+    spark = made.sparkSession
+    part = F.shiftrightunsigned("_m", 33).cast("int")
+    counts = sorted((r["_p"], r["n"]) for r in made.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).collect())
+    starts, at = [], 0
+    for p, n in counts:
+        starts.append((p, at))
+        at += n
+    found = spark.createDataFrame(starts, "_p int, _s long")
+    return made.join(F.broadcast(found), part == F.col("_p")).withColumn(out, F.col("_s") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_s")
+
+
+def in_order(df: DataFrame, keys: list, tag: str, out: str = "g") -> DataFrame:
+    """``df`` with dense ids ``out`` from 0 in ascending order of ``keys``, null first: range partitions sorted by themselves and numbered by their counts."""
+    return _offset(kept_table(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()), tag), out)
+
+
+def dense_names(df: DataFrame, tag: str, out: str = "name") -> DataFrame:
+    """The distinct rows of ``df``, each with a dense id ``out`` from 0, in no order; equal rows are made one before they are sent."""
+    return _offset(kept_table(df.distinct().withColumn("_m", F.monotonically_increasing_id()), tag), out)
+
+
+def running_sums(df: DataFrame, keys: list[str], value: str, tag: str, out: str = "before") -> DataFrame:
+    """``df`` with ``out``: the sum of the long ``value`` over all rows before, in ascending order of ``keys``.
+
+    Sums run within sorted range partitions and start from what the partitions before add up to, so no task sees all rows.
+    """
+    spark = df.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = 0, TaskContext.get().partitionId()
+        for b in batches:
+            x = b.column(b.schema.names.index(value)).to_numpy(zero_copy_only=False)
+            sums = total + np.cumsum(x)
+            total = int(sums[-1]) if len(sums) else total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums - x), pa.array(np.full(len(x), part, np.int32))], [*b.schema.names, "_r", "_p"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_r", T.LongType()), T.StructField("_p", T.IntegerType())])
+    made = kept_table(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), tag)
+    starts, at = [], 0
+    for r in sorted(made.groupBy("_p").agg(F.sum(value).alias("n")).collect()):
+        starts.append((r["_p"], at))
+        at += r["n"]
+    return made.join(F.broadcast(spark.createDataFrame(starts, "_p int, _s long")), "_p").withColumn(out, F.col("_s") + F.col("_r")).drop("_p", "_s", "_r")
+
+
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has up to ``most`` rows; beyond, the join is left to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
