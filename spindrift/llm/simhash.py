@@ -7,6 +7,7 @@ several fingerprints of weighted shingles, and decides by the similarity of whol
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ SEED = 42
 DRAWS, VOTERS = 20, 8
 #: Near copies are compared whole if one fingerprint differs in this many bits at most, and agrees in one of its two halves.
 NEAR_BITS, NEAR_PAIRWISE = 3, 8
-#: Rounds in which each text of a large block is compared with two leaders of one of its blocks.
+#: Of so many of its large blocks each text is compared with two leaders.
 STARS = 2
 #: Pairs of distinct fingerprints are compared one by one in blocks up to this size; larger blocks are linked through hubs, which is as exact.
 PAIRWISE = 48
@@ -193,8 +194,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the distinct ``a, b`` whose sets have a Jaccard similarity of ``least`` or more."""
-    sizes = sets.select("node", F.size("s").alias("n"))
-    few = pairs.distinct().join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+    sizes = sets.select("node", F.size("s").alias("n"), "odd")
+    sized = pairs.distinct().join(sizes.withColumnsRenamed({"node": "a", "n": "n_a", "odd": "odd_a"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "n_b", "odd": "odd_b"}), "b")
+    differ = " + ".join(f"bit_count(odd_a[{i}] ^ odd_b[{i}])" for i in range(8))  # of so many shingles at least one has each
+    few = sized.where(f"least(n_a, n_b) >= {least} * greatest(n_a, n_b) and {differ} <= {(1 - least) / (1 + least)} * (n_a + n_b) + 1e-9").select("a", "b", "n_a", "n_b")
     both = few.join(sets.withColumnsRenamed({"node": "a", "s": "s_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "s_b"}), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.where(common >= least * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
@@ -236,7 +239,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     texts have one set and are linked with each other. Texts of equal sets are reduced to one first. A pair is proposed where one
     of its DRAWS fingerprints agrees in one of two halves (a block) and differs in NEAR_BITS bits at most, and is
     decided by the whole sets; a pair at 0.8 isn't proposed with a probability of about 0.001. In blocks of
-    over NEAR_PAIRWISE texts each text is first compared with the block's two leaders, once under one of its blocks, and then
+    over NEAR_PAIRWISE texts each text is first compared with two leaders of each of STARS of its blocks, and then
     with those in other components that share one of its rarest shingles (``_sharing``): the components are the same as from all pairs.
     Rows of one doc_id should be one row; other columns are ignored; an empty table stays empty.
     """
@@ -257,14 +260,12 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     found = components(links, "copies-cc")
     of_node = kept_table(large.groupBy("node").agg(F.collect_set("block").alias("blocks")), "copies-large")  # at most 2 DRAWS a text
     if of_node.limit(1).count():
-        for turn in range(STARS):
-            apart = _apart(of_node, found)
-            leaders = apart.groupBy("block").agg(*[F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(2 * turn + i))).alias(f"l{i}") for i in range(2)])
-            own = apart.groupBy("node").agg(F.min_by(F.struct("block", "c"), F.xxhash64("block", F.lit(turn))).alias("m")).select("node", "m.*")
-            stars = own.join(leaders, "block").select("node", "c", F.explode(F.array("l0", "l1")).alias("leader")).where("c <> leader.c").select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
-            more = kept_table(_similar(_ordered(stars), sets, least), "copies-stars")
-            links = links.unionByName(more)
-            found = components(links, "copies-cc")
+        leaders = large.groupBy("block").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(2 * STARS)])
+        own = kept_table(large.groupBy("node").agg(*[F.min_by("block", F.xxhash64("block", F.lit(turn))).alias(f"b{turn}") for turn in range(STARS)]), "copies-own")
+        turns = [own.select("node", F.col(f"b{turn}").alias("block")).join(leaders, "block").select("node", F.explode(F.array(f"l{2 * turn}", f"l{2 * turn + 1}")).alias("leader")) for turn in range(STARS)]
+        stars = reduce(DataFrame.unionByName, turns).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        links = links.unionByName(kept_table(_similar(_ordered(stars), sets, least), "copies-stars"))
+        found = components(links, "copies-cc")
         left = _apart(of_node, found).select("node", "c").distinct()
         rest = _sharing(kept_table(left.join(sets, "node"), "copies-apart"), least)
         more = kept_table(_similar(_ordered(rest), sets, least), "copies-more")
