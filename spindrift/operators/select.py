@@ -27,20 +27,31 @@ def row_ids(df: DataFrame, key: str, out: str = "row_id") -> DataFrame:
     return ordered.join(F.broadcast(spark.createDataFrame(starts, "_p int, _s long")), "_p").withColumn(out, F.col("_s") + F.col("_k")).drop("_p", "_k", "_s")
 
 
-def stratified(df: DataFrame, label: str, key: str, share: float) -> DataFrame:
-    """``df`` with ``split``: of each label, the ceil(share x n) rows of least md5 of the key are ``train``, the others ``test``.
+def _label_ranks(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``df`` with ``_rank`` (from 1) in order of md5 of the key within each label, and the label's ``_n`` rows.
 
-    Exact, and the same for any partitioning. A label may hold most rows, so ranks are not taken over it:
-    rows are ranked within the 4096 beginnings of their hash, and what comes before a beginning is counted.
-    Rows without a label form one of their own. The counts are broadcast while they are few.
+    A label may hold most rows, so ranks are not taken over it: rows are ranked within the 4096 beginnings of their hash, and what comes
+    before a beginning is counted. Rows without a label form one of their own. The counts are broadcast while they are few.
     """
     hashed = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
     counts = hashed.groupBy(label, "_b").agg(F.count("*").alias("_c"))
     within = Window.partitionBy(label)
     before = counts.select(F.col(label).alias("_l"), F.col("_b").alias("_lb"), (F.sum("_c").over(within.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(within).alias("_n"))
     joined = hashed.join(small(before, 2_000_000), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_lb")))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
-    return joined.withColumn("split", F.when(rank <= F.ceil(F.lit(share) * F.col("_n")), "train").otherwise("test")).select(*df.columns, "split")
+    return joined.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
+
+
+def stratified(df: DataFrame, label: str, key: str, share: float) -> DataFrame:
+    """``df`` with ``split``: of each label, the ceil(share x n) rows of least md5 of the key are ``train``, the others ``test``. Exact, and the same for any partitioning."""
+    return _label_ranks(df, label, key).withColumn("split", F.when(F.col("_rank") <= F.ceil(F.lit(share) * F.col("_n")), "train").otherwise("test")).select(*df.columns, "split")
+
+
+def folds(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """``df`` with ``fold`` from 0 to ``n`` - 1: each label's rows are dealt in turn by md5 of the key, so that its folds differ by one row at most.
+
+    A label of fewer rows than folds is in the first ones. One pass for all folds.
+    """
+    return _label_ranks(df, label, key).withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(n)).cast("int")).select(*df.columns, "fold")
 
 
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -34,6 +34,6 @@ def test_equals_sql(spark, duck, name):
     assert _rows(got.columns, got.collect()) == _rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"cv_grid", "gbt_ovr_classify"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
