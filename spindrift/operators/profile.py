@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-import operator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,52 +28,108 @@ def distribution(df: DataFrame, *cols: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(*cols, "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("pct"))
 
 
-#: So many distinct values are ranked on the driver; more are narrowed down first, by CUTS values in each pass.
-RANKED, CUTS = 20_000, 64
+#: Bits of a double that one pass tells apart.
+DIGIT = 16
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order; -0 is 0, NaN comes last."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _double(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else ~key & (1 << 64) - 1
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _digits(df: DataFrame, cols: list[str], open_: dict[str, list[int]], level: int) -> dict[tuple[str, int], list[tuple[int, int, int, int]]]:
+    """For each column and open prefix (of ``level`` digits) its next digits in order, each with its rows and its least and greatest key. One pass for all."""
+    shift = 64 - DIGIT * (level + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list[int]] = {}
+        for b in batches:
+            for i, c in enumerate(cols):
+                x = b.column(i).drop_null().to_numpy(zero_copy_only=False)
+                keys = np.sort(_ordered(x))
+                if level:
+                    keys = keys[np.isin(keys >> np.uint64(shift + DIGIT), np.array(open_[c], np.uint64))]
+                if not len(keys):
+                    continue
+                heads, first, n = np.unique(keys >> np.uint64(shift), return_index=True, return_counts=True)
+                for h, lo, hi, m in zip(heads.tolist(), keys[first].tolist(), keys[first + n - 1].tolist(), n.tolist(), strict=True):
+                    known = found.setdefault((i, h), [0, lo, hi])
+                    known[0] += m
+                    known[1], known[2] = min(known[1], lo), max(known[2], hi)
+        rows = [(i, h, *v) for (i, h), v in found.items()]
+        signed = lambda k: k - (1 << 63)
+        for at in range(0, len(rows), 10_000):
+            i, h, n, lo, hi = zip(*rows[at : at + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(map(signed, (x << shift for x in h)), pa.int64()), pa.array(n, pa.int64()), pa.array(map(signed, lo), pa.int64()), pa.array(map(signed, hi), pa.int64())], ["i", "h", "n", "lo", "hi"])
+
+    asked = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    counts = asked.mapInArrow(run, "i int, h long, n long, lo long, hi long").groupBy("i", "h").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
+    out: dict[tuple[str, int], list[tuple[int, int, int, int]]] = {}
+    for i, h, n, lo, hi in sorted(zip(*(c.to_pylist() for c in counts.columns), strict=True)):
+        head = h + (1 << 63) >> shift
+        out.setdefault((cols[i], head >> DIGIT), []).append((head, n, lo + (1 << 63), hi + (1 << 63)))
+    return out
 
 
-def at_ranks(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
-    """The values at ``ranks`` (from 0) of ``col`` in ascending order without nulls; exact, and no task holds them all.
+def at_places(df: DataFrame, places: dict[str, Callable[[int], list[int]]]) -> dict[str, tuple[int, dict[int, float]]]:
+    """For each column how many values it has (nulls are none) and the values at the ranks (from 0, ascending) that its function gives for that number.
 
-    Rows are counted between cut points, and at them, with map-side combining; what lies between two cuts around a rank is cut again.
+    Radix selection: a double is four digits of 16 bits in an order-keeping form. A pass counts the next digit of the values that share their digits so far with a rank asked for,
+    for all columns and ranks at once, and ends where all that are left are equal; four passes are the most. Only counts are sent, a row a digit met.
     """
-    v = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
-    found: dict[int, float] = {}
-    todo = [(None, None, 0, sorted(set(ranks)))]
-    while todo:
-        lo, hi, before, asked = todo.pop()
-        part = v if lo is None else v.where(F.col("v") > lo)
-        part = part if hi is None else part.where(F.col("v") < hi)
-        counts = part.groupBy("v").agg(F.count("*").alias("n")).limit(RANKED + 1).collect()
-        if len(counts) <= RANKED:
-            at = before
-            for r in sorted(counts, key=lambda r: (math.isnan(r["v"]), r["v"])):
-                found |= {k: r["v"] for k in asked if at <= k < at + r["n"]}
-                at += r["n"]
-            continue
-        cuts = sorted(set(part.approxQuantile("v", [i / CUTS for i in range(CUTS + 1)], 0.25 / CUTS)))
-        below = reduce(operator.add, [(F.col("v") > c).cast("int") for c in cuts])
-        at = before
-        rows = {r["b"]: r["n"] for r in part.groupBy((2 * below + F.col("v").isin(cuts).cast("int")).alias("b")).agg(F.count("*").alias("n")).collect()}
-        for b in sorted(rows):  # 2i: between cut i - 1 and cut i; 2i + 1: cut i itself
-            inside = [k for k in asked if at <= k < at + rows[b]]
-            i = b // 2
-            if b % 2:
-                found |= dict.fromkeys(inside, cuts[i])
-            elif inside:
-                todo.append((cuts[i - 1] if i else lo, cuts[i] if i < len(cuts) else hi, at, inside))
-            at += rows[b]
+    cols = list(places)
+    found: dict[str, tuple[int, dict[int, float]]] = {c: (0, {}) for c in cols}
+    todo: dict[tuple[str, int], list[tuple[int, int]]] = {}  # column and prefix: ranks within it, and as they were asked for
+    for level in range(64 // DIGIT):
+        groups = _digits(df, [c for c in cols if level == 0 or any(k[0] == c for k in todo)], {c: [p for d, p in todo if d == c] for c in cols}, level)
+        if level == 0:
+            for c in cols:
+                n = sum(g[1] for g in groups.get((c, 0), []))
+                found[c] = (n, {})
+                todo[c, 0] = [(r, r) for r in sorted(set(places[c](n))) if 0 <= r < n]
+        after: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for (c, prefix), ranks in todo.items():
+            at = 0
+            for head, n, lo, hi in groups.get((c, prefix), []):
+                inside = [(r - at, asked) for r, asked in ranks if at <= r < at + n]
+                at += n
+                if lo == hi:
+                    found[c][1].update((asked, _double(lo)) for _, asked in inside)
+                elif inside:
+                    after[c, head] = inside
+        todo = after
+        if not todo:
+            break
     return found
 
 
+def at_ranks(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """The values at ``ranks`` (from 0) of ``col`` in ascending order without nulls; exact."""
+    return at_places(df, {col: lambda n: ranks})[col][1]
+
+
+def quantiles_of(df: DataFrame, shares: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns with linear interpolation, in shared passes; null for a column without values."""
+    ends = lambda n, own: [k for p in own for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))]
+    out = {}
+    for c, (n, got) in at_places(df, {c: lambda n, own=own: ends(n, own) for c, own in shares.items()}).items():
+        out[c] = []
+        for p in shares[c]:
+            x = (n - 1) * p
+            lo, hi = math.floor(x), math.ceil(x)
+            out[c].append(None if not n else got[lo] if x == lo else got[lo] * (hi - x) + got[hi] * (x - lo))
+    return out
+
+
 def quantiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation; null without values."""
-    n = df.agg(F.count(col).alias("n")).first()["n"]
-    if not n:
-        return [None] * len(shares)
-    places = [(n - 1) * p for p in shares]
-    got = at_ranks(df, col, [k for x in places for k in (math.floor(x), math.ceil(x))])
-    return [got[math.floor(x)] if x == math.floor(x) else got[math.floor(x)] * (math.ceil(x) - x) + got[math.ceil(x)] * (x - math.floor(x)) for x in places]
+    return quantiles_of(df, {col: shares})[col]
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
@@ -91,7 +148,7 @@ def impute(df: DataFrame, strategy: str, cols: list[str] | None = None, fill: fl
     """
     cols = cols or numeric(df)
     if strategy == "median":
-        params = {c: quantiles(df, c, [0.5])[0] for c in cols}
+        params = {c: q[0] for c, q in quantiles_of(df, dict.fromkeys(cols, [0.5])).items()}
     elif strategy == "mean":
         params = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
     elif strategy == "mode":
@@ -126,7 +183,7 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """A row per column: n, mean, std (sample), min, quartiles, max, to 6 places."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")).select("s.*")
     plain = stacked.groupBy("name").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    found = {c: quantiles(df, c, [0.25, 0.5, 0.75]) for c in cols}
+    found = quantiles_of(df, dict.fromkeys(cols, [0.25, 0.5, 0.75]))
     rows = df.sparkSession.createDataFrame([(c, *q) for c, q in found.items()], "name string, q1 double, q2 double, q3 double")
     return plain.join(F.broadcast(rows), "name").select("name", "n", "mean", "std", "lo", *[F.round(q, 6).alias(q) for q in ("q1", "q2", "q3")], "hi")
 

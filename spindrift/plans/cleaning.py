@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import clean, dates, text
 from spindrift.operators import profile, rules
 from spindrift.plans.catalogue import big, load, query, visits
+from spindrift.sources import tables
 
 VITALS = ["age_at_visit", "pain", "temperature", "heartrate", "sbp", "dbp", "o2sat"]
 
@@ -203,3 +204,14 @@ def period_factor(spark, sf):
 @query("WITH {V} SELECT stay_id, CASE WHEN length(chiefcomplaint) > 20 THEN substr(chiefcomplaint, 1, 17) || '...' ELSE chiefcomplaint END AS short FROM visits")
 def redact_truncate(spark, sf):
     return visits(spark, sf).select("stay_id", text.redact(F.col("chiefcomplaint"), 20).alias("short"))
+
+
+_DIRTY = {"o_orderkey": "CASE WHEN o_orderkey % 7 = 0 THEN 'NA' ELSE CAST(o_orderkey AS STRING) END", "o_custkey": "CAST(o_custkey AS STRING)", "o_totalprice": "CAST(o_totalprice AS STRING)",
+          "o_flag": "CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END", "o_mixed": "CASE WHEN o_orderkey % 5 = 0 THEN '1' ELSE 'true' END", "o_none": "CASE WHEN o_orderkey % 2 = 0 THEN 'n/a' ELSE '' END", "o_status": "o_orderstatus"}
+
+
+@query("WITH d AS (SELECT " + ", ".join(f"{x.replace('STRING', 'VARCHAR')} AS {c}" for c, x in _DIRTY.items()) + " FROM orders) SELECT 'o_orderkey' AS name, CASE WHEN count(*) FILTER (o_orderkey = 'NA') > 0 THEN 'real' ELSE 'integer' END AS kind, count(*) FILTER (o_orderkey = 'NA') AS n_null, count(*) AS n FROM d"
+       + "".join(f" UNION ALL SELECT '{c}', '{k}', {n}, count(*) FROM d" for c, k, n in (("o_custkey", "integer", 0), ("o_totalprice", "real", 0), ("o_flag", "boolean", 0), ("o_mixed", "text", 0), ("o_none", "null", "count(*)"), ("o_status", "text", 0))))
+def infer_types(spark, sf):
+    """The types of orders as they would stand in a CSV file, some cells being null tokens."""
+    return tables.inferred(load(spark, sf, "orders").selectExpr(*[f"{x} AS {c}" for c, x in _DIRTY.items()]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import dates, parse, text
@@ -122,27 +123,20 @@ def json_extract(spark, sf):
     return load(spark, sf, "events").select("event_id", F.coalesce(F.from_json(parse.fenced(t), "k long")["k"], F.lit(-1).cast("long")).alias("k"))
 
 
-_REPORT = """Symptom groups
-
-1. Abdominal pain
-Description: belly complaints
-Severity range: [2, 5]
-Included clusters: [0, 24, 35]
-Typical symptoms: cramps, nausea
-
-2. Falls
-Description: after a fall
-Severity range: [1, 4]
-Included clusters: [7]
-Typical symptoms: bruise
-"""
-
-
-@query("""SELECT * FROM (VALUES (1::BIGINT, 'Abdominal pain', 'belly complaints', 2::BIGINT, 5::BIGINT, '0,24,35', 'cramps,nausea'), (2::BIGINT, 'Falls', 'after a fall', 1::BIGINT, 4::BIGINT, '7', 'bruise'))
-t(group_id, group_name, description, severity_lo, severity_hi, clusters, symptoms)""")
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS group_id, n_name AS group_name,
+'seen in ' || n_name AS description, CAST(n_nationkey % 3 + 1 AS BIGINT) AS severity_lo, CAST(n_nationkey % 3 + 3 AS BIGINT) AS severity_hi, n_nationkey || ',' || 10 * n_nationkey AS clusters, lower(n_name) || ',' || 'k' || n_nationkey AS symptoms FROM nation""")
 def report_parse(spark, sf):
-    g = reports.parse_groups(spark.createDataFrame([("r", _REPORT)], "path string, content string"))
-    return g.select(big("group_id").alias("group_id"), "group_name", "description", big(F.col("severity_range")[0]).alias("severity_lo"), big(F.col("severity_range")[1]).alias("severity_hi"), F.array_join(F.col("included_clusters").cast("array<string>"), ",").alias("clusters"), F.array_join("typical_symptoms", ",").alias("symptoms"))
+    """A report a region, with a numbered group for each of its nations, written as text and read back."""
+    n = load(spark, sf, "nation")
+    within = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    key = F.col("n_nationkey").cast("string")
+    low, high = (F.col("n_nationkey") % 3 + i for i in (1, 3))
+    lines = F.concat_ws("\n", F.concat(F.row_number().over(within).cast("string"), F.lit(". "), "n_name"), F.concat(F.lit("Description: seen in "), "n_name"), F.format_string("Severity range: [%d, %d]", low, high),
+                        F.concat(F.lit("Included clusters: ["), key, F.lit(", "), (F.col("n_nationkey") * 10).cast("string"), F.lit("]")), F.concat(F.lit("Typical symptoms: "), F.lower("n_name"), F.lit(", k"), key))
+    blocks = n.select(F.col("n_regionkey").cast("string").alias("path"), "n_nationkey", lines.alias("block"))
+    files = blocks.groupBy("path").agg(F.concat(F.lit("Groups\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "block"))), lambda s: s["block"]), "\n\n")).alias("content"))
+    g = reports.parse_groups(files)
+    return g.select("path", big("group_id").alias("group_id"), "group_name", "description", big(F.col("severity_range")[0]).alias("severity_lo"), big(F.col("severity_range")[1]).alias("severity_hi"), F.array_join(F.col("included_clusters").cast("array<string>"), ",").alias("clusters"), F.array_join("typical_symptoms", ",").alias("symptoms"))
 
 
 @query("""WITH {V}, __FALLBACK__ SELECT stay_id, '{"level":' || level || ',"confidence":' || CASE level WHEN 1 THEN '0.85' WHEN 2 THEN '0.75' WHEN 3 THEN '0.7' ELSE '0.8' END || ',"reasons":["' || CASE level __NAMES__ END || '"]}' AS response FROM scored""")

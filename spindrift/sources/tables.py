@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,12 +14,61 @@ from pyspark.sql import types as T
 CSV_NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, nulls: tuple[str, ...] = CSV_NULLS) -> DataFrame:
-    """A CSV file with a header by an explicit schema. All is read as text, ``nulls`` become null, and what can't be cast too."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, nulls: tuple[str, ...] = CSV_NULLS) -> DataFrame:
+    """A CSV file with a header. All is read as text, and ``nulls`` become null. With a ``schema`` what can't be cast becomes null too; without, types are inferred (``inferred``)."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    if schema is None:
+        return typed(reader.csv(path), nulls=nulls)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(text).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    kept = lambda c: F.when(~F.col(c).isin(*nulls), F.col(c))
-    return raw.select(*[(kept(f.name) if isinstance(f.dataType, T.StringType) else kept(f.name).try_cast(f.dataType)).alias(f.name) for f in schema.fields])
+    raw = reader.schema(text).csv(path)
+    return raw.select(*[(_kept(f.name, nulls) if isinstance(f.dataType, T.StringType) else _kept(f.name, nulls).try_cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
+def _kept(col: str, nulls: tuple[str, ...]) -> Column:
+    return F.when(~F.col(f"`{col}`").isin(*nulls), F.col(f"`{col}`"))
+
+
+# What a whole cell must look like. Digits may have a sign and spaces around them.
+_WHOLE, _REAL = r"^\s*[+-]?[0-9]+\s*$", r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_INFINITE, _TRUE, _FALSE = r"(?i)^\s*[+-]?inf(inity)?\s*$", ("True", "TRUE", "true"), ("False", "FALSE", "false")
+
+
+def inferred(raw: DataFrame, nulls: tuple[str, ...] = CSV_NULLS) -> DataFrame:
+    """A row per text column of ``raw``: ``name, kind, n_null, n``, in one pass; ``kind`` is null, integer, real, boolean or text.
+
+    The kinds are a lattice that rows are folded into, each task by itself: null is below all; integer below real, text above all. Whole numbers of 64 bits are integer, and real where
+    nulls are among them; whole numbers beyond are text, unless a fraction or an exponent makes the column real anyway. Booleans without nulls are boolean, with nulls text; anything else mixed is text.
+    """
+    every = lambda c: F.coalesce(F.bool_and(c), F.lit(True))
+    aggs = []
+    for i, c in enumerate(raw.columns):
+        x = _kept(c, nulls)
+        whole = x.rlike(_WHOLE)
+        aggs += [F.count(x).alias(f"n{i}"), every(whole).alias(f"w{i}"), every(~whole | F.trim(x).try_cast("long").isNotNull()).alias(f"l{i}"), every(x.rlike(_REAL) | x.rlike(_INFINITE)).alias(f"r{i}"), every(x.isin(*_TRUE, *_FALSE)).alias(f"b{i}")]
+    row = raw.agg(F.count("*").alias("n"), *aggs)
+
+    def kind(i: int) -> Column:
+        n, nulls_ = F.col(f"n{i}"), F.col("n") - F.col(f"n{i}")
+        return (F.when(n == 0, "null").when(F.col(f"b{i}"), F.when(nulls_ == 0, "boolean").otherwise("text")).when(F.col(f"w{i}"), F.when(~F.col(f"l{i}"), "text").when(nulls_ == 0, "integer").otherwise("real"))
+                .when(F.col(f"r{i}"), "real").otherwise("text"))
+
+    cells = [F.struct(F.lit(c).alias("name"), kind(i).alias("kind"), (F.col("n") - F.col(f"n{i}")).alias("n_null"), F.col("n").alias("n")) for i, c in enumerate(raw.columns)]
+    return row.select(F.explode(F.array(*cells)).alias("s")).select("s.*") if cells else row.select(F.lit("").alias("name"), F.lit("").alias("kind"), F.col("n").alias("n_null"), "n").limit(0)
+
+
+def typed(raw: DataFrame, nulls: tuple[str, ...] = CSV_NULLS) -> DataFrame:
+    """The text columns of ``raw`` in the types that are inferred: a null column becomes real, without values."""
+    kinds = {r["name"]: r["kind"] for r in inferred(raw, nulls).collect()}  # a row a column
+    made = []
+    for c in raw.columns:
+        x = _kept(c, nulls)
+        if kinds[c] in ("integer", "null", "real"):
+            sign = F.when(F.trim(x).startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+            x = F.trim(x).try_cast("long") if kinds[c] == "integer" else F.when(x.rlike(_INFINITE), sign).otherwise(F.trim(x).try_cast("double"))
+        elif kinds[c] == "boolean":
+            x = x.isin(*_TRUE)
+        made.append(x.alias(c))
+    return raw.select(*made)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -80,21 +130,43 @@ def latest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def resume_into(todo: DataFrame, path: str, key: str, work) -> int:  # noqa: ANN001
-    """Appends ``work(rows still to do)`` to the table at ``path``; returns how many rows there were to do."""
-    from spindrift.operators.relational import resume
+def resume_into(todo: DataFrame, path: str, key: str, work, waves: int = 16) -> int:  # noqa: ANN001
+    """Brings the table at ``path`` up to ``work(rows still to do)`` for all rows of ``todo``; returns how many rows there were to do.
 
+    Rows are dealt to ``waves`` by a hash of the key, and each wave is a partition of the table that is replaced as a whole when its work is done: what is finished stays if
+    the job dies in a later one. A wave's results are kept in the shared folder before its partition is replaced by them and what it held before, so two runs at once may
+    do work twice, but no key comes out twice. ``work`` keeps the column ``key``; rows whose key is null or repeated are worked on once, one row a key.
+    """
     spark = todo.sparkSession
+    wave = F.pmod(F.xxhash64(F.col(key)), F.lit(waves)).cast("int")
+    known = _present(spark, path)
+    rest = todo.where(F.col(key).isNotNull()).dropDuplicates([key])
+    if known is not None:
+        rest = rest.join(known.select(key).distinct(), key, "left_anti")
+    rest = saved(rest.withColumn("_wave", wave), "resume-todo")
+    sizes = {r["_wave"]: r["n"] for r in rest.groupBy("_wave").agg(F.count("*").alias("n")).collect()}  # a row a wave
+    for w in sorted(sizes):
+        made = saved(work(rest.where(F.col("_wave") == w).drop("_wave")).withColumn("wave", F.lit(w)), "resume-wave")
+        before = _present(spark, path)
+        if before is not None:
+            kept = before.where(F.col("wave") == w).join(made.select(key).distinct(), key, "left_anti")
+            made = saved(kept.select(*made.columns).unionByName(made), "resume-whole")
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("wave").parquet(path)
+    return sum(sizes.values())
+
+
+def _present(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        left = resume(todo, spark.read.parquet(path), key)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        left = todo
-    n = left.count()
-    if n:
-        work(left).write.mode("append").parquet(path)
-    return n
+        return None
+
+
+def resumed(spark: SparkSession, path: str) -> DataFrame:
+    """What ``resume_into`` has finished so far."""
+    return spark.read.parquet(path).drop("wave")
 
 
 def examples(spark: SparkSession) -> DataFrame:
