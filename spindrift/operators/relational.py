@@ -48,9 +48,16 @@ def overlap(a: DataFrame, b: DataFrame, key: str, head: int = 100) -> DataFrame:
     return n.select("n_a", "n_b", "n_common", F.round(F.col("n_common") / F.greatest(F.lit(1), F.least(F.lit(head), F.col("n_a"), F.col("n_b"))), 6).alias("rate"), valid.alias("valid"))
 
 
-def bind(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """The columns of both, row by row of one ``key``: never by position. Rows of ``left`` stay; a name that both have is taken from ``left``."""
-    return left.join(right.select(key, *[c for c in right.columns if c not in left.columns]).dropDuplicates([key]), key, "left").select(*left.columns, *[c for c in right.columns if c not in left.columns])
+def bind(left: DataFrame, right: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The columns of both, row by row of one ``key``: never by position. Rows of ``left`` stay; a name that both have is taken from ``left``.
+
+    Of several rows of a key in ``right`` the one of least ``order`` is taken, and of equal ones (or without ``order``) that of the least values, column by column.
+    """
+    more = [c for c in right.columns if c not in left.columns]
+    if not more:
+        return left
+    one = right.groupBy(key).agg(F.min_by(F.struct(*more), F.struct(*([order] if order else []), *more)).alias("_r"))
+    return left.join(one, key, "left").select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in more])
 
 
 def with_default(df: DataFrame, col: str, value) -> DataFrame:  # noqa: ANN001

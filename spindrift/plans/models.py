@@ -8,10 +8,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from spindrift.functions import text, vec
-from spindrift.operators import boosting, cases, clusters, explain, lowrank, ml, relational, retrieval, rules, select
+from spindrift.operators import assemble, boosting, cases, clusters, explain, lowrank, ml, profile, relational, retrieval, rules, select, severity
 from spindrift.plans.catalogue import big, load, query, visits
 from spindrift.plans.texts import _RISK
-from spindrift.sources.tables import saved
+from spindrift.sources.tables import saved, scratch
 
 FEATURES = ["age_at_visit", "pain", "temperature", "heartrate", "sbp", "dbp", "o2sat"]
 
@@ -396,3 +396,76 @@ def red_flags(spark, sf):
     """The flag by a score, and the model by load and preference."""
     preference = F.when(F.col("chiefcomplaint") == "Unknown", "fast")
     return visits(spark, sf).select("stay_id", rules.red_flag(F.col("chiefcomplaint"), F.col("pain") / 10).alias("flag"), rules.model_for(preference, F.col("heartrate") / 200).alias("model"))
+
+
+@query("SELECT n_nationkey, n_name, min(s_acctbal) AS s_acctbal, arg_min(s_name, (s_acctbal, s_name)) AS s_name FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
+def bind_by_order(spark, sf):
+    """Of several rows of a key the one that a stated order puts first."""
+    right = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_acctbal", "s_name")
+    return relational.bind(load(spark, sf, "nation").select("n_nationkey", "n_name"), right, "n_nationkey", "s_acctbal")
+
+
+_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) - count({c}) AS n_null, count(*) AS n FROM lineitem" for c in _NUMBERS))
+def numeric_columns(spark, sf):
+    """The columns of numbers, found by their types, and their nulls."""
+    x = load(spark, sf, "lineitem")
+    return profile.null_profile(x, profile.numeric(x))
+
+
+@query("WITH {V} " + " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) - count({c}) AS n_null, count(*) AS n FROM visits" for c in FEATURES))
+def feature_columns(spark, sf):
+    """What of a visit may be a feature (no ids, texts, times or label), and its nulls."""
+    x = visits(spark, sf).drop("stay_id", "subject_id")
+    return profile.null_profile(x, severity.features(x))
+
+
+@query(f"SELECT label, n, n AS n_same FROM ({_LEARNT})")
+def saved_model(spark, sf):
+    """A model that is written and read again tells the held-out rows as before."""
+    x = saved(_labelled(spark, sf), "labelled")
+    model = ml.forest(trees=5, depth=5).fit(x.where("stay_id % 5 <> 0"))
+    at = scratch(spark, "model")
+    ml.save(model, at)
+    first, again = (saved(ml.scored(m, x.where("stay_id % 5 = 0")).select("stay_id", big("label").alias("label"), "prediction", "confidence"), "told") for m in (model, ml.restore(at)))
+    both = first.join(again.select("stay_id", F.col("prediction").alias("p"), F.col("confidence").alias("c")), "stay_id", "left")
+    return both.groupBy("label").agg(F.count("*").alias("n"), F.count_if((F.col("p") == F.col("prediction")) & (F.abs(F.col("c") - F.col("confidence")) < 1e-12)).alias("n_same"))
+
+
+def _case_index(spark, sf):
+    """Documents with a label as cases, by the vectors of the same number."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("description"))
+    rows = d.join(load(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), "embedding", F.col("label").cast("double").alias("age_at_visit")), "case_id")
+    rows = saved(rows, "cases")
+    root = scratch(spark, "case-index")
+    return rows, cases.build_or_load(rows, "case_id", "embedding", "description", root, numbers=("age_at_visit",))
+
+
+@query("SELECT true AS initialized, count(*) AS total_cases, CAST(max(len(embedding)) + 2 AS BIGINT) AS feature_dimension FROM documents JOIN embeddings ON doc_id = vec_id")
+def case_status(spark, sf):
+    """An index that was built, saved and read again."""
+    return _case_index(spark, sf)[1].status()
+
+
+@query("""WITH c AS (SELECT vec_id, CAST(label AS DOUBLE) AS x, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM documents JOIN embeddings ON doc_id = vec_id), s AS (SELECT avg(x) AS m, stddev_pop(x) AS d FROM c),
+v AS (SELECT vec_id, list_concat(list_transform(e, lambda y: 0.7::DOUBLE * y), [0.3::DOUBLE * (x - m) / d, 0.0::DOUBLE]) AS v FROM c, s), u AS (SELECT vec_id, list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) AS u FROM v),
+r AS (SELECT q.vec_id AS query_id, i.vec_id AS id, round(list_dot_product(q.u, i.u), 6) AS score FROM u q, u i WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r)
+SELECT query_id, id, score, rank FROM k WHERE rank <= 5""")
+def case_retrieve(spark, sf):
+    """The nearest cases of every hundredth, by text and numbers weighted."""
+    rows, index = _case_index(spark, sf)
+    asked = index.vectors(rows.where("case_id % 100 = 0").withColumn("query_id", F.col("case_id")), "embedding")
+    return index.retrieve(asked, 5)
+
+
+@query("""WITH q AS (SELECT vec_id, 1 + label % 5 AS acuity FROM documents JOIN embeddings ON doc_id = vec_id WHERE vec_id % 100 = 0)
+SELECT unnest(['vector_only', 'hybrid_only', 'hybrid_rerank']) AS config, count(*) AS n, round(avg(CAST(acuity = 2 AS DOUBLE)), 6) AS accuracy, 0::BIGINT AS errors FROM q""")
+def judged_retrieval(spark, sf):
+    """Each way of retrieving, judged by a client that always says level 2."""
+    rows, index = _case_index(spark, sf)
+    level = (F.col("age_at_visit") % 5 + 1).cast("int")
+    asked = index.vectors(rows.where("case_id % 100 = 0").withColumn("query_id", F.col("case_id")), "embedding").select("query_id", "unit", "description", level.alias("acuity"))
+    labels = rows.select(F.col("case_id").alias("id"), level.alias("acuity"))
+    return assemble.judged_configs(index, labels, asked, lambda prompt: "ESI level: 2", lambda q, t: [float(len(x)) for x in t])[1]

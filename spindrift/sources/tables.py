@@ -88,20 +88,21 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs.rename(new, at)
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table below ``spark.checkpoint.dir``: computed once, for later steps to read as often as they like, and safe from lost executors.
-
-    Without that setting a temporary folder is used in one process, and an error raised elsewhere.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path below ``spark.checkpoint.dir``. Without that setting a temporary folder is used in one process, and an error raised elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        saved.local = root = getattr(saved, "local", None) or "file://" + tempfile.mkdtemp(prefix="spindrift-")
-    path = f"{root.rstrip('/')}/spindrift/{tag}-{uuid.uuid4().hex}"
+        scratch.local = root = getattr(scratch, "local", None) or "file://" + tempfile.mkdtemp(prefix="spindrift-")
+    return f"{root.rstrip('/')}/spindrift/{tag}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table below ``spark.checkpoint.dir``: computed once, for later steps to read as often as they like, and safe from lost executors."""
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import assemble, cases, evaluate, ml, profile, relational, retrieval, rules, select
+from spindrift.operators import assemble, cases, cells, evaluate, ml, profile, relational, retrieval, rules, select
 from spindrift.schema import RAW_VISIT, load
 from spindrift.sources import reports, requests, tables
 from spindrift.streaming import visits as stream
@@ -251,8 +251,7 @@ def test_approximate_knn_recall(spark):
     assert len(found & exact) >= 0.9 * len(exact)
 
 
-def test_exact_quantiles_are_narrowed_down(spark, monkeypatch):
-    monkeypatch.setattr(profile, "RANKED", 40)
+def test_exact_quantiles_are_narrowed_down(spark):
     r = random.Random(3)
     values = [r.choice([r.random(), 0.5, float(r.randint(0, 5))]) for _ in range(3000)] + [None] * 7
     df = spark.createDataFrame([(v,) for v in values], "a double").repartition(3)
@@ -272,7 +271,7 @@ def test_knn_is_safe_from_nulls_and_has_no_most(spark, monkeypatch):
     assert len(plain) == 240
     assert all(plain[4 * i + j][2] >= plain[4 * i + j + 1][2] for i in range(60) for j in range(3))
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 10)
-    monkeypatch.setattr(retrieval, "TILE", 50)
+    monkeypatch.setattr(cells, "BLOCK", 50)
     assert [tuple(x) for x in retrieval.knn(queries, index, 4, exclude_self=True).orderBy("query_id", "rank").collect()] == plain
     assert retrieval.knn(queries.limit(0), index, 4).count() == 0
 
