@@ -204,7 +204,7 @@ def _encoded(cases: DataFrame, embedding: str, description: str, encoder, at: st
     return cases.drop(embedding).join(every, F.col(description) == F.col("_text"), "left").withColumn(embedding, F.col("_e")).drop("_text", "_e")
 
 
-def quick_retrieve(queries: DataFrame, cases: DataFrame, key: str, embedding: str, description: str, root: str, k: int = 5, **options) -> DataFrame:  # noqa: ANN003
-    """The ``k`` nearest ``cases`` of each of ``queries`` (``query_id``, and the columns of a case) in one call."""
-    index = build_or_load(cases, key, embedding, description, root)
+def quick_retrieve(queries: DataFrame, cases: DataFrame, key: str, embedding: str, description: str, root: str, k: int = 5, build_options: dict | None = None, **options) -> DataFrame:  # noqa: ANN003
+    """The ``k`` nearest ``cases`` of each of ``queries`` (``query_id``, and the columns of a case) in one call; ``build_options`` go to ``build_or_load``."""
+    index = build_or_load(cases, key, embedding, description, root, **(build_options or {}))
     return index.retrieve(index.vectors(queries, embedding).withColumn("description", F.col(description)), k, **options)
