@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` per row of ``docs`` (``doc_id, text``).
 
     Null and empty texts and texts without letters are ``und`` with score 0. Equal texts
-    get equal results; repeated rows stay; other columns are never read.
+    get equal results, and of equal scores the first language by name is taken; repeated rows stay; other columns are never read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # grams of landmarks x languages: bounded by the alphabet
 
@@ -185,7 +185,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text is in a language of ``model`` with at least ``min_score``.
 
-    A model that knows no language keeps every row with a letter.
+    A model that knows no language keeps every row with a letter. Null and empty texts and those without letters go. Equal texts, and so
+    repeated rows, stay or go together; a score of just ``min_score`` stays.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -211,7 +212,7 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """Fits on the labelled rows outside the held-out fold and predicts every row.
 
-    Returns ``doc_id, held_out, lang_pred, score``.
+    Returns ``doc_id, held_out, lang_pred, score``. Nulls, ties and repeated rows as in ``predict``; an empty table stays empty.
     """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
