@@ -22,6 +22,7 @@ LEVELS = (
     (4, "Less Urgent", "Can wait 1-2 hours for treatment"),
     (5, "Non-urgent", "Can wait several hours or be referred"),
 )
+# What is noted for each time of day.
 PERIOD_NOTES = ("Limited staffing, patient may delay care", "Normal staffing levels", "Peak hours, higher volume", "Higher acuity, weekend effects")
 
 
