@@ -711,6 +711,34 @@ def test_wrapper_finds_articles_by_what_varies(spark, plain, article):
     assert all(wrapper.main_text(p[0]) != p[1] for p in pages)  # without the host's tree the notice stays
 
 
+@pytest.mark.parametrize("siblings", [10, 40, 300])
+def test_wrapper_finds_notices_that_move(spark, siblings):
+    common.ship(spark)
+    r = random.Random(siblings)
+    notices = ["<p>All rights kept by the owner of this place</p>", "<div><h3>Of this house</h3><p>It is open <b>daily</b></p></div>"]
+    rows, want = [], {}
+    for i in range(12):
+        parts = [(r.choice(("p", "h3", "div", "blockquote")), f"{prose(r, 8)} {i}.{k}") for k in range(siblings + r.randint(0, 5))]
+        html = [f"<{t}>{x}</{t}>" for t, x in parts]
+        for n in notices:
+            html.insert(r.randint(1, len(html)), n)
+        rows.append((i, f"http://m.example/{i}", f"<html><body><div>{''.join(html)}</div></body></html>"))
+        want[i] = "\n".join(x for _, x in parts)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {x["page_id"]: x["text"] for x in wrapper.extract(df).collect()} == want
+
+
+def test_long_rows_are_aligned_like_short_ones():
+    r = random.Random(3)
+    leaf = lambda label, *c: [label, 1, None, list(c), 0, None, []]
+    form = lambda: leaf(r.choice("ab"), *(leaf(r.choice("cd")) for _ in range(r.randint(0, 3))))
+    for _ in range(150):
+        x, y = [form() for _ in range(r.randint(1, 30))], [form() for _ in range(r.randint(1, 30))]
+        assert wrapper._best_of_many(x, y, {}) == wrapper._best(x, y, {})
+    x = [leaf("a", leaf("c")) if i % 2 else leaf("b") for i in range(3000)]
+    assert wrapper._match([*leaf("r")[:3], x, 0, None, []], [*leaf("r")[:3], [leaf("e"), *x[7:]], 0, None, []])[0] == 1 + sum(2 if i % 2 else 1 for i in range(7, 3000))
+
+
 def test_wrapper_on_odd_pages(spark):
     common.ship(spark)
     deep = "<div>" * 100_000 + "deep text" + "</div>" * 100_000 + "<p>after"
