@@ -2,14 +2,15 @@
 
 The network is trained here, in numpy, on labelled spans in invented sentences. It
 reads overlapping windows; each is decoded by Viterbi, and a character's label
-is that of the window in which it is farthest from an edge. A span found so is kept if
-what it holds could be of its kind (see ``plausible``), so that it adds spellings such as
-``name [at] host [dot] org`` or ``(555) 123-4567`` and no spans in clean text.
+is that of the window in which it is farthest from an edge. Where a span begins and ends is what these labels say, to whole
+words; no pattern of its spelling is asked, only checks of its numbers (see ``plausible``). So it adds spellings such as
+``name [at] host [dot] org`` or ``(555) 123-4567``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -167,28 +168,23 @@ class BiLstmCrf:
         hb, cb = self._run(x, "b", True)
         both = np.concatenate([hf, hb], axis=2)
         e = both @ self.p["o"] + self.p["ob"]
-        step = np.where(self.allowed, self.p["t"], np.float32(-1e4)).astype(np.float64)
-        alpha, beta = np.zeros((length, n, N_LABELS)), np.zeros((length, n, N_LABELS))
-
-        def lse(a: np.ndarray, axis: int) -> np.ndarray:
-            m = a.max(axis=axis, keepdims=True)
-            return np.log(np.exp(a - m).sum(axis=axis)) + m.squeeze(axis)
-
-        alpha[0] = np.where(self.first, e[0], -1e4)
-        for t in range(1, length):
-            alpha[t] = lse(alpha[t - 1][:, :, None] + step, 1) + e[t]
-        for t in range(length - 2, -1, -1):
-            beta[t] = lse(step[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
-        rows = np.arange(n)
-        gold = sum(e[t][rows, y[:, t]] for t in range(length)) + sum(step[y[:, t], y[:, t + 1]] for t in range(length - 1))
-        de = np.exp(alpha + beta - z[None, :, None])
+        # Forward and backward sums, each position scaled to a sum of one; ``scale`` holds by what.
+        top = e.max(axis=2, keepdims=True).astype(np.float64)
+        weight, step = np.exp(e - top), np.where(self.allowed, np.exp(self.p["t"].astype(np.float64)), 0.0)
+        alpha, beta, scale = np.zeros((length, n, N_LABELS)), np.ones((length, n, N_LABELS)), np.zeros((length, n, 1))
         for t in range(length):
-            de[t][rows, y[:, t]] -= 1
-        dt = np.zeros_like(step)
-        for t in range(length - 1):
-            dt += np.exp(alpha[t][:, :, None] + step + (e[t + 1] + beta[t + 1])[:, None, :] - z[:, None, None]).sum(axis=0)
-            np.add.at(dt, (y[:, t], y[:, t + 1]), -1)
+            a = (alpha[t - 1] @ step if t else np.broadcast_to(self.first, (n, N_LABELS))) * weight[t]
+            scale[t] = a.sum(axis=1, keepdims=True)
+            alpha[t] = a / scale[t]
+        for t in range(length - 2, -1, -1):
+            beta[t] = (weight[t + 1] * beta[t + 1] / scale[t + 1]) @ step.T
+        z = (np.log(scale) + top).sum(axis=(0, 2))
+        at, rows = np.arange(length)[:, None], np.arange(n)[None]
+        gold = e[at, rows, y.T].sum(axis=0, dtype=np.float64) + self.p["t"][y[:, :-1], y[:, 1:]].sum(axis=1, dtype=np.float64)
+        de = alpha * beta
+        de[at, rows, y.T] -= 1
+        dt = step * (alpha[:-1].reshape(-1, N_LABELS).T @ (weight[1:] * beta[1:] / scale[1:]).reshape(-1, N_LABELS))
+        np.subtract.at(dt, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
         de = (de / n).astype(np.float32)
         g["t"] = np.where(self.allowed, dt / n, 0).astype(np.float32)
         g["o"] = both.reshape(-1, 2 * h).T @ de.reshape(-1, N_LABELS)
@@ -223,29 +219,32 @@ address ip router ping card visa pay with account billed paid order from my new
 _SYLLABLES = "the an re ing on ter al is vo sch que ado mi un ba jo ma li kes tor nel wi ra den bo".split()
 
 
-def _sentence(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """An invented passage with its labelled spans ``start, end, kind``."""
     common = _COMMON.split()
-    pick = lambda *x: x[r.integers(len(x))]
-    num = lambda n: "".join(str(k) for k in r.integers(10, size=n))
+    pick = lambda *x: r.choice(x)
+    num = lambda n: "".join(r.choices("0123456789", k=n))
 
     def label() -> str:
         """A word of any make: in names and hosts as in the text around them, so that only the spelling tells them apart."""
         u = r.random()
         if u < 0.3:
-            return "".join(pick(*_SYLLABLES) for _ in range(r.integers(1, 4)))
+            return "".join(pick(*_SYLLABLES) for _ in range(r.randrange(1, 4)))
         if u < 0.55:
             return pick(*common).lower()
         if u < 0.9:
-            return "".join(pick(*("bcdfghjklmnpqrstvwxz" if (i + int(u * 100)) % 2 else "aeiouy")) + (pick(*"lnrst") if r.random() < 0.25 else "") for i in range(r.integers(2, 8)))
-        return "".join(pick(*"abcdefghijklmnopqrstuvwxyz") for _ in range(r.integers(1, 6)))
+            return "".join(pick(*("bcdfghjklmnpqrstvwxz" if (i + int(u * 100)) % 2 else "aeiouy")) + (pick(*"lnrst") if r.random() < 0.25 else "") for i in range(r.randrange(2, 8)))
+        return "".join(pick(*"abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(1, 6)))
 
     def word() -> str:
         w = pick(*common) if r.random() < 0.6 else label()
+        if r.random() < 0.12:
+            k = r.randrange(len(w) + 1)
+            w = w[:k] + pick(*"éäñçß") + w[k:]
         return w.title() if r.random() < 0.15 else w.upper() if r.random() < 0.03 else w + pick(",", ".", "") * int(r.random() < 0.2)
 
     def email() -> str:
-        at, dot = pick(("@", "."), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" at ", " dot "), ("{at}", "{dot}"), ("<at>", "<dot>"), (" @ ", "."), ("(@)", "."), ("[at]", "."), ("(at)", "."), (" at ", "."), ("@", " dot "), ("@", "[dot]"))
+        at, dot = pick(("@", "."), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" at ", " dot "), ("{at}", "{dot}"), ("<at>", "<dot>"), ("-at-", "-dot-"), (" *at* ", " *dot* "), ("_at_", "_dot_"), (" @ ", "."), ("(@)", "."), ("[at]", "."), ("(at)", "."), (" at ", "."), ("@", " dot "), ("@", "[dot]"))
         if at[0] in "[({<":
             around = pick("", " ", " ")
             at = around + (at if r.random() < 0.8 else at[0] + " " + at[1:-1] + " " + at[-1]) + around
@@ -261,10 +260,10 @@ def _sentence(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
         return made.title() if r.random() < 0.05 else made
 
     def ip() -> str:
-        return pick(".", "[.]", " . ", "(.)", "[.]", " [.] ", ". ", "(.) ").join(str(k) for k in r.integers(256, size=4))
+        return pick(".", "[.]", " . ", "(.)", "[.]", " [.] ", ". ", "(.) ").join(str(k) for k in r.choices(range(256), k=4))
 
     def card() -> str:
-        digits = num(int(r.integers(13, 16)))
+        digits = num(r.randrange(13, 16))
         digits += next(c for c in "0123456789" if luhn(digits + c))
         cut = pick("", " ", "-", ".", "/", "  ", " - ", "_")
         return cut.join(digits[i : i + 4] for i in range(0, len(digits), 4)) if r.random() < 0.85 else digits
@@ -276,10 +275,13 @@ def _sentence(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
 
     def other() -> str:
         return pick(
-            f"version {num(1)}.{num(1)}", f"token = \"{''.join('0123456789abcdef'[k] for k in r.integers(16, size=24))}\"", num(int(r.integers(1, 9))), f"{num(2)}.{num(2)}.{num(4)}", f"20{num(2)}-0{num(1)}-1{num(1)}",
-            f"{label()}@{label()}", f"no. {num(3)}/{num(2)}", f"{num(1)},{num(3)}.{num(2)}", f"1{num(1)}:{num(2)}:{num(2)}", f"{word()} at {word()}", f"{pick(*common)} at {label()}.{pick('com', 'org', 'net')}", f"{word()} at {word()}. {word().title()}",
-            word() + "###", word() + "&&&", f"the dot {word()}", f"{word()} dot", f"{num(4)} {num(4)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(4)}-{num(2)}-{num(2)} {num(2)}:{num(2)}", f"{num(3)} {num(3)}", " ".join(num(3) for _ in range(r.integers(3, 6))), f"{num(2)}, {num(2)}, {num(2)}, {num(2)}", f"{num(12)}", f"${num(3)},{num(3)},{num(3)}.{num(2)}", f"isbn {num(3)}-{num(1)}-{num(3)}",
-        )
+            lambda: f"version {num(1)}.{num(1)}", lambda: f"token = \"{''.join(r.choices('0123456789abcdef', k=24))}\"", lambda: num(r.randrange(1, 9)), lambda: f"{num(2)}.{num(2)}.{num(4)}",
+            lambda: f"20{num(2)}-0{num(1)}-1{num(1)}", lambda: f"{label()}@{label()}", lambda: f"no. {num(3)}/{num(2)}", lambda: f"{num(1)},{num(3)}.{num(2)}", lambda: f"1{num(1)}:{num(2)}:{num(2)}",
+            lambda: f"{word()} at {word()}", lambda: f"{pick(*common)} at {label()}.{pick('com', 'org', 'net')}", lambda: f"{word()} at {word()}. {word().title()}", lambda: word() + pick("###", "***", "$$$", "**"),
+            lambda: word() + "&&&", lambda: f"the dot {word()}", lambda: f"{word()} dot", lambda: f"{num(4)} {num(4)}", lambda: f"{num(1)}.{num(1)}.{num(1)}", lambda: f"{num(4)}-{num(2)}-{num(2)} {num(2)}:{num(2)}",
+            lambda: f"{num(3)} {num(3)}", lambda: " ".join(num(3) for _ in range(r.randrange(3, 6))), lambda: f"{num(2)}, {num(2)}, {num(2)}, {num(2)}", lambda: f"{num(12)}",
+            lambda: f"${num(3)},{num(3)},{num(3)}.{num(2)}", lambda: f"isbn {num(3)}-{num(1)}-{num(3)}",
+        )()
 
     text, spans = "", []
     while len(text) < 92:
@@ -287,19 +289,19 @@ def _sentence(r: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
         u = r.random()
         if u < 0.22:
             if r.random() < 0.6:
-                text += " ".join(pick(*_CUES) for _ in range(r.integers(1, 4))) + pick(" ", " ", ": ", " = ", " (", ":\n", " - ")
-            kind = int(r.choice(4, p=[0.5, 0.14, 0.14, 0.22]))
+                text += " ".join(pick(*_CUES) for _ in range(r.randrange(1, 4))) + pick(" ", " ", ": ", " = ", " (", ":\n", " - ")
+            kind = r.choices(range(4), [0.5, 0.14, 0.14, 0.22])[0]
             made = (email, ip, card, phone)[kind]()
             spans.append((len(text), len(text) + len(made), kind))
             text += made + pick(" ", " ", ", ", ". ", "\n", ") ", "; ", "! ", "? ")
         elif u < 0.34:
             text += other() + " "
-    shift = int(r.integers(0, 12))  # windows begin anywhere
+    shift = r.randrange(12)  # windows begin anywhere
     return text[shift:], [(a - shift, b - shift, k) for a, b, k in spans if a >= shift]
 
 
 def labelled(n: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(seed)
+    r = random.Random(seed)
     x, y = np.full((n, length), 53 + _MARKS.index(" "), np.uint8), np.zeros((n, length), np.int64)
     for i in range(n):
         text, spans = _sentence(r)
@@ -315,7 +317,7 @@ def labelled(n: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 _trained: dict[tuple, BiLstmCrf] = {}
 
 
-def trained(steps: int = 700, batch: int = 128, length: int = 88, seed: int = 11) -> BiLstmCrf:
+def trained(steps: int = 450, batch: int = 128, length: int = 88, seed: int = 11) -> BiLstmCrf:
     """The network, trained by Adam on invented sentences; the same for the same arguments. Kept while the process lives."""
     key = (steps, batch, length, seed)
     if key not in _trained:
@@ -339,38 +341,38 @@ def trained(steps: int = 700, batch: int = 128, length: int = 88, seed: int = 11
 
 # ---------------------------------------------------------------- whole texts
 WINDOW, STRIDE = 96, 48
-_OPEN, _SHUT = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
-_AT = rf"(?:\s?@\s?|{_OPEN}(?:at|@){_SHUT}|\sat\s)"
-_DOT = rf"(?:\.|{_OPEN}(?:dot|\.){_SHUT}|\sdot\s)"
-_HOST_OF = rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{0,4}}{_DOT}[A-Za-z]{{2,}}"
-_AT_DOT = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}{_AT}{_HOST_OF}", re.I)
-_FOUR = re.compile(r"[0-9]{1,3}(?:[^0-9A-Za-z]{1,5}[0-9]{1,3}){3}")
-_DIGITS = re.compile(r"\+?\(?[0-9](?:[^0-9A-Za-z]{0,3}[0-9])+")
-#: A window that nothing plausible can touch isn't run: every plausible span holds a match of this, an @, or "at" before a host.
-_TRIGGER = re.compile(rf"[0-9](?:[^0-9A-Za-z]{{0,5}}[0-9]){{3,}}|@|(?:{_OPEN}at{_SHUT}|\sat\s){_HOST_OF}", re.I)
+_AT = re.compile(r"@|(?<![A-Za-z0-9])at(?![A-Za-z0-9])", re.I)
+#: A window without any of this isn't run: four digits near each other, an @, or the word "at" with a dot between characters, a bracket before a dot or the word "dot" soon after.
+_TRIGGER = re.compile(
+    r"[0-9](?:[^0-9A-Za-z]{0,5}[0-9]){3,}|@|(?<![A-Za-z0-9])at(?![A-Za-z0-9])(?=.{1,60}?(?:(?<![A-Za-z0-9])dot(?![A-Za-z0-9])|[A-Za-z0-9]\.[A-Za-z0-9]|[\[({<]\s?\.))", re.I | re.S
+)
 
 
 def plausible(kind: int, s: str) -> bool:
-    """Whether the characters of a span that the network found can be of its kind."""
+    """Whether a span that the network found can be of its kind, in any spelling: ranges, counts of digits and checksums; an address holds an @ or the word "at"."""
     if kind == 0:
-        return bool(_AT_DOT.fullmatch(s))
+        return bool(_AT.search(s))
     if kind == 1:
-        return bool(_FOUR.fullmatch(s)) and all(int(x) <= 255 for x in re.findall("[0-9]+", s))
-    if not _DIGITS.fullmatch(s) or re.search(r"[^\W\d_]", s):
-        return False
+        parts = re.findall("[0-9]+", s)
+        return len(parts) == 4 and all(map(_small, parts))
     digits = _NO_DIGIT.sub("", s)
-    if kind == 2:
-        return 14 <= len(digits) <= 19 and luhn(digits)
-    return 10 <= len(digits) <= 15 and len(digits) < len(s)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 10 <= len(digits) <= 15
 
 
-def _edges(kind: int, text: str, a: int, b: int, around: int = 64) -> tuple[int, int] | None:
-    """Where what the network found begins and ends: the spelling of its kind that shares half of it at least."""
-    lo = max(0, a - around)
-    for m in (_AT_DOT, _FOUR, _DIGITS, _DIGITS)[kind].finditer(text, lo, b + around):
-        if 2 * (min(b, m.end()) - max(a, m.start())) >= b - a:
-            return m.span()
-    return None
+def _whole_words(text: str, a: int, b: int, most: int = 64) -> tuple[int, int] | None:
+    """A labelled span without spaces at its ends, and with all of the words that it begins and ends in; None if one goes on for over ``most`` characters."""
+    while a < b and text[a].isspace():
+        a += 1
+    while a < b and text[b - 1].isspace():
+        b -= 1
+    if a == b:
+        return None
+    lo, hi = a, b
+    while lo > 0 and a - lo <= most and text[lo].isalnum() and text[lo - 1].isalnum():
+        lo -= 1
+    while hi < len(text) and hi - b <= most and text[hi - 1].isalnum() and text[hi].isalnum():
+        hi += 1
+    return None if a - lo > most or hi - b > most else (lo, hi)
 
 
 def _windows(text: str) -> list[int]:
@@ -415,17 +417,16 @@ def added_spans(net: BiLstmCrf, texts: list[str], bases: list[list[tuple[int, in
         kinds = (own[on] - 1) // 2
         cut = np.nonzero((np.diff(on) > 1) | (np.diff(kinds) != 0) | (own[on][1:] % 2 == 1))[0] + 1
         for run, kind in zip(np.split(on, cut), kinds[np.concatenate(([0], cut))].tolist(), strict=True):
-            at = _edges(kind, text, int(run[0]), int(run[-1]) + 1)
+            at = _whole_words(text, int(run[0]), int(run[-1]) + 1)
             if at is None:
                 continue
             a, b = at
-            edge = (a > 0 and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum())
-            if not edge and plausible(kind, text[a:b]) and all(b <= s or a >= e for s, _, e in taken + found[i]):
+            if plausible(kind, text[a:b]) and all(b <= s or a >= e for s, _, e in taken + found[i]):
                 found[i].append((a, kind, b))
     return found
 
 
-def find(docs: DataFrame, steps: int = 700) -> DataFrame:
+def find(docs: DataFrame, steps: int = 450) -> DataFrame:
     """Personal data in each whole text of ``docs`` (``doc_id, text``).
 
     Returns ``doc_id, n_email, n_ip, n_card, n_phone`` (exact patterns), ``base_sha256`` of
