@@ -7,7 +7,9 @@ many as are tolerated, one of them still selects equal words only (``lossless``
 windows of the overlap's length that hold the seed are compared word by word.
 
 The seeds of a usual benchmark are broadcast, each with the words around it, so that documents are hashed, joined and
-verified in the stage that scans them and no text is shuffled.
+verified in the stage that scans them and no text is shuffled. The seeds of larger ones stay where they are: a blocked Bloom
+filter of them is broadcast, only document seeds that it lets pass are sent to them, and of the texts only those of the
+documents that were hit (by a filter of their ids), so that what is shuffled grows with the hits and not with the words.
 """
 
 from __future__ import annotations
@@ -19,9 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import kept_table
+
 #: Benchmarks of up to so many seeds (about 250 bytes each with their surroundings) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SEEDS = 200_000
 
+#: A filter has a block of 1024 bits (some 200 bytes when broadcast) for every 64 keys, and so many blocks at most; with more keys it lets more pass, and loses none.
+MOST_BLOCKS = 400_000
+
 #: Spaced masks, as the places they select, heaviest first; two of weight 6 bear two others among 13 words, the last one among 7.
 MASKS = (((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8)), ((0, 1, 3, 6, 7),), ((0, 1, 3, 4),))
 
@@ -72,6 +79,19 @@ def _benchmark_seeds(items: DataFrame, run: int, replaced: int, lengths: list[in
     return reduce(DataFrame.unionByName, parts).distinct(), every
 
 
+def passing(rows: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
+    """``rows`` whose ``seed`` (long) may be one of ``keys``' (distinct, not null): all that are, and some 2 in 1000 of others while blocks suffice.
+
+    A key sets three bits of the one block that it belongs to; blocks are broadcast, and rows are tested where they are. Null seeds don't pass.
+    """
+    block = F.expr(f"pmod(seed, {min(MOST_BLOCKS, n_keys // 64 + 1)}L)")
+    places = [f"cast(shiftrightunsigned(xxhash64(seed, 'block'), {10 * k}) & 1023L as int)" for k in range(3)]
+    bits = keys.select(block.alias("_block"), F.explode(F.array(*map(F.expr, places))).alias("p"))
+    blocks = bits.groupBy("_block").agg(F.array(*[F.bit_or(F.expr(f"if(shiftright(p, 6) = {i}, shiftleft(1L, p & 63), 0L)")) for i in range(16)]).alias("_bits"))
+    held = " and ".join(f"(shiftrightunsigned(_bits[shiftright({p}, 6)], {p} & 63) & 1L) = 1L" for p in places)
+    return rows.withColumn("_block", block).join(F.broadcast(blocks), "_block").where(held).select(*rows.columns)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, run: int = 13, replaced: int = 2, least_words: int = 1) -> DataFrame:
     """``doc_id, item_id, n_same`` for each document and benchmark item that overlap.
 
@@ -93,8 +113,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, run: int = 13, replaced: int
     if n_seeds <= BROADCAST_SEEDS:
         hits = hashed.select("doc_id", "w", F.posexplode_outer("seeds").alias("at", "seed")).join(F.broadcast(seeds), "seed")
     else:
-        found = hashed.select("doc_id", F.posexplode_outer("seeds").alias("at", "seed")).join(seeds, "seed").drop("seed")
-        hits = found.join(texts, "doc_id")
+        every = hashed.select("doc_id", F.posexplode_outer("seeds").alias("at", "seed"))
+        found = kept_table(passing(every, seeds.select("seed").distinct(), n_seeds).join(seeds, "seed").drop("seed"), "seed-hits")
+        ids = found.select(F.xxhash64("doc_id").alias("seed")).distinct()
+        hits = found.join(passing(texts.withColumn("seed", F.xxhash64("doc_id")), ids, ids.count()).drop("seed"), "doc_id")
     met = hits.select("doc_id", "item_id", "length", "around", "w", F.expr(f"at - ({begin}) - before").alias("shift"))
     # Behind a generator the comparison stays out of the join's condition, which would keep the join from being compiled.
     same = met.select("doc_id", "item_id", "length", F.explode_outer(F.array(F.expr("transform(around, (x, k) -> if(shift + k >= 0 and get(w, shift + k) = x, 1, 0))"))).alias("same"))

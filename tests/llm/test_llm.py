@@ -290,6 +290,16 @@ def test_decontamination_of_random_overlaps(spark):
     assert {x["doc_id"]: x["n_items"] for x in rows if x["contaminated"]} == dict(collections.Counter(d for d, _ in want))
 
 
+def test_filter_of_seeds_loses_none(spark, monkeypatch):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("seed"))
+    rows = spark.range(100_000).select("id", F.when(F.col("id") < 99_990, F.xxhash64("id")).alias("seed"))
+    got = {r["id"] for r in decontam.passing(rows, keys, 20_000).collect()}
+    assert set(range(20_000)) <= got and max(got) < 99_990 and len(got) < 20_000 + 0.01 * 80_000
+    assert decontam.passing(rows, keys.limit(0), 0).count() == 0
+    monkeypatch.setattr(decontam, "MOST_BLOCKS", 1)  # all bits set: all pass
+    assert decontam.passing(rows, keys, 20_000).count() == 99_990
+
+
 # ---------------------------------------------------------------- 2
 def plain_spans(t):
     pats = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
