@@ -231,3 +231,29 @@ def test_bm25_by_blocks(spark):
     assert np.allclose([s for *_, s in got], [s for *_, s in want], atol=2e-5)
     assert counted[0] < counted[1]
     assert retrieval.bm25(asked.limit(0), tf, lengths, 10).count() == 0
+
+
+def test_bm25_makes_no_table_of_pairs(spark, monkeypatch):
+    r = random.Random(9)
+    docs = {i: r.choices([f"w{j}" for j in range(30)], k=r.randint(5, 25)) for i in range(300)}
+    queries = {q: docs[q] for q in range(60)}
+    df = spark.createDataFrame(list(docs.items()), "doc long, tokens array<string>").repartition(4)
+    tf, lengths = retrieval.postings(df, "doc", F.col("tokens"))
+    asked = spark.createDataFrame([(q, t) for q, terms in queries.items() for t in terms], "query_id long, term string")
+    sizes, kept = [], retrieval.saved
+    monkeypatch.setattr(retrieval, "saved", lambda x, tag: (sizes.append((y := kept(x, tag)).count()), y)[1])
+    monkeypatch.setattr(retrieval, "MOST_ASKED", 25)  # in waves
+    monkeypatch.setattr(retrieval, "PAIRS", 50)
+    monkeypatch.setattr(retrieval, "DENSE", 5)
+    got = [(x["query_id"], x["id"], x["score"]) for x in retrieval.bm25(asked, tf, lengths, 5).orderBy("query_id", "rank").collect()]
+    want = plain_bm25(docs, queries, 5)
+    assert np.allclose([s for *_, s in got], [s for *_, s in want], atol=2e-5)
+    assert [q for q, *_ in got] == [q for q, *_ in want]
+    assert max(sizes) <= max(len(docs), sum(len(set(x)) for x in queries.values()))
+
+
+def test_bm25_puts_zero_above_negative(spark):
+    docs = [(i, ["a", "b"] if i < 10 else ["c"]) for i in range(13)]
+    tf, lengths = retrieval.postings(spark.createDataFrame(docs, "id long, t array<string>"), "id", F.col("t"))
+    got = retrieval.bm25(spark.createDataFrame([(1, "a")], "query_id long, term string"), tf, lengths, 2).orderBy("rank").collect()
+    assert [(x["id"], x["score"]) for x in got] == [(10, 0.0), (11, 0.0)]
