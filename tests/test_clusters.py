@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,27 @@ def test_grid_search_with_even_folds(spark):
     _, report = ml.grid_search(df, grid={"numTrees": [3], "maxDepth": [1, 3]}, key="id")
     got = report.collect()
     assert len(got) == 2 and {r["rank"] for r in got} <= {1, 2} and all(0 < r["mean_f1"] <= 1 for r in got)
+
+
+def test_kmeans_is_tighter_than_labels_without_clusters(spark, tmp_path):
+    from spindrift.plans import QUERIES
+
+    x = np.random.default_rng(0).normal(size=(20_000, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), "label": pa.array(np.arange(len(x), dtype=np.int32) % 10)})).write.parquet(str(tmp_path / "embeddings.parquet"))
+    row = QUERIES["kmeans_assign"](spark, str(tmp_path)).first()
+    assert (row["n"], row["nearest"], row["tighter"]) == (20_000, True, True)
+
+
+def test_a_pass_sends_a_row_a_task(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 3))
+    rows = clusters._packed(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(3))
+    assert dict(rows.dtypes) == {"v": "binary"}
+    sets = [x[:2], x[5:10]]
+    for centres, (sums, counts, cost) in zip(sets, clusters._pass(rows, sets), strict=True):
+        d = clusters.squared(x, centres)
+        own = d.argmin(axis=1)
+        assert np.array_equal(counts, np.bincount(own, minlength=len(centres)))
+        assert np.allclose(sums, [x[own == i].sum(axis=0) for i in range(len(centres))])
+        assert np.isclose(cost, d.min(axis=1).sum())
