@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from spindrift.sources.tables import saved
 
 #: Rounds whose trees are applied again in each pass before margins are written.
-HOLD = 8
+HOLD = 3
 #: The margin of each class before the first tree.
 START = 0.5
 
@@ -148,48 +148,99 @@ def fit(train: DataFrame, label: str = "label", features: str = "features", weig
     model = Boosted(classes, len(cuts), [], [])
     if not classes:
         return model
-    state = rows.withColumn("m", F.array(*[F.lit(START) for _ in classes]))
+    state = _binned(rows, model, cuts)
     held = 0  # trees of the rounds before are in the margins of ``state``
     for done in range(rounds):
         if done - held == HOLD:
-            state, held = _written(state, model, held), done
+            state, held = _written(state, model, held, cuts), done
         _grow(state, model, held, cuts, depth, rate, smooth, least)
     model.losses.append(_sums(state, model, held, cuts, [])[1])
     return model
 
 
-def _written(state: DataFrame, model: Boosted, held: int) -> DataFrame:
-    width = model.width
+def _record(model: Boosted) -> np.dtype:
+    """A row as one value: the bins of its features, its class, weight and margins."""
+    return np.dtype([("x", "u2", (model.width,)), ("y", "u2"), ("w", "f8"), ("m", "f8", (len(model.classes),))])
+
+
+def _bytes(rows: np.ndarray) -> pa.RecordBatch:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.dtype.itemsize
+    return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])], ["r"])
+
+
+def _rows(batch: pa.RecordBatch, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(0).to_pylist()), kind)
+
+
+def _on_bins(tree: Tree, cuts: list[np.ndarray]) -> Tree:
+    """``tree`` for rows of bins: a value is at most the b-th cut where its bin is at most b."""
+    return Tree(tree.feature, [float(np.searchsorted(cuts[f], c)) if f >= 0 else 0.0 for f, c in zip(tree.feature, tree.cut, strict=True)], tree.left, tree.right, tree.value, tree.cover)
+
+
+def _binned(rows: DataFrame, model: Boosted, cuts: list[np.ndarray]) -> DataFrame:
+    kind, width = _record(model), model.width
+    classes = model.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column(0), width)
-            m = matrix(b.column(3), len(model.classes)) + model.margins(x, held) - (0.0 if held else START)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(list(m), pa.list_(pa.float64()))], b.schema.names)
+            if not b.num_rows:
+                continue
+            out, x = np.zeros(b.num_rows, kind), matrix(b.column(0), width) if width else None
+            for f, c in enumerate(cuts):
+                out["x"][:, f] = np.searchsorted(c, x[:, f], side="left")
+            out["y"], out["w"], out["m"] = np.searchsorted(classes, b.column(1).to_numpy(zero_copy_only=False)), b.column(2).to_numpy(zero_copy_only=False), START
+            yield _bytes(out)
+
+    return saved(rows.select("features", "label", "w").mapInArrow(run, "r binary"), "boost-bins")
 
-    return saved(state.mapInArrow(run, state.schema), "boost-margins")
+
+def _later(model: Boosted, held: int, cuts: list[np.ndarray]) -> list[list[Tree]]:
+    return [[_on_bins(t, cuts) for t in round_] for round_ in model.trees[held:]]
+
+
+def _margins(rows: np.ndarray, x: np.ndarray, trees: list[list[Tree]]) -> np.ndarray:
+    m = rows["m"].copy()
+    for round_ in trees:
+        for c, t in enumerate(round_):
+            m[:, c] += t.leaves(x)
+    return m
+
+
+def _written(state: DataFrame, model: Boosted, held: int, cuts: list[np.ndarray]) -> DataFrame:
+    kind, shared = _record(model), state.sparkSession.sparkContext.broadcast(_later(model, held, cuts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = _rows(b, kind).copy()
+            out["m"] = _margins(out, out["x"].astype(np.int64), shared.value)
+            yield _bytes(out)
+
+    return saved(state.mapInArrow(run, "r binary"), "boost-margins")
 
 
 def _sums(state: DataFrame, model: Boosted, held: int, cuts: list[np.ndarray], growing: list[tuple[Tree, list[int]]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], float]:
     """For each class its tree's open nodes' gradients and Hessians (nodes x features x bins), and the log loss of the margins: one pass."""
-    width, k, bins = model.width, len(model.classes), max((len(c) for c in cuts), default=0) + 1
+    width, bins = model.width, max((len(c) for c in cuts), default=0) + 1
     sizes = [len(open_) * width * bins for _, open_ in growing]
     starts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    shared = state.sparkSession.sparkContext.broadcast((model, growing))
+    kind = _record(model)
+    shared = state.sparkSession.sparkContext.broadcast((_later(model, held, cuts), [(_on_bins(t, cuts), open_) for t, open_ in growing]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, trees = shared.value
+        later, trees = shared.value
         g, h, loss, total = np.zeros(starts[-1]), np.zeros(starts[-1]), 0.0, 0.0
         for b in batches:
             if not b.num_rows:
                 continue
-            x, label, w = matrix(b.column(0), width), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            p = softmax(matrix(b.column(3), k) + known.margins(x, held) - (0.0 if held else START))
-            own = np.searchsorted(known.classes, label)
+            rows = _rows(b, kind)
+            x, own, w = rows["x"].astype(np.int64), rows["y"], rows["w"]
+            p = softmax(_margins(rows, x, later))
             loss -= float((w * np.log(np.maximum(p[np.arange(len(p)), own], 1e-300))).sum())
             total += float(w.sum())
-            binned = np.column_stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)]) if trees and width else None
+            place_of = x + np.arange(width) * bins
             for c, (tree, open_) in enumerate(trees):
+                if not width:
+                    continue
                 place = np.full(len(tree.feature), -1)
                 place[open_] = np.arange(len(open_))
                 at = place[tree.nodes(x)]
@@ -197,14 +248,13 @@ def _sums(state: DataFrame, model: Boosted, held: int, cuts: list[np.ndarray], g
                 if not len(met):
                     continue
                 grad, hess = (w * (p[:, c] - (own == c)))[met], np.maximum(w * 2 * p[:, c] * (1 - p[:, c]), 1e-16)[met]
-                for f in range(width):
-                    key = (at[met] * width + f) * bins + binned[met, f]
-                    g[starts[c] : starts[c + 1]] += np.bincount(key, grad, sizes[c])
-                    h[starts[c] : starts[c + 1]] += np.bincount(key, hess, sizes[c])
+                key = (place_of[met] + (at[met] * (width * bins))[:, None]).ravel()
+                g[starts[c] : starts[c + 1]] += np.bincount(key, np.repeat(grad, width), sizes[c])
+                h[starts[c] : starts[c + 1]] += np.bincount(key, np.repeat(hess, width), sizes[c])
         met = np.flatnonzero(h)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((met, [-1, -2]))), pa.array(np.concatenate((g[met], [loss, total]))), pa.array(np.concatenate((h[met], [0.0, 0.0])))], ["i", "g", "h"])
 
-    got = state.select("features", "label", "w", "m").mapInArrow(run, "i long, g double, h double").groupBy("i").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+    got = state.mapInArrow(run, "i long, g double, h double").groupBy("i").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
     shared.unpersist()
     i, g, h = (got.column(c).to_numpy() for c in range(3))
     all_g, all_h = np.zeros(starts[-1]), np.zeros(starts[-1])

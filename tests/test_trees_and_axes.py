@@ -216,3 +216,15 @@ def test_contributions_of_a_forest(spark, tmp_path):
     for i in (0, 9):
         base, values = brute([(t, s[:, 1] / len(trees)) for t, s in trees], rows[i][1], 5)
         assert abs(base - got[i, 1.0]["base"]) < 1e-9 and np.allclose(values, [got[i, 1.0][n] for n in NAMES], atol=1e-9)
+
+
+def test_boosting_bins_its_rows_once(boosted, monkeypatch):
+    _, df, model = boosted
+    asked, kept = [], boosting.matrix
+    tables = []
+    whole = boosting.saved
+    monkeypatch.setattr(boosting, "saved", lambda x, tag: (tables.append((tag, x.dtypes)), whole(x, tag))[1])
+    again = boosting.fit(df, rounds=10, depth=3)
+    assert np.allclose(again.losses, model.losses)
+    assert [t for t, _ in tables] == ["boost-rows", "boost-bins", "boost-margins", "boost-margins", "boost-margins"]
+    assert all(kinds == [("r", "binary")] for tag, kinds in tables if tag != "boost-rows")
