@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import parse
 from spindrift.operators import assemble, cases, evaluate, ml, retrieval
 from spindrift.plans.catalogue import ORACLES, big, load, query, visits
-from spindrift.plans.models import _case_index
+from spindrift.plans.models import _cases
 from spindrift.plans.retrieve import _KNN, _knn
 from spindrift.plans.texts import _predicted
 from spindrift.sources import reports, tables
@@ -100,7 +100,7 @@ def reranked_neighbours(spark, sf):
 @query(ORACLES["case_retrieve"])
 def quick_cases(spark, sf):
     """The nearest cases in one call."""
-    rows, _ = _case_index(spark, sf)
+    rows = _cases(spark, sf)
     asked = rows.where("case_id % 100 = 0").withColumn("query_id", F.col("case_id"))
     return cases.quick_retrieve(asked, rows, "case_id", "embedding", "description", tables.scratch(spark, "quick"), 5, build_options={"numbers": ("age_at_visit",)})
 

@@ -388,3 +388,12 @@ def test_approximate_knn_shuffles_no_vectors(spark, monkeypatch):
     assert got == want
     monkeypatch.setattr(ml, "MOST_QUERIES", 15)
     assert [(r["query_id"], r["id"]) for r in ml.approximate_knn(x, queries, 5).orderBy("query_id", "distance", "id").collect()] == want
+
+
+def test_quick_cases_builds_one_index(spark, monkeypatch):
+    from spindrift.plans import QUERIES
+
+    built, build = [], cases.build
+    monkeypatch.setattr(cases, "build", lambda *a, **k: built.append(1) or build(*a, **k))
+    assert QUERIES["quick_cases"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(built) == 1
