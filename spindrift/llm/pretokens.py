@@ -100,17 +100,19 @@ class PieceMemo(dict):
         """The ids of all ``pieces``, joined. With ``many``, a call's own distinct pieces are held at a time, whatever the limit."""
         if self.one:
             return b"".join(map(self.__getitem__, pieces))
-        new = [p for p in set(pieces) if p not in self]
-        if new and len(self) + len(new) > self.half:
-            self._room(len(new))
-            new = list(set(pieces))
+        found = list(map(self.get, pieces))
+        try:
+            return b"".join(found)
+        except TypeError:  # some aren't among the latest
+            missing = [i for i, x in enumerate(found) if x is None]
+        old = self.before
+        made = {p: old.get(p) for p in dict.fromkeys(pieces[i] for i in missing)}
+        new = [p for p, x in made.items() if x is None]
         if new:
-            old = self.before
-            self.update([(p, old[p]) for p in new if p in old])
-            new = [p for p in new if p not in old]
-            self.update(zip(new, (array("I", x).tobytes() for x in self.many(new)), strict=True))
-        out = b"".join(map(self.__getitem__, pieces))
-        for p in new:
-            if len(p) > self.longest:
-                del self[p]
-        return out
+            made.update(zip(new, (array("I", x).tobytes() for x in self.many(new)), strict=True))
+        for i in missing:
+            found[i] = made[pieces[i]]
+        kept = {p: x for p, x in made.items() if len(p) <= self.longest}
+        self._room(len(kept))
+        self.update(kept)
+        return b"".join(found)

@@ -960,3 +960,20 @@ def plain_pipeline(docs, bench):
     docs = {i: docs[i] for k, i in enumerate(ids) if first[k] == k}
     gone = {d for d, _ in plain_overlaps(docs.items(), bench.items())}
     return {i: t for i, t in docs.items() if i not in gone}
+
+
+def test_piece_memory_looks_each_piece_up_once():
+    from spindrift.llm.pretokens import PieceMemo
+
+    asked = []
+
+    class Counted(PieceMemo):
+        def __contains__(self, piece):
+            asked.append(piece)
+            return super().__contains__(piece)
+
+    memo = Counted(many=lambda x: [[len(p)] for p in x], limit=8, longest=3)
+    for pieces in (["a", "bb", "a", "long"], ["a", "bb"], ["ccc", "d", "e"], ["f", "a", "long", "long"], []):
+        assert memo.ids(pieces) == b"".join(len(p).to_bytes(4, "little") for p in pieces)
+        assert len(memo) <= 4 and "long" not in dict.keys(memo)
+    assert asked == []
