@@ -69,3 +69,16 @@ def test_cells_of_little(spark):
     assert cells.build(index).search(index.limit(0).withColumnRenamed("id", "query_id"), 5)[0].count() == 0
     with pytest.raises(Exception, match="places"):
         cells.build(index).search(frame(spark, clustered(2, 5), "query_id"), 5)[0].collect()
+
+
+def test_best_keeps_k_over_all_it_meets():
+    rng = np.random.default_rng(3)
+    q, ids = np.arange(7), rng.permutation(300)
+    m, x = rng.integers(-2, 3, (7, 2)).astype(float), rng.integers(-2, 3, (300, 2)).astype(float)  # many ties
+    found = cells.Best(7, 4)
+    for at in range(0, 300, 13):
+        cells.near(found, q, m, ids[at : at + 13], x[at : at + 13], True)
+    of, own, score = found.rows()
+    s = m @ x.T
+    want = [(i, j, -v) for i in q for v, j in sorted((-s[i, r], ids[r]) for r in range(300) if ids[r] != i)[:4]]
+    assert list(zip(of, own, score, strict=True)) == want
