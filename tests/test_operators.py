@@ -1,5 +1,6 @@
 """Operators on small tables: ties, repeats, nulls, empty input."""
 
+import math
 import random
 
 import numpy as np
@@ -397,3 +398,18 @@ def test_quick_cases_builds_one_index(spark, monkeypatch):
     monkeypatch.setattr(cases, "build", lambda *a, **k: built.append(1) or build(*a, **k))
     assert QUERIES["quick_cases"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(built) == 1
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    """Words are counted without a shuffle, as they are where keys are repeated; rare words' idf comes by a join, as that of frequent ones by a broadcast."""
+    texts = {1: ["b", "a", "b", "a", "b"], 2: [], 3: None, 4: ["a"], 5: ["c", "c"]}
+    docs = spark.createDataFrame(list(texts.items()), "id long, t array<string>")
+    tf, lengths = retrieval.postings(docs, "id", F.col("t"))
+    assert sorted((r["id"], r["term"], r["tf"], r["len"]) for r in tf.collect()) == [(1, "a", 2, 5), (1, "b", 3, 5), (4, "a", 1, 1), (5, "c", 2, 2)]
+    again = retrieval.postings(docs.union(docs.where("id = 4")), "id", F.col("t"))
+    assert sorted((r["id"], r["term"], r["tf"]) for r in again[0].collect()) == [(1, "a", 2), (1, "b", 3), (4, "a", 2), (5, "c", 2)]
+    assert sorted((r["id"], r["len"]) for r in lengths.collect()) == sorted((r["id"], r["len"]) for r in again[1].collect())
+    n = docs.agg(F.count("*").alias("n"))
+    plans = [retrieval.tf_idf_parts(tf, n, most) for most in (10, 1, 0)]
+    found = [sorted((r["id"], r["term"], round(r["raw"], 9)) for r in p.collect()) for p in plans]
+    assert found[0] == found[1] == found[2] and found[0][0] == (1, "a", round(2 * (math.log(6 / 3) + 1), 9))
