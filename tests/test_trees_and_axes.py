@@ -60,6 +60,20 @@ def test_sparse_svd_of_low_rank(spark, most):
     assert none.values == [] and none.reduce(new).count() == 0
 
 
+def test_sparse_svd_sends_a_vector_a_term_of_a_piece(spark):
+    """Rows in several pieces: the same as plain SVD, and what is sent grows with the terms of pieces, not with the weights."""
+    rows = [(i, f"t{j}", 1.0 + (i * j) % 7) for i in range(60) for j in range(40) if (i + j) % 3]
+    a = dense(rows)[1]
+    weights = spark.createDataFrame(rows, "id long, term string, weight double").repartition(3)
+    model = lowrank.fit(weights, 5, extra=35, rounds=3, most_terms=10, piece=500)
+    assert np.allclose(model.values, np.linalg.svd(a, compute_uv=False)[:5], rtol=1e-6)
+    sent = model.large.pieces.terms.count()
+    assert 40 < sent <= 40 * -(-len(rows) // 500) < len(rows) / 4
+    own = {r["id"]: r["reduced"] for r in model.reduce(weights).collect()}
+    new = {r["doc"]: r["reduced"] for r in model.reduce(weights.withColumnRenamed("id", "doc"), "doc").collect()}
+    assert len(own) == len(new) == 60 and all(np.allclose(own[i], new[i]) for i in own)
+
+
 # ---------------------------------------------------------------- boosting
 def boosting_rows(n=400, seed=3):
     r = random.Random(seed)
