@@ -2,7 +2,7 @@
 
 Each page is parsed to a DOM tree, of which block elements and the runs of text between them are slots. Trees of one
 host are aligned by simple tree matching (ordered, top-down, the most matching slots). The host's tree is
-induced from SAMPLE of its pages, those of least hash, merged in that order, so that it doesn't depend on how rows are
+induced from all its pages, form by form (pages of the same labels and nesting are one form), merged in an order that doesn't depend on how rows are
 dealt. All its pages are then aligned with it, and counted per slot are its characters and, for each text in it, the pages
 that hold this text, and per slot the pages that hold an element or run of this label and text anywhere among its children: sums
 that no order changes. Texts of half the host's pages at one slot, or anywhere below one parent, are template, varying slots
@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import kept_table
@@ -158,7 +158,9 @@ def aside_label(label: str) -> bool:
 # "#", runs of text between them. ``consts`` of a finished run slot are the digests of its constant texts with their characters
 # (``None`` before counting), ``members`` the page's own elements or runs that were folded into the slot; in a host's counted tree,
 # which has no members, the digests of what stands anywhere among the slot's children on half the pages.
-MOST_NODES, FEWEST, SAMPLE = 400, 4, 16
+MOST_NODES, FEWEST = 400, 4
+#: Forms of pages that are merged in one go.
+FORMS = 64
 _ITEMS = frozenset("# p li dt dd tr td th option h2 h3 h4".split())
 _ROW = 8
 _CONTAINERS = frozenset("address article aside body center details div footer header hgroup html main menu nav section".split())
@@ -364,8 +366,13 @@ def _pruned(t: list, least: int) -> list:
 
 
 def _bare(t: list) -> list:
-    """What is kept of a tree: labels, pages, texts, characters."""
-    return [t[0], t[1], t[2], [_bare(c) for c in t[3]], t[4], None, []]
+    """What is kept of a page's tree: labels and their nesting."""
+    return [t[0], 1, None, [_bare(c) for c in t[3]], 0, None, []]
+
+
+def _times(t: list, n: int) -> list:
+    """A tree of so many times the pages."""
+    return t if n == 1 else [t[0], t[1] * n, t[2], [_times(c, n) for c in t[3]], *t[4:]]
 
 
 def _counted(t: list, chars: dict[int, int], consts: dict[int, dict[str, int]], moved: dict[int, list[str]], pages: int, at: list[int]) -> list:
@@ -431,6 +438,7 @@ class Wrapper:
         self.tree, self.names = tree, names
         self.weights: dict[int, tuple[int, int]] = {}
         self.dropped: set[int] = set()
+        self.beside: dict[int, set[int]] = {}  # dropped slots that only go beside one of these siblings
         if judged:
             _weigh(tree, tree[1], self.weights)
             self._judge(tree)
@@ -440,14 +448,15 @@ class Wrapper:
 
         Constant containers are template (constant texts elsewhere are told apart run by run). Beside one that holds four fifths of what varies, containers with under a tenth go, unless they
         hold a title. Elements named as asides go unless nine tenths are in them; if a quarter is in an article or main, its
-        untitled siblings go.
+        untitled siblings go. What goes for its sibling's sake stays on pages without that sibling, as those of a rarer layout.
         """
         varying = self.weights[id(t)][0]
         if not varying:
             return
         share = {id(c): self.weights[id(c)][0] / varying for c in t[3]}
-        large = any(share[id(c)] >= 0.8 and _tag(c) in _CONTAINERS for c in t[3])
-        named = self.names and any(_tag(c) in ("article", "main") and share[id(c)] >= 0.25 for c in t[3])
+        large = {id(c) for c in t[3] if share[id(c)] >= 0.8 and _tag(c) in _CONTAINERS}
+        articles = {id(c) for c in t[3] if _tag(c) in ("article", "main")}
+        named = self.names and any(share[c] >= 0.25 for c in articles)
         for c in t[3]:
             tag, s = _tag(c), share[id(c)]
             titled = tag in ("h1", "h2") or _titles(c)
@@ -458,8 +467,10 @@ class Wrapper:
                 gone = s < 0.9
             elif named and tag not in ("article", "main"):
                 gone = not titled
+                self.beside[id(c)] = articles
             elif large and tag in _CONTAINERS:
                 gone = s < 0.1 and not titled
+                self.beside[id(c)] = large
             if gone:
                 self.dropped.add(id(c))
             else:
@@ -470,24 +481,30 @@ class Wrapper:
             return bool(t[5]) and digest(text) in t[5]
         return t[2] is not None and t[1] >= max(4, 0.5 * self.tree[1]) and t[2] == _told(text)
 
-    def places(self, page: list) -> Iterator[tuple[list, list]]:
-        """Each slot of a page's tree that has a place in the host's, and that place; below dropped ones none."""
+    def places(self, page: list, alone: set[int] | None = None) -> Iterator[tuple[list, list]]:
+        """Each slot of a page's tree that has a place in the host's, and that place; below dropped ones none. ``alone`` is given the page's slots, and all below them, that only go beside siblings this page lacks."""
         known: dict = {}
+        alone = set() if alone is None else alone
         todo = [(page, self.tree)]
         while todo:
             a, b = todo.pop()
-            for i, j in _match(a, b, known)[1]:
+            pairs = _match(a, b, known)[1]
+            here = {id(b[3][j]) for _, j in pairs} if self.beside else ()
+            for i, j in pairs:
                 c, t = a[3][i], b[3][j]
+                if id(a) in alone or (id(t) in self.dropped and id(t) in self.beside and self.beside[id(t)].isdisjoint(here)):
+                    alone.add(id(c))
                 yield c, t
-                if id(t) not in self.dropped:
+                if id(t) not in self.dropped or id(c) in alone:
                     todo.append((c, t))
 
     def mark(self, page: list) -> None:
-        """Marks the elements and runs of a page's tree that hold no content. Where it has no place in the host's, names decide."""
-        for c, t in [(page, self.tree), *self.places(page)]:
-            gone = id(t) in self.dropped
+        """Marks the elements and runs of a page's tree that hold no content. Where it has no place in the host's, or stands alone, names decide."""
+        alone: set[int] = set()
+        for c, t in [(page, self.tree), *self.places(page, alone)]:
+            gone = id(t) in self.dropped and id(c) not in alone
             for m in c[6]:
-                m.drop = gone if c is not page else m.drop
+                m.drop = gone if c is not page and id(c) not in alone else m.drop
                 if c[0] == "#" and not gone and self.constant(t, m.text):
                     m.constant = True
             if t[6] and not gone:
@@ -551,62 +568,60 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_AT_ONCE = 200_000
-
-
-def _least(df: DataFrame, *keys: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("key", "tree"))).where(F.col("rank") <= SAMPLE).drop("rank")
+_AT_ONCE, _FORMS_BYTES = 200_000, 32 << 20
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, tree`` (JSON): the merged trees of SAMPLE pages of each host, those of least hash, in that order.
+    """``host, tree`` (JSON): the merged trees of all pages of each host.
 
-    Each task proposes SAMPLE pages a host; so many are kept of each of 64 parts of a host, and of these of the host.
+    Pages whose slots have the same labels and nesting are one form, with its number of pages. A host's forms are merged, those of most pages first; where it
+    has more than FORMS, in parts of about so many by their hash, and then the parts, so that neither a host nor a task is long.
     """
 
-    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, dict[str, str]] = {}
-        most: dict[str, str] = {}
-        n = 0
+    def formed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], int] = {}
+        held = 0
         for b in batches:
             for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if page:
-                    h, key = _host(url), digest(page)
-                    own = found.setdefault(h, {})
-                    if key in own or (len(own) >= SAMPLE and key > most[h]):
-                        continue
-                    if len(own) >= SAMPLE:
-                        del own[most[h]]
-                    own[key] = json.dumps(_bare(shape(parse(page))))
-                    most[h] = max(own)
-                    n += 1
-            if n > 20_000:
+                    at = _host(url), json.dumps(_bare(shape(parse(page))))
+                    held += len(at[1]) if at not in found else 0
+                    found[at] = found.get(at, 0) + 1
+            if held > _FORMS_BYTES:
                 yield rows(found)
-                found, most, n = {}, {}, 0
+                found, held = {}, 0
         yield rows(found)
 
-    def rows(found: dict[str, dict[str, str]]) -> pa.RecordBatch:
-        flat = [(h, k, t) for h, own in found.items() for k, t in own.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], pa.string()) for i in range(3)], ["host", "key", "tree"])
+    def rows(found: dict[tuple[str, str], int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["host", "tree", "pages"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, tree, last = None, None, None
+        at, tree = None, None
         for b in batches:
-            done = []
-            for h, k, t in zip(b.column("host").to_pylist(), b.column("key").to_pylist(), b.column("tree").to_pylist(), strict=True):
-                if h != host:
-                    if host is not None:
-                        done.append((host, json.dumps(tree)))
-                    host, tree, last = h, None, None
-                if k != last:
-                    tree, last = merge(tree, json.loads(t)), k
-            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in range(2)], ["host", "tree"])
-        if host is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(tree)])], ["host", "tree"])
-
-    some = pages.select("url", "html").mapInArrow(proposed, "host string, key string, tree string").distinct()
-    parts = _least(some.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64))), "host", "part").drop("part")
-    return _least(parts, "host").repartition("host").sortWithinPartitions("host", "key").mapInArrow(fold, "host string, tree string")
+            done: dict[tuple, list] = {}
+            for host, part, text, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if (host, part) != at:
+                    if at is not None:
+                        done[at] = tree
+                    at, tree = (host, part), None
+                t = json.loads(text)
+                tree = merge(tree, _times(t, n // t[1]))
+            yield merged(done)
+        if at is not None:
+            yield merged({at: tree})
+
+    def merged(done: dict[tuple, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.string()), pa.array([json.dumps(t) for t in done.values()], pa.string()), pa.array([t[1] for t in done.values()], pa.int64())], ["host", "tree", "pages"])
+
+    trees = pages.select("url", "html").mapInArrow(formed, "host string, tree string, pages long").groupBy("host", "tree").agg(F.sum("pages").alias("pages"))
+    while True:
+        trees = kept_table(trees, "forms")
+        forms = trees.groupBy("host").agg(F.count("*").alias("n"))
+        last = (forms.agg(F.max("n")).first()[0] or 0) <= FORMS
+        dealt = trees.withColumn("part", F.lit(0).cast("long")) if last else trees.join(forms, "host").withColumn("part", F.pmod(F.xxhash64("tree"), F.ceil(F.col("n") / FORMS)))
+        trees = dealt.select("host", "part", "tree", "pages").repartition("host", "part").sortWithinPartitions("host", "part", F.desc("pages"), "tree").mapInArrow(fold, "host string, tree string, pages long")
+        if last:
+            return trees.select("host", "tree")
 
 
 class _Trees:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -760,6 +761,26 @@ def test_wrapper_finds_notices_that_move(spark, siblings):
     assert {x["page_id"]: x["text"] for x in wrapper.extract(df).collect()} == want
 
 
+def test_wrapper_learns_from_all_pages_of_a_host(spark, monkeypatch):
+    common.ship(spark)
+    r = random.Random(8)
+    rows, want = [], {}
+    for i in range(300):
+        parts = [f"{prose(r, 30)} {i}.{k}" for k in range(3)]
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        # Three pages have a line beside the article, five have another layout.
+        note = f"<section><p>Seen by {i}</p></section>" if i in (40, 140, 240) else ""
+        rows.append((i, f"http://m.example/{i}", f"<html><body><blockquote>{body}</blockquote></body></html>" if i % 60 == 7 else f"<html><body><div>{body}</div>{note}</body></html>"))
+        want[i] = "\n".join(parts)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    assert {x["page_id"]: x["text"] for x in wrapper.extract(df).collect()} == want
+    tree = json.loads(wrapper.templates(df).first()["tree"])
+    assert tree[1] == 300
+    monkeypatch.setattr(wrapper, "FORMS", 2)
+    forms = [(i, f"http://m.example/{i}", f"<html><body><div><p>{i}</p></div><div><h{i % 5 + 1}>t</h{i % 5 + 1}></div></body></html>") for i in range(50)]
+    assert json.loads(wrapper.templates(spark.createDataFrame(forms, "page_id long, url string, html string")).first()["tree"])[1] == 50
+
+
 def test_long_rows_are_aligned_like_short_ones():
     r = random.Random(3)
     leaf = lambda label, *c: [label, 1, None, list(c), 0, None, []]
