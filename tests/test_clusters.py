@@ -135,3 +135,34 @@ def test_a_pass_sends_a_row_a_task(spark):
         assert np.array_equal(counts, np.bincount(own, minlength=len(centres)))
         assert np.allclose(sums, [x[own == i].sum(axis=0) for i in range(len(centres))])
         assert np.isclose(cost, d.min(axis=1).sum())
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_all_steps_are_one_job_over_many_rows(spark, monkeypatch, kind):
+    def never(*_):
+        raise AssertionError("a job a step")
+
+    monkeypatch.setattr(clusters, "_pass", never)
+    x = np.random.default_rng(5).normal(size=(3000, 4))
+    x[::3] += 3
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(x))), "v": pa.array(list(x), pa.list_(pa.float64()))})).select("id", F.col("v").cast(f"array<{kind}>").alias("v"))
+    order = sorted(range(len(x)), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    found = clusters.kmeans(df.repartition(5), "id", "v", [2, 4], starts=2)
+    for k, f in found.items():
+        tried = [plain_lloyd(x, clusters.first_centres(x[order], k, 42 + i), 300) for i in range(2)]
+        assert abs(f.cost - min(cost for _, cost, _ in tried)) < 1e-6
+        assert any(np.allclose(f.centres, centres) and f.rounds == rounds for centres, _, rounds in tried)
+    # Equal distances: the first centre has the row.
+    total = np.zeros((4, 6))
+    clusters._add(total, x[:10], np.vstack([x[:1], x[:1], x[:2]]), np.array([2, 4]))
+    assert total[:, 4].tolist() == [10, 0, *np.bincount(clusters.squared(x[:10], x[:2]).argmin(axis=1), minlength=2)]
+
+
+def test_best_k_assigns_the_sample_alone(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(400)], "id long, v array<double>")
+    seen = []
+    plain = clusters.Centres.assign
+    monkeypatch.setattr(clusters.Centres, "assign", lambda self, rows, v: seen.append(rows.count()) or plain(self, rows, v))
+    monkeypatch.setattr(clusters, "SAMPLE", 50)
+    assert clusters.best_k(df, "id", "v", [2, 3], starts=2).count() == 2 and seen == [50, 50]
