@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from spindrift.operators import cells, retrieval
+from spindrift.operators.cells import Best
 
 
 def clustered(n=3000, d=8, groups=30, spread=0.05, seed=7):
@@ -82,3 +83,17 @@ def test_best_keeps_k_over_all_it_meets():
     s = m @ x.T
     want = [(i, j, -v) for i in q for v, j in sorted((-s[i, r], ids[r]) for r in range(300) if ids[r] != i)[:4]]
     assert list(zip(of, own, score, strict=True)) == want
+
+
+@pytest.mark.parametrize("but", [None, np.arange(40)])
+def test_first_rows_that_queries_meet_are_few(monkeypatch, but):
+    rng = np.random.default_rng(4)
+    s = np.round(rng.normal(size=(40, 2000)), 2)  # many ties
+    ids, put, sent = rng.permutation(2000), Best.put, []
+    monkeypatch.setattr(Best, "put", lambda self, of, q, own, score: sent.append(len(q)) or put(self, of, q, own, score))
+    found = Best(40, 5)
+    found.meet(np.arange(40), s, ids, but)
+    for i in range(40):
+        want = sorted((-s[i, j], ids[j]) for j in range(2000) if but is None or ids[j] != but[i])[:5]
+        assert [(-a, b) for a, b in zip(found.score[i], found.id[i], strict=True)] == want
+    assert max(sent) < 40 * 50  # not all 80 000
