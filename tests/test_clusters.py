@@ -166,3 +166,13 @@ def test_best_k_assigns_the_sample_alone(spark, monkeypatch):
     monkeypatch.setattr(clusters.Centres, "assign", lambda self, rows, v: seen.append(rows.count()) or plain(self, rows, v))
     monkeypatch.setattr(clusters, "SAMPLE", 50)
     assert clusters.best_k(df, "id", "v", [2, 3], starts=2).count() == 2 and seen == [50, 50]
+
+
+@pytest.mark.parametrize("name", ["cv_grid", "cv_report", "boosting_grid"])
+def test_grids_label_visits_once(spark, monkeypatch, name):
+    from spindrift.plans import QUERIES
+
+    seen = []
+    monkeypatch.setattr(ml, "grid_search", lambda x, **_: seen.append(x) or [None, x.selectExpr("'p' AS params", "1.0 AS mean_f1")])
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert all("/labelled-" in f for f in seen[0].inputFiles()) and seen[0].count() > 0
