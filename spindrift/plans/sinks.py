@@ -8,7 +8,7 @@ from spindrift.functions import parse
 from spindrift.operators import assemble, cases, evaluate, ml, retrieval
 from spindrift.plans.catalogue import ORACLES, big, load, query, visits
 from spindrift.plans.models import _cases
-from spindrift.plans.retrieve import _KNN, _knn
+from spindrift.plans.retrieve import _KNN_OF_ALL, _knn
 from spindrift.plans.texts import _predicted
 from spindrift.sources import reports, tables
 
@@ -89,11 +89,11 @@ def language_model_replies(spark, sf):
     return told.select("stay_id", "status", big(F.when(F.col("status") == "ok", parse.level(F.col("reply")))).alias("level"))
 
 
-@query(f"WITH {_KNN}, again AS (SELECT query_id, k.id, CAST(-abs(a.label - b.label) AS DOUBLE) AS score FROM knn k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.id WHERE rank <= 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM again) SELECT query_id, id, score FROM r WHERE rn <= 3")
+@query(f"WITH {_KNN_OF_ALL}, again AS (SELECT query_id, k.id, CAST(-abs(a.label - b.label) AS DOUBLE) AS score FROM knn k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.id WHERE rank <= 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM again) SELECT query_id, id, score FROM r WHERE rn <= 3")
 def reranked_neighbours(spark, sf):
-    """Ten neighbours scored anew by a scorer of the caller's, and three of them kept."""
+    """Ten neighbours of every vector scored anew by a scorer of the caller's, and three of them kept."""
     labels = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("text"))
-    near = _knn(spark, sf, 10).select("query_id", "id").join(labels, "id").join(labels.withColumnsRenamed({"id": "query_id", "text": "query_text"}), "query_id")
+    near = _knn(spark, sf, 10, 1).select("query_id", "id").join(labels, "id").join(labels.withColumnsRenamed({"id": "query_id", "text": "query_text"}), "query_id")
     return retrieval.rerank(near, lambda q, t: [-abs(float(a) - float(b)) for a, b in zip(q, t, strict=True)], 3).select("query_id", "id", "score")
 
 

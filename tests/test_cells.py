@@ -5,6 +5,7 @@ import pytest
 
 from spindrift.operators import cells, retrieval
 from spindrift.operators.cells import Best
+from spindrift.plans import QUERIES
 
 
 def clustered(n=3000, d=8, groups=30, spread=0.05, seed=7):
@@ -97,3 +98,34 @@ def test_first_rows_that_queries_meet_are_few(monkeypatch, but):
         want = sorted((-s[i, j], ids[j]) for j in range(2000) if but is None or ids[j] != but[i])[:5]
         assert [(-a, b) for a, b in zip(found.score[i], found.id[i], strict=True)] == want
     assert max(sent) < 40 * 50  # not all 80 000
+
+
+def test_reranked_neighbours_of_every_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert {r["query_id"] for r in QUERIES["reranked_neighbours"](spark, sf).collect()} == ids
+
+
+def test_more_queries_than_are_broadcast_read_all_rows(spark, monkeypatch):
+    """Nearer to each other than single precision tells apart, and copies; a task's queries come in several lots."""
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 10)
+    monkeypatch.setattr(retrieval, "HELD", 1025)
+    x = clustered(2600, groups=3, spread=1e-4)
+    x[7::50] = x[7]
+    index = frame(spark, x)
+    got = retrieval.knn(index.withColumnRenamed("id", "query_id"), index, 4, exclude_self=True)
+    assert rows(got) == plain(x, np.arange(2600), 4, True)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "Join" not in plan
+
+
+def test_coarse_products_find_what_exact_ones_do():
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e-3, 1e4, 1e20):
+        q, ids = np.arange(60), rng.permutation(3000)
+        m, x = rng.normal(size=(60, 16)) * scale, np.repeat(rng.normal(size=(1000, 16)), 3, axis=0) * scale
+        a, b = cells.Best(60, 5), cells.Best(60, 5)
+        for at in range(0, 3000, 700):
+            cells.near(a, q, m, ids[at : at + 700], x[at : at + 700], True)
+            cells.near_coarsely(b, q, m, m.astype(np.float32), ids[at : at + 700], x[at : at + 700], True)
+        assert np.allclose(a.score, b.score, rtol=1e-9) and (scale > 1 or (a.id == b.id).all())
