@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from spindrift.operators import boosting, explain, lowrank, ml
+from spindrift.operators import boosting, explain, lowrank, ml, textsvd
 
 
 # ---------------------------------------------------------------- SVD of sparse rows
@@ -74,6 +74,51 @@ def test_sparse_svd_sends_a_vector_a_term_of_a_piece(spark):
     assert len(own) == len(new) == 60 and all(np.allclose(own[i], new[i]) for i in own)
 
 
+def texts(n=90, seed=6):
+    """Words of texts: common ones, rare ones, and some that one text alone holds."""
+    r = random.Random(seed)
+    return [(i * 3, [f"w{min(r.randint(0, 60), r.randint(0, 60))}" for _ in range(r.randint(1, 30))] + [f"own{i}"] * (i % 4)) for i in range(n)]
+
+
+@pytest.mark.parametrize("piece", [100, 1_000_000])
+def test_svd_of_texts(spark, piece, monkeypatch):
+    """Chunks in many pieces or few, terms of all pieces and of one: the same as plain SVD of TF-IDF, and nothing is sent for a posting."""
+    docs = texts()
+    terms = sorted({w for _, words in docs for w in words})
+    tf = np.array([[words.count(w) for w in terms] for _, words in docs], float)
+    a = tf * (np.log((1.0 + 100) / (1.0 + (tf > 0).sum(axis=0))) + 1)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    made = []
+    whole = textsvd._Corpus.through
+    monkeypatch.setattr(textsvd._Corpus, "through", lambda self, *rest: made.append(self) or whole(self, *rest))
+    df = spark.createDataFrame(docs + [(1, []), (2, None)], "id long, words array<string>").repartition(7)
+    rows, values = textsvd.fit(df, 100, 6, extra=24, rounds=8, piece=piece)
+    assert np.allclose(values, s[:6], rtol=1e-4)
+    got = {r["id"]: r["reduced"] for r in rows.collect()}
+    assert sorted(got) == [i for i, _ in docs]
+    reduced = np.array([got[i] for i, _ in docs])
+    assert np.allclose(reduced @ reduced.T, (u[:, :6] * s[:6] ** 2) @ u[:, :6].T, atol=2e-2)
+    assert np.allclose(reduced[:, 0], a @ vt[0] * np.sign(vt[0][np.abs(vt[0]).argmax()]), atol=1e-3)
+    corpus = made[0]
+    assert corpus.terms == len(terms) and corpus.weights == (tf > 0).sum() and (corpus.pieces > 4 if piece == 100 else corpus.pieces == 4)
+    sent = corpus._sent(None, 30, 1).collect()
+    pieces = [set().union(*[{w for w in r["terms"]} for r in spark.read.parquet(corpus.chunks).where(F.col("b").isin(own)).collect()]) for own in corpus.dealt if own]
+    shared = [w for w in terms if sum(w in p for p in pieces) > 1]
+    assert len(sent) <= corpus.pieces**2 and sum(len(r["v"]) for r in sent) == 120 * sum(w in p for p in pieces for w in shared)
+
+
+def test_svd_of_texts_with_few_words(spark):
+    df = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["c"]) for i in range(10)], "id long, words array<string>")
+    rows, values = textsvd.fit(df, 10)
+    assert np.allclose(values, [5**0.5, 5**0.5, 0], atol=1e-5) and all(abs(np.linalg.norm(r["reduced"]) - 1) < 1e-6 for r in rows.collect())
+    assert textsvd.fit(df.select("id", F.array().cast("array<string>").alias("words")), 10) is None
+    for odd in (df.union(df.limit(1)), df.union(df.limit(1).withColumn("id", F.lit(None).cast("long")))):
+        assert textsvd.reduced(odd, "id", F.col("words")) is None
+    named = textsvd.reduced(df.withColumn("id", F.concat(F.lit("n"), "id")), "id", F.col("words"), 2)
+    assert sorted(r["id"] for r in named.collect()) == [f"n{i}" for i in range(10)]
+
+
 # ---------------------------------------------------------------- boosting
 def boosting_rows(n=400, seed=3):
     r = random.Random(seed)
