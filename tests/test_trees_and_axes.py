@@ -9,7 +9,8 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from spindrift.operators import boosting, explain, lowrank, ml, textsvd
+from spindrift.operators import boosting, explain, lowrank, ml, retrieval, textsvd
+from spindrift.plans import QUERIES
 
 
 # ---------------------------------------------------------------- SVD of sparse rows
@@ -119,6 +120,14 @@ def test_svd_of_texts_with_few_words(spark):
     assert sorted(r["id"] for r in named.collect()) == [f"n{i}" for i in range(10)]
 
 
+def test_svd_queries_make_no_rows_of_postings(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "postings", None)
+    sf = "/root/testdata/sf0.001"
+    values = sorted(r["singular_value"] for r in QUERIES["tfidf_svd_values"](spark, sf).collect())
+    rows = np.array([r["reduced"] for r in QUERIES["tfidf_svd_documents"](spark, sf).collect()])
+    assert np.allclose(np.sqrt((rows * rows).sum(axis=0))[:2], values[::-1], atol=1e-3)
+
+
 # ---------------------------------------------------------------- boosting
 def boosting_rows(n=400, seed=3):
     r = random.Random(seed)
