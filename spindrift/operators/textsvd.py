@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,9 @@ from spindrift.operators.lowrank import orthonormal
 from spindrift.sources.tables import dropped, saved, scratch, tidy
 
 #: Weights of a piece, about; a task holds the vectors of its terms, and reads its chunks one by one.
-PIECE = 8_000_000
+PIECE = 4_000_000
 #: Words of a chunk, about.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Weights that meet vectors at once, and of a run that is by itself.
 STEP, LONG = 1 << 12, 48
 
@@ -73,7 +74,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A chunk for each batch of ``id`` and words: its ids and terms; by row the terms' numbers and counts; the places of weights by term; and for each term its rows."""
+    """A chunk for each batch of ``id`` and words: its ids and terms; by row the terms' numbers (as differences, which are small) and counts; and for each term its rows."""
     number = TaskContext.get().partitionId() << 20
     for b in _cut(batches):
         words = b.column(1)
@@ -87,8 +88,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, t = np.divmod(every[first], n)
         t, tf = t.astype(np.int32), np.diff(np.r_[first, len(every)]).astype(np.int32)
         starts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)].astype(np.int32)
-        numbers = [x.astype(np.int32).tobytes() for x in (starts, t, tf, _sorted(t), np.bincount(t, minlength=n))]
-        yield _row(["b", "n", "ids", "terms", "starts", "t", "tf", "order", "df"], number, len(t), _whole(b.column(0).take(pa.array(of[starts[:-1]]))), _whole(coded.dictionary), *numbers)
+        numbers = [x.astype(np.int32).tobytes() for x in (starts, np.diff(t, prepend=np.int32(0)), tf, np.bincount(t, minlength=n))]
+        yield _row(["b", "n", "ids", "terms", "starts", "t", "tf", "df"], number, len(t), _whole(b.column(0).take(pa.array(of[starts[:-1]]))), _whole(coded.dictionary), *numbers)
         number += 1
 
 
@@ -127,8 +128,8 @@ class _Corpus:
         self.spark = spark = words.sparkSession
         self.kind = words.schema["id"].dataType.simpleString()
         self.chunks, self.met, self.by_piece, self.by_range = (scratch(spark, f"svd-{x}") for x in ("chunks", "met", "pieces", "ranges"))
-        schema = f"b long, n long, ids array<{self.kind}>, terms array<string>, starts binary, t binary, tf binary, order binary, df binary"
-        words.mapInArrow(_pack, schema).write.partitionBy("b").parquet(self.chunks)
+        schema = f"b long, n long, ids array<{self.kind}>, terms array<string>, starts binary, t binary, tf binary, df binary"
+        words.mapInArrow(_pack, schema).write.option("compression", "zstd").partitionBy("b").parquet(self.chunks)
         sizes = sorted(((r["n"], r["b"]) for r in spark.read.schema("n long, b long").parquet(self.chunks).collect()), reverse=True)  # a row a chunk
         self.weights = sum(n for n, _ in sizes)
         tasks = spark.sparkContext.defaultParallelism
@@ -195,8 +196,14 @@ class _Corpus:
         dropped(table)
         return terms
 
-    def _sent(self, block: DataFrame | None, width: int, seed: int) -> DataFrame:
-        """``to, of, v``: for each piece the vectors of its terms from each range, and its own (from -1)."""
+    def _waves(self) -> list[range]:
+        """Pieces that are sent vectors at once: a quarter of all, by whole numbers of tasks."""
+        tasks = self.spark.sparkContext.defaultParallelism
+        step = -(-max(1, self.pieces // 4) // tasks) * tasks
+        return [range(i, min(i + step, self.pieces)) for i in range(0, self.pieces, step)]
+
+    def _sent(self, block: DataFrame | None, width: int, seed: int, wave: range) -> DataFrame:
+        """``to, of, v``: for each piece of ``wave`` the vectors of its terms from each range, and its own (from -1)."""
         path, first = self.by_range, block is None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +211,8 @@ class _Corpus:
                 for i in range(b.num_rows):
                     r = b.column(0)[i].as_py()
                     if r < 0:
-                        yield _row(["to", "of", "v"], -1 - r, -1, b.column(1)[i].as_py())
+                        if -1 - r in wave:
+                            yield _row(["to", "of", "v"], -1 - r, -1, b.column(1)[i].as_py())
                         continue
                     store, top = pa.fs.FileSystem.from_uri(path)
                     if store.get_file_info(f"{top}/_k={r}").type == pa.fs.FileType.NotFound:
@@ -215,13 +223,18 @@ class _Corpus:
                     else:
                         z = _single(b.column(1)[i], width)
                     for p, at, _ in zip(*routes.columns, strict=True):
+                        if p.as_py() not in wave:
+                            continue
                         at = _ints(at)
                         yield _row(["to", "of", "v"], p.as_py(), r, z[at[at >= 0]].tobytes())
 
         return (self._tasks() if first else block.select("of", "v")).mapInArrow(run, "to long, of long, v binary")
 
     def through(self, block: DataFrame | None, turn: np.ndarray, n_docs: int, seed: int, back: bool) -> DataFrame:
-        """The rows through ``block`` times ``turn``: ``id, y``, or (``back``) the next block, ``of, v`` and its Gram matrix ``g``. Without a block it is a random one."""
+        """The rows through ``block`` times ``turn``: ``id, y``, or (``back``) the next block, ``of, v`` and its Gram matrix ``g``; both are tables. Without a block it is a random one.
+
+        A wave of pieces after the other, so that what is shuffled at once is a part of it.
+        """
         chunks, met, by_piece, by_range, dealt, n, width = self.chunks, self.met, self.by_piece, self.by_range, self.dealt, self.pieces, turn.shape[0]
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +254,9 @@ class _Corpus:
                 tell = _part(met, f"p={p}", ["c", "x"])
                 places = {c.as_py(): x for c, x in zip(*tell.filter(pc.greater_equal(tell.column("c"), 0)).columns, strict=True)}
                 for c in dealt[p]:
-                    chunk = _part(chunks, f"b={c}", ["starts", "t", "tf", "order" if back else "ids"])
+                    chunk = _part(chunks, f"b={c}", ["starts", "t", "tf"] + ([] if back else ["ids"]))
                     starts, t, tf = (_ints(chunk.column(x)[0]) for x in ("starts", "t", "tf"))
+                    t = np.cumsum(t, dtype=np.int32)
                     place = _ints(places[c])
                     at = place[t]
                     w = tf * idf[at]
@@ -253,10 +267,11 @@ class _Corpus:
                         for i in range(0, len(y), 10_000):
                             yield pa.RecordBatch.from_arrays([ids[i : i + 10_000], pa.array([x.tobytes() for x in y[i : i + 10_000]], pa.binary())], ["id", "y"])
                         continue
-                    order = _ints(chunk.column("order")[0])
+                    order = _sorted(t)
                     of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
                     out[place] += _sums(np.r_[0, np.cumsum(np.bincount(t))], of[order], w[order], y)
                 if back:
+                    del z
                     for (r, at, _), start, stop in zip(routes, ends, ends[1:], strict=False):
                         yield _row(["to", "of", "v"], r, p, out[start:stop][at >= 0].astype(np.float32).tobytes())
                     yield _row(["to", "of", "v"], p % n, -1 - p, out[~shared].astype(np.float32).tobytes())
@@ -268,7 +283,9 @@ class _Corpus:
                 if routes:
                     total = np.zeros((next(iter(routes.values()))[1], width))
                     for of, v in sent:
-                        if of >= 0:
+                        if of >= n:
+                            total += _single(v, width)
+                        elif of >= 0:
                             at = routes[of][0]
                             total[at[at >= 0]] += _single(v, width)
                     whole.append((r, total.astype(np.float32).tobytes()))
@@ -276,10 +293,20 @@ class _Corpus:
                     x = np.frombuffer(v, np.float32).reshape(-1, width).astype(np.float64)
                     yield _row(["of", "v", "g"], of, v, (x.T @ x).tobytes())
 
-        sent = self._to(self._sent(block, width, seed))
+        sent = [self._to(self._sent(block, width, seed, wave)) for wave in self._waves()]
         if not back:
-            return sent.mapInArrow(meet, f"id {self.kind}, y binary")
-        return self._to(sent.mapInArrow(meet, "to long, of long, v binary")).mapInArrow(add, "of long, v binary, g binary")
+            rows = [saved(x.mapInArrow(meet, f"id {self.kind}, y binary"), "svd-rows") for x in sent]
+            return reduce(DataFrame.unionByName, rows)
+        after = None
+        for x in sent:
+            more = x.mapInArrow(meet, "to long, of long, v binary")
+            if after is not None:  # what the waves before have added up, from n on
+                more = more.unionByName(after.select(F.when(F.col("of") < 0, F.pmod(-1 - F.col("of"), F.lit(n))).otherwise(F.col("of")).alias("to"), F.when(F.col("of") < 0, F.col("of")).otherwise(F.lit(n)).cast("long").alias("of"), "v"))
+            made = saved(self._to(more).mapInArrow(add, "of long, v binary, g binary"), "svd-block")
+            if after is not None:
+                dropped(after)
+            after = made
+        return after
 
 
 def _total(grams: DataFrame, width: int) -> np.ndarray:
@@ -308,12 +335,12 @@ def fit(words: DataFrame, n_docs: int, k: int = 20, extra: int = 10, rounds: int
         width, k = min(corpus.terms, k + extra), min(corpus.terms, k)
         block, turn = None, np.eye(width)
         for _ in range(rounds):
-            after = saved(corpus.through(block, turn, n_docs, seed, True), "svd-block")
+            after = corpus.through(block, turn, n_docs, seed, True)
             if block is not None:
                 dropped(block)
             block = after
             turn = orthonormal(_total(block, width))
-        rows = saved(corpus.through(block, turn, n_docs, seed, False), "svd-rows")
+        rows = corpus.through(block, turn, n_docs, seed, False)
 
         def gram(y: pa.Array) -> bytes:
             y = np.frombuffer(b"".join(y.to_pylist()), np.float64).reshape(-1, width)

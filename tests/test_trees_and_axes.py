@@ -103,7 +103,8 @@ def test_svd_of_texts(spark, piece, monkeypatch):
     assert np.allclose(reduced[:, 0], a @ vt[0] * np.sign(vt[0][np.abs(vt[0]).argmax()]), atol=1e-3)
     corpus = made[0]
     assert corpus.terms == len(terms) and corpus.weights == (tf > 0).sum() and (corpus.pieces > 4 if piece == 100 else corpus.pieces == 4)
-    sent = corpus._sent(None, 30, 1).collect()
+    sent = [r for wave in corpus._waves() for r in corpus._sent(None, 30, 1, wave).collect()]
+    assert sorted(p for wave in corpus._waves() for p in wave) == list(range(corpus.pieces)) and (len(corpus._waves()) > 1 or piece > 100)
     pieces = [set().union(*[{w for w in r["terms"]} for r in spark.read.parquet(corpus.chunks).where(F.col("b").isin(own)).collect()]) for own in corpus.dealt if own]
     shared = [w for w in terms if sum(w in p for p in pieces) > 1]
     assert len(sent) <= corpus.pieces**2 and sum(len(r["v"]) for r in sent) == 120 * sum(w in p for p in pieces for w in shared)
